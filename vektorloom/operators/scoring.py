@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vektorloom.functions.text import words
 from vektorloom.functions.vectors import cosine
-from vektorloom.operators.series import running_sum
+from vektorloom.operators.series import running_sums
 
 JudgeFactory = Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
 
@@ -50,8 +50,8 @@ def context_precision(
     verdicts: DataFrame, key: str = "q_id", rank: str = "rank", relevant: str = "relevant", width: int = 65_536
 ) -> DataFrame:
     """Sum of precision at each relevant position over the number of relevant contexts; 0 if none."""
-    seen = running_sum(verdicts, [key], [rank], F.lit(1).cast("long"), width, "_seen")
-    found = running_sum(seen, [key], [rank], F.col(relevant).cast("long"), width, "_found")
+    counts = {"_seen": F.lit(1).cast("long"), "_found": F.col(relevant).cast("long")}
+    found = running_sums(verdicts, [key], [rank], counts, width)
     precision = F.col("_found") / F.col("_seen") * F.col(relevant)
     return found.groupBy(key).agg(
         F.coalesce(F.try_divide(F.sum(precision), F.sum(F.col(relevant).cast("double"))), F.lit(0.0)).alias(

@@ -205,12 +205,12 @@ def _grid(queries, items, schema, k, metric, query_keys, item_keys, query_vector
         *query_keys,
         query_vector,
         F.pmod(F.xxhash64(*query_keys), F.lit(q_tiles)).alias("_q"),
-        F.explode(F.sequence(F.lit(0), F.lit(c_tiles - 1))).cast("long").alias("_c"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_tiles - 1).cast("long"))).alias("_c"),
     )
     right = items.select(
         *item_keys,
         item_vector,
-        F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1))).cast("long").alias("_q"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_tiles - 1).cast("long"))).alias("_q"),
         F.pmod(F.xxhash64(*item_keys), F.lit(c_tiles)).alias("_c"),
     )
     return meet_tiles(

@@ -53,18 +53,29 @@ def with_neighbour(
     )
 
 
-def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, width: int, name: str
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], width: int
 ) -> DataFrame:
-    """Sum of ``value`` from the first row of the series up to and including this one."""
-    sliced = _sliced(df, order, width).withColumn("_value", value)
+    """Sums from the first row of the series up to and including each row: ``{new column: value}``."""
+    names = list(values)
+    sliced = _sliced(df, order, width).withColumns({f"_v_{n}": v for n, v in values.items()})
     upto = _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sliced.groupBy(*keys, "_slice").agg(F.sum("_value").alias("_total"))
+    sums = sliced.groupBy(*keys, "_slice").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*keys, "_slice", F.sum("_total").over(before).alias("_carry"))
-    joined = sliced.withColumn("_part", F.sum("_value").over(upto)).join(carry, [*keys, "_slice"], "left")
-    total = F.coalesce(F.col("_carry") + F.col("_part"), "_part", "_carry")
-    return joined.select(*[F.col(c) for c in df.columns], total.alias(name))
+    carry = sums.select(*keys, "_slice", *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in names])
+    local = sliced.withColumns({f"_p_{n}": F.sum(f"_v_{n}").over(upto) for n in names})
+    joined = local.join(carry, [*keys, "_slice"], "left")
+    totals = [
+        F.coalesce(F.col(f"_c_{n}") + F.col(f"_p_{n}"), f"_p_{n}", f"_c_{n}").alias(n) for n in names
+    ]
+    return joined.select(*[F.col(c) for c in df.columns], *totals)
+
+
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, width: int, name: str
+) -> DataFrame:
+    """One running sum, see :func:`running_sums`."""
+    return running_sums(df, keys, order, {name: value}, width)
 
 
 def last_known(
