@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vektorloom.operators.spread import spread_small
+
 # Split marks in order of preference; the empty mark splits between characters.
 SPLIT_MARKS = ("\n\n", "\n", " ", "")
 
@@ -36,7 +38,7 @@ def fixed_length_chunks(df: DataFrame, text: str, size: int, overlap: int = 0, n
     )
     kept = [c for c in df.columns if c != text]
     return (
-        df.where(F.col(text).isNotNull())
+        spread_small(df.where(F.col(text).isNotNull()))
         .withColumn("_blocks", blocks)
         .select(*kept, F.posexplode(chunks).alias("chunk_idx", name))
         .withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
@@ -110,7 +112,7 @@ def recursive_chunks(df: DataFrame, text: str, size: int = 512, overlap: float =
             yield batch.map(lambda t: split_recursively(t, size, overlap) if t is not None else [])
 
     kept = [c for c in df.columns if c != text]
-    return df.select(*kept, F.posexplode(split_batch(F.col(text))).alias("chunk_idx", name)).withColumn(
+    return spread_small(df).select(*kept, F.posexplode(split_batch(F.col(text))).alias("chunk_idx", name)).withColumn(
         "chunk_idx", F.col("chunk_idx").cast("long")
     )
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from vektorloom.functions.text import WORD_PATTERN
 from vektorloom.functions.vectors import arrow_matrix, is_valid, l2_norm, normalise
+from vektorloom.operators.spread import spread_small
 
 EncoderFactory = Callable[[], Callable[[Sequence[str]], np.ndarray]]
 
@@ -29,21 +30,22 @@ def word_count_encoder(dim: int = 64, normalised: bool = False) -> EncoderFactor
 
     def load():
         find_words = re.compile(WORD_PATTERN).findall
-        buckets: dict[str, int] = {}
 
-        def bucket(word: str) -> int:
-            if len(buckets) > 500_000:
-                buckets.clear()
-            found = buckets.get(word)
-            if found is None:
-                found = buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
-            return found
+        class Buckets(dict):
+            def __missing__(self, word: str) -> int:
+                self[word] = number = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+                return number
+
+        buckets = Buckets()
 
         def encode(texts: Sequence[str]) -> np.ndarray:
+            if len(buckets) > 500_000:
+                buckets.clear()
             rows = np.zeros((len(texts), dim), dtype=np.float32)
             for row, text in enumerate(texts):
-                hits = [bucket(w) for w in find_words((text or "").lower())]
-                rows[row] = np.bincount(hits, minlength=dim) if hits else 0
+                hits = [buckets[w] for w in find_words((text or "").lower())]
+                if hits:
+                    rows[row] = np.bincount(hits, minlength=dim)
             if normalised:
                 norms = np.linalg.norm(rows, axis=1, keepdims=True)
                 np.divide(rows, norms, out=rows, where=norms > 0)
@@ -73,7 +75,9 @@ def embed(
         return predict
 
     model = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    return df.withColumn(name, model(F.col(text)))
+    # keeps the optimizer from copying the model call into a filter and running it twice
+    model = model.asNondeterministic()
+    return spread_small(df).withColumn(name, model(F.col(text)))
 
 
 def embed_multi(
@@ -105,7 +109,7 @@ def embed_multi(
                         names=[key, seq, "vector"],
                     )
 
-    return df.select(key, text).mapInArrow(run, out)
+    return spread_small(df.select(key, text)).mapInArrow(run, out)
 
 
 def explode_vectors(df: DataFrame, key: str, vectors: str, seq: str = "seq_id") -> DataFrame:

@@ -422,13 +422,14 @@ def build_index(
     sub_vectors: int = SUB_VECTORS,
     vector: str = "vector",
     replace: bool = True,
+    iterations: int = ITERATIONS,
 ) -> tuple[Cells, ScalarCodes | ProductCodes | None, str]:
     """Train, assign and write an index table below ``path``; returns its models and its folder."""
     coding = coding_of(kind)
     folder = f"{path.rstrip('/')}/{index_label(kind, metric)}"
     if not replace and index_exists(collection.sparkSession, folder):
         raise FileExistsError(folder)
-    trained = Cells.train(collection, metric, cells, vector=vector)
+    trained = Cells.train(collection, metric, cells, iterations, vector)
     codes: ScalarCodes | ProductCodes | None = None
     if coding == "sq":
         codes = ScalarCodes.train(collection, vector)

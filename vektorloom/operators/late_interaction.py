@@ -13,7 +13,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from vektorloom.functions.vectors import arrow_matrix, dot
 from vektorloom.operators.ranking import top_per_key
-from vektorloom.operators.search import bounded_queries, similarity_top_k
+from vektorloom.operators.search import QueryBlock, bounded_queries, similarity_top_k
+
+#: candidate pairs sent to every task; more are joined
+MAX_SENT_PAIRS = 1_000_000
 
 
 def candidate_documents(tokens: DataFrame, rows: DataFrame, per_token: int = 50, metric: str = "ip") -> DataFrame:
@@ -38,19 +41,31 @@ def max_sim(
     Every task reduces its rows of a document to one best value per token before the shuffle, so a
     document with very many rows is never gathered.
     """
-    best = _block_best(tokens, rows, candidates) if strategy != "join" else None
-    if best is None:
+    block = bounded_queries(tokens, ["q_id", "q_seq"], "vector") if strategy != "join" else None
+    if block is None:
         best = _join_best(tokens, rows, candidates)
+    else:
+        best = _block_best(block, tokens, rows, candidates)
     per_token = best.groupBy("q_id", "doc_id", "q_seq").agg(F.max("best").alias("best"))
     scores = per_token.groupBy("q_id", "doc_id").agg(F.round(F.sum("best"), digits).alias("score"))
     return top_per_key(scores, ["q_id"], [F.col("score").desc(), F.col("doc_id")], top_k)
 
 
-def _block_best(tokens: DataFrame, rows: DataFrame, candidates: DataFrame) -> DataFrame | None:
-    block = bounded_queries(tokens, ["q_id", "q_seq"], "vector")
-    if block is None:
-        return None
-    wanted = candidates.groupBy("doc_id").agg(F.collect_set("q_id").alias("_queries"))
+def _wanted(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Collection rows of candidate documents with the queries that ask for them.
+
+    A small candidate list is fetched once and sent to the scan; a large one is joined.
+    """
+    pairs = candidates.select("q_id", "doc_id").limit(MAX_SENT_PAIRS + 1).toArrow()
+    if pairs.num_rows > MAX_SENT_PAIRS:
+        wanted = candidates.groupBy("doc_id").agg(F.collect_set("q_id").alias("_queries"))
+        return rows.join(wanted, "doc_id")
+    grouped = pairs.group_by("doc_id").aggregate([("q_id", "distinct")]).rename_columns(["doc_id", "_queries"])
+    wanted = rows.sparkSession.createDataFrame(grouped)
+    return rows.join(F.broadcast(wanted), "doc_id")
+
+
+def _block_best(block: QueryBlock, tokens: DataFrame, rows: DataFrame, candidates: DataFrame) -> DataFrame:
     schema = T.StructType(
         [
             tokens.schema["q_id"],
@@ -91,7 +106,7 @@ def _block_best(tokens: DataFrame, rows: DataFrame, candidates: DataFrame) -> Da
                     [c.cast(f.type) for c, f in zip(columns, out)], schema=out
                 )
 
-    return rows.select("doc_id", "vector").join(wanted, "doc_id").mapInArrow(run, schema)
+    return _wanted(rows.select("doc_id", "vector"), candidates).mapInArrow(run, schema)
 
 
 def _join_best(tokens: DataFrame, rows: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vektorloom.functions.text import words
 from vektorloom.functions.vectors import cosine
 from vektorloom.operators.series import running_sums
+from vektorloom.operators.spread import spread_small
 
 JudgeFactory = Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
 
@@ -86,7 +87,7 @@ def bleu(
     pairs: DataFrame, key: str = "q_id", response: str = "response", reference: str = "reference", max_n: int = 2
 ) -> DataFrame:
     """BLEU per row: clipped n-gram precision, geometric mean, brevity penalty. Whole texts."""
-    tokens = pairs.select(key, words(F.col(response)).alias("_r"), words(F.col(reference)).alias("_t"))
+    tokens = spread_small(pairs.select(key, response, reference)).select(key, words(F.col(response)).alias("_r"), words(F.col(reference)).alias("_t"))
     numbered = tokens.select(
         key,
         "_r",

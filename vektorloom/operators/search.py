@@ -171,8 +171,9 @@ def similarity_top_k(
     item_vector: str = "vector",
     digits: int | None = 6,
     strategy: str = "auto",
+    output_fields: Sequence[str] = (),
 ) -> DataFrame:
-    """Best ``k`` items per query: query keys, item keys, ``score``, 0-based ``rank``.
+    """Best ``k`` items per query: query keys, item keys, ``score``, 0-based ``rank``, output fields.
 
     Scores are rounded to ``digits`` before ranking and ties go to the smallest item key, so the
     order is the same on every run. A collection with fewer than ``k`` items gives fewer rows.
@@ -190,7 +191,10 @@ def similarity_top_k(
         )
     else:
         hits = _grid(queries, items, schema, k, metric, query_keys, item_keys, query_vector, item_vector, digits)
-    return rank_hits(hits, query_keys, item_keys, k, larger)
+    ranked = rank_hits(hits, query_keys, item_keys, k, larger)
+    if not output_fields:
+        return ranked
+    return with_fields(ranked, collection, item_keys, output_fields, few_hits=block is not None)
 
 
 def rank_hits(hits: DataFrame, query_keys, item_keys, k: int, larger_first: bool) -> DataFrame:
@@ -241,9 +245,16 @@ def meet_tiles(
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(meet, schema)
 
 
-def with_fields(hits: DataFrame, collection: DataFrame, item_keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Add output fields of the hit items; text is fetched for the final hits only."""
-    return hits.join(collection.select(*item_keys, *fields), list(item_keys))
+def with_fields(
+    hits: DataFrame, collection: DataFrame, item_keys: Sequence[str], fields: Sequence[str], few_hits: bool = False
+) -> DataFrame:
+    """Add output fields of the hit items; text is fetched for the final hits only.
+
+    ``few_hits`` says that the hits come from a bounded query set (``k`` rows each): they are sent to
+    the collection's tasks, and the collection is not shuffled.
+    """
+    small = F.broadcast(hits) if few_hits else hits
+    return collection.select(*item_keys, *fields).join(small, list(item_keys))
 
 
 def rescored(

@@ -17,7 +17,7 @@ from vektorloom.operators.prompting import (
     prompts,
 )
 from vektorloom.operators.rerank import ScorerFactory, rerank
-from vektorloom.operators.search import similarity_top_k, with_fields
+from vektorloom.operators.search import similarity_top_k
 
 
 def retrieve(
@@ -31,8 +31,7 @@ def retrieve(
 ) -> DataFrame:
     """Best ``k`` items per question with their text; the question text is kept for reranking."""
     asked = embed(questions, "question", encoder)
-    hits = similarity_top_k(asked, collection, k, metric, item_keys=item_keys)
-    found = with_fields(hits, collection, item_keys, fields)
+    found = similarity_top_k(asked, collection, k, metric, item_keys=item_keys, output_fields=fields)
     return found.join(questions.select("q_id", "question"), "q_id")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vektorloom.functions.text import page_image_name
+from vektorloom.operators.spread import spread_small
 
 ParserFactory = Callable[[], Callable[[object], list[dict]]]
 
@@ -102,7 +103,7 @@ def parse_documents(
             lists = [parse(c) if c is not None else [] for c in batch[content]]
             yield pd.DataFrame({"doc_id": batch[key].tolist(), "blocks": lists})
 
-    parsed = df.select(key, content).mapInPandas(run, schema)
+    parsed = spread_small(df.select(key, content)).mapInPandas(run, schema)
     return parsed.select("doc_id", F.posexplode("blocks").alias("block_idx", "_b")).select(
         "doc_id", F.col("block_idx").cast("long").alias("block_idx"), "_b.kind", "_b.heading_path", "_b.text"
     )
@@ -132,7 +133,7 @@ def parse_pages(files: DataFrame, parser: ParserFactory) -> DataFrame:
                 items = [{"path": path, "item_idx": i, "text": None, "data": None, **it} for i, it in enumerate(parse(content))]
                 yield pd.DataFrame(items, columns=names)
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return spread_small(files.select("path", "content")).mapInPandas(run, schema)
 
 
 def explode_pages(df: DataFrame, path: str, pages: str) -> DataFrame:
