@@ -44,8 +44,8 @@ def rows_of(hits):
 @pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
 @pytest.mark.parametrize("strategy", ["scan", "grid"])
 def test_top_k_equals_brute_force(data, metric, strategy, monkeypatch):
-    monkeypatch.setattr(search, "COLLECTION_TILE", 64)
-    monkeypatch.setattr(search, "QUERY_TILE", 3)
+    monkeypatch.setattr(search, "ITEM_TILE_BYTES", 64 * 8 * DIM)
+    monkeypatch.setattr(search, "QUERY_TILE_BYTES", 3 * 8 * DIM)
     collection, queries, items, asked = data
     got = rows_of(search.similarity_top_k(queries, collection.repartition(5), 6, metric, strategy=strategy))
     want = brute(items, asked, 6, metric)
@@ -132,8 +132,8 @@ def test_probe_reads_only_probed_cells(spark, data, tmp_path):
 @pytest.mark.parametrize("metric", ["l2", "ip"])
 def test_hot_cell_is_tiled(data, metric, monkeypatch):
     """All vectors in one cell: the tiles still give the exact answer."""
-    monkeypatch.setattr(index, "COLLECTION_TILE", 40)
-    monkeypatch.setattr(index, "QUERY_TILE", 2)
+    monkeypatch.setattr(index, "ITEM_TILE_BYTES", 40 * 8 * DIM)
+    monkeypatch.setattr(index, "QUERY_TILE_BYTES", 2 * 8 * DIM)
     collection, queries, items, asked = data
     cells = index.Cells(np.zeros((1, DIM)), metric)
     got = rows_of(index.probe_top_k(queries, cells.assign(collection), cells, 5, strategy="grid"))

@@ -126,11 +126,17 @@ def test_exact_quantiles(spark):
     import numpy as np
 
     draw = np.random.default_rng(2)
-    values = {"a": draw.normal(size=501), "b": np.repeat([1.0, 2.0], 200), "c": np.array([4.0]), "d": draw.exponential(size=400) ** 4}
+    values = {
+        "a": draw.normal(size=501),
+        "b": np.repeat([1.0, 2.0], 200),
+        "c": np.array([4.0]),
+        "d": draw.exponential(size=400) ** 4,
+        "e": np.append(draw.normal(size=300) * 1e-9, [1e12, -5.0]),
+    }
     df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double")
     for bins in (3, 64):
         got = telemetry.exact_quantiles(df, "k", "v", [0.0, 0.25, 0.5, 0.95, 1.0], bins).collect()
-        assert len(got) == 20
+        assert len(got) == 25
         for r in got:
             assert r.value == pytest.approx(np.quantile(values[r.k], r.share), abs=1e-12)
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from vektorloom.operators.embedding import require_valid
 from vektorloom.operators.ranking import latest_per_key
+from vektorloom.session import remove_folder
 
 TEXT_FIELDS = [
     T.StructField("id", T.StringType()),
@@ -72,8 +73,7 @@ class Collections:
     def drop(self, name: str) -> None:
         """Remove a collection from the catalog and its files from the store."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name.lower()}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(self.spark, f"{self.root}/{name.lower()}")
 
     def names(self) -> list[str]:
         return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary)
@@ -92,8 +92,11 @@ class Collections:
         return self.spark.sql(f"DESCRIBE TABLE {self._table(name)}")
 
     def dim(self, name: str) -> int:
-        row = self.spark.sql(f"SHOW TBLPROPERTIES {self._table(name)} ('vector.dim')").first()
-        return int(row["value"])
+        return int(self._property(name, "vector.dim"))
+
+    def _property(self, name: str, key: str) -> str | None:
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self._table(name)}").where(F.col("key") == key).collect()
+        return rows[0]["value"] if rows else None
 
     def scan(self, name: str) -> DataFrame:
         """The whole collection."""
@@ -139,8 +142,14 @@ class Collections:
         )
 
     def _replace_rows(self, name: str, rows: DataFrame) -> None:
+        """Write and publish a snapshot; the one before stays for running readers, older ones go."""
         folder = self._fresh_folder(name)
         rows.select(self.scan(name).columns).write.parquet(folder)
+        before = self._property(name, "vector.before")
+        if before:
+            remove_folder(self.spark, before)
+        current = self.spark.sql(f"DESCRIBE FORMATTED {self._table(name)}").where("col_name = 'Location'").first()
+        self.spark.sql(f"ALTER TABLE {self._table(name)} SET TBLPROPERTIES ('vector.before' = '{current.data_type}')")
         self.spark.sql(f"ALTER TABLE {self._table(name)} SET LOCATION '{folder}'")
         self.spark.catalog.refreshTable(f"{self.database}.{name.lower()}")
 

@@ -20,15 +20,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from vektorloom.functions.vectors import LARGER_FIRST, arrow_matrix, check_metric, score_matrix
 from vektorloom.operators.search import (
-    COLLECTION_TILE,
+    ITEM_TILE_BYTES,
     MAX_CELLS,
-    QUERY_TILE,
+    QUERY_TILE_BYTES,
     bounded_queries,
     hit_schema,
     meet_tiles,
     rank_hits,
     rescored,
     scan_partitions,
+    tile_rows,
 )
 
 # Index kinds, and the training defaults.
@@ -53,11 +54,9 @@ def coding_of(kind: str) -> str | None:
 
 
 def training_rows(df: DataFrame, rows: int, seed: int = 7) -> DataFrame:
-    """A bounded random sample for training codebooks; the table itself is never cut."""
+    """About ``rows`` random rows for training codebooks, spread as the table is; the table itself is never cut."""
     total = df.count()
-    if total <= rows:
-        return df
-    return df.sample(fraction=min(1.0, 1.1 * rows / total), seed=seed).limit(rows)
+    return df if total <= rows else df.sample(fraction=rows / total, seed=seed)
 
 
 # ---- cells ------------------------------------------------------------------
@@ -85,7 +84,7 @@ class Cells:
         model = KMeans(k=cells, maxIter=iterations, seed=seed).fit(features)
         return cls(np.array(model.clusterCenters()), check_metric(metric))
 
-    def _nearest(self, matrix: np.ndarray, count: int) -> np.ndarray:
+    def nearest(self, matrix: np.ndarray, count: int) -> np.ndarray:
         costs = score_matrix("l2", matrix, self.centroids)
         if self.metric != "l2":
             costs = np.nan_to_num(-score_matrix(self.metric, matrix, self.centroids), nan=0.0)
@@ -109,7 +108,7 @@ class Cells:
     def probes(self, queries: DataFrame, nprobe: int, vector: str = "vector") -> DataFrame:
         """Queries repeated for each of their ``nprobe`` best cells."""
         schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
-        nearest = self._nearest
+        nearest = self.nearest
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = to_arrow_schema(schema)
@@ -160,12 +159,11 @@ def probe_top_k(
     return rank_hits(hits, query_keys, item_keys, k, LARGER_FIRST[metric])
 
 
-def _cell_scorer(cells: Cells, nprobe: int, vector: str):
+def _cell_scorer(metric: str, probed: np.ndarray, vector: str):
     """Multiply each cell's rows with the queries that probe it."""
 
     def score(matrix: np.ndarray, batch: pa.RecordBatch):
         kept, items = arrow_matrix(batch.column(vector), matrix.shape[1])
-        probed = cells._nearest(matrix, nprobe)
         cell = batch.column("cell").to_numpy(zero_copy_only=False)[kept]
         for number in np.unique(cell):
             members = np.flatnonzero(cell == number)
@@ -173,16 +171,17 @@ def _cell_scorer(cells: Cells, nprobe: int, vector: str):
             step = max(1, MAX_CELLS // len(members))
             for low in range(0, len(asking), step):
                 rows = asking[low : low + step]
-                yield rows, kept[members], score_matrix(cells.metric, matrix[rows], items[members])
+                yield rows, kept[members], score_matrix(metric, matrix[rows], items[members])
 
     return score
 
 
 def _scan_cells(block, indexed, cells, schema, k, nprobe, item_keys, vector, digits):
-    wanted = sorted({int(c) for c in np.unique(cells._nearest(block.matrix, nprobe))})
+    probed = cells.nearest(block.matrix, nprobe)
+    wanted = np.unique(probed).tolist()
     items = indexed.where(F.col("cell").isin(wanted)).select(*item_keys, vector, "cell")
     return scan_partitions(
-        items, block, schema, item_keys, k, LARGER_FIRST[cells.metric], digits, _cell_scorer(cells, nprobe, vector)
+        items, block, schema, item_keys, k, LARGER_FIRST[cells.metric], digits, _cell_scorer(cells.metric, probed, vector)
     )
 
 
@@ -190,11 +189,13 @@ def _meet_cells(queries, indexed, cells, schema, k, nprobe, query_keys, item_key
     """Both sides large: cut every cell into tiles by its size on either side, meet tile by tile."""
     probing = cells.probes(queries.select(*query_keys, vector), nprobe, vector)
     items = indexed.select(*item_keys, vector, "cell")
+    dim = cells.centroids.shape[1]
+    item_rows, query_rows = tile_rows(ITEM_TILE_BYTES, dim), tile_rows(QUERY_TILE_BYTES, dim)
     # one row per cell: bounded by the number of centroids
     sizes = (
-        items.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(COLLECTION_TILE)).cast("long").alias("_nc"))
+        items.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(item_rows)).cast("long").alias("_nc"))
         .join(
-            probing.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(QUERY_TILE)).cast("long").alias("_nq")), "cell"
+            probing.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(query_rows)).cast("long").alias("_nq")), "cell"
         )
     )
     left = probing.join(F.broadcast(sizes), "cell").select(

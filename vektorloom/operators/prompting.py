@@ -137,7 +137,7 @@ def generate(
     return df.mapInPandas(run, schema)
 
 
-def evaluation_rows(answered: DataFrame) -> DataFrame:
+def evaluation_rows(answered: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """The table a judge reads: question, answer, contexts and reference answer."""
     return answered.select(
         "q_id",
@@ -145,4 +145,5 @@ def evaluation_rows(answered: DataFrame) -> DataFrame:
         "response",
         F.col("contexts").alias("retrieved_contexts"),
         "reference",
+        *extra,
     )

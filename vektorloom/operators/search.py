@@ -30,8 +30,13 @@ from vektorloom.operators.ranking import top_per_key
 MAX_SCAN_QUERIES = 16_384
 MAX_SCAN_BYTES = 64 << 20
 MAX_CELLS = 4 << 20  # scores held at once in one task
-COLLECTION_TILE = 131_072
-QUERY_TILE = 8_192
+ITEM_TILE_BYTES = 64 << 20
+QUERY_TILE_BYTES = 4 << 20
+
+
+def tile_rows(tile_bytes: int, dim: int) -> int:
+    """Vectors of double components that fit a tile."""
+    return max(1, tile_bytes // (8 * max(dim, 1)))
 
 
 @dataclass
@@ -177,6 +182,7 @@ def similarity_top_k(
 
     Scores are rounded to ``digits`` before ranking and ties go to the smallest item key, so the
     order is the same on every run. A collection with fewer than ``k`` items gives fewer rows.
+    The query side is read once while the plan is built, to learn whether it is small.
     """
     metric = check_metric(metric)
     schema = hit_schema(queries, collection, query_keys, item_keys)
@@ -203,8 +209,9 @@ def rank_hits(hits: DataFrame, query_keys, item_keys, k: int, larger_first: bool
 
 
 def _grid(queries, items, schema, k, metric, query_keys, item_keys, query_vector, item_vector, digits):
-    q_tiles = -(-max(queries.count(), 1) // QUERY_TILE)
-    c_tiles = -(-max(items.count(), 1) // COLLECTION_TILE)
+    size = items.agg(F.count("*").alias("n"), F.max(F.size(item_vector)).alias("dim")).first()
+    q_tiles = -(-max(queries.count(), 1) // tile_rows(QUERY_TILE_BYTES, size.dim or 1))
+    c_tiles = -(-max(size.n, 1) // tile_rows(ITEM_TILE_BYTES, size.dim or 1))
     left = queries.select(
         *query_keys,
         query_vector,

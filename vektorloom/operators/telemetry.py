@@ -191,43 +191,47 @@ def throughput(df: DataFrame, keys: Sequence[str], at: str, ticks_per_second: fl
 def exact_quantiles(df: DataFrame, key: str, value: str, shares: Sequence[float], bins: int = 1024) -> DataFrame:
     """Exact interpolated quantiles per key, also for very large groups.
 
-    First pass: equal-width bins per key, counted with partial aggregation, locate the bins that hold
-    the wanted positions. Second pass: only rows of those bins, collapsed to distinct values.
-    Values of one key are never gathered in one task.
+    Two zoom levels count values per bin with partial aggregation and keep only the bins that hold
+    a wanted position: first on an inverse hyperbolic sine scale, which outliers do not stretch,
+    then evenly between the smallest and largest value of a kept bin. Only values of the last
+    bins are put in order, collapsed to distinct values. No group is gathered in one task.
     """
-    rows = df.select(key, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    spans = rows.groupBy(key).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
-    place = F.when(F.col("_high") > F.col("_low"), (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")))
-    bin_no = F.least(F.floor(F.coalesce(place, F.lit(0.0)) * bins), F.lit(bins - 1))
-    binned = rows.join(spans, key).withColumn("_bin", bin_no)
-
-    counts = binned.groupBy(key, "_bin").agg(F.count("*").alias("_c"))
-    before_bin = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_c").over(before_bin), F.lit(0)))
-
-    wanted = spans.select(
-        key,
-        F.explode(F.array(*[F.struct(F.lit(s).alias("share"), (F.lit(s) * (F.col("_n") - 1)).alias("_pos")) for s in shares])).alias("_w"),
-    ).select(key, "_w.share", "_w._pos")
-    ends = wanted.select(
-        key, "share", "_pos", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_at")
+    rows = df.select(key, F.col(value).cast("double").alias("_v"), F.lit(0).cast("long").alias("_path")).where(
+        F.col("_v").isNotNull()
     )
-    in_bin = (F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + F.col("_c"))
-    targets = ends.join(starts, key).where(in_bin)
-
-    needed = targets.select(key, "_bin", "_start").distinct()
-    values = (
-        binned.join(needed, [key, "_bin"]).groupBy(key, "_bin", "_start", "_v").agg(F.count("*").alias("_c"))
-    )
-    inside = Window.partitionBy(key, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = values.withColumn("_from", F.col("_start") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    spans = rows.groupBy(key, "_path").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    positions = F.array(*[F.struct(F.lit(s).alias("share"), (F.lit(s) * (F.col("_n") - 1)).alias("_pos")) for s in shares])
+    wanted = spans.select(key, F.explode(positions).alias("_w")).select(key, "_w.share", "_w._pos")
+    ends = F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))
+    targets = wanted.select(key, "share", "_pos", F.explode(ends).alias("_at"), F.lit(0).cast("long").alias("_path"))
+    kept = spans.withColumn("_start", F.lit(0).cast("long")).drop("_n")
+
+    for scale in (F.asinh, lambda column: column):
+        width = scale(F.col("_high")) - scale(F.col("_low"))
+        place = F.coalesce(F.try_divide(scale(F.col("_v")) - scale(F.col("_low")), width), F.lit(0.0))
+        bin_no = F.least(F.greatest(F.floor(place * bins), F.lit(0)), F.lit(bins - 1))
+        rows = rows.join(kept, [key, "_path"]).select(
+            key, "_v", "_start", (F.col("_path") * bins + bin_no).alias("_path"), F.col("_path").alias("_parent")
+        )
+        counts = rows.groupBy(key, "_parent", "_path", "_start").agg(
+            F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+        )
+        before = Window.partitionBy(key, "_parent").orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        inside = (F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + F.col("_c"))
+        located = targets.withColumnRenamed("_path", "_parent").join(placed, [key, "_parent"]).where(inside)
+        targets = located.select(key, "share", "_pos", "_at", "_path")
+        kept = located.select(key, "_path", "_start", "_low", "_high").distinct()
+        rows = rows.drop("_start", "_parent")
+
+    values = rows.join(kept, [key, "_path"]).groupBy(key, "_path", "_start", "_v").agg(F.count("*").alias("_c"))
+    lower = Window.partitionBy(key, "_path").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = values.withColumn("_from", F.col("_start") + F.coalesce(F.sum("_c").over(lower), F.lit(0)))
     hit = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_from") + F.col("_c"))
-    found = targets.select(key, "_bin", "share", "_pos", "_at").join(
-        placed.select(key, "_bin", "_from", "_c", "_v"), [key, "_bin"]
-    ).where(hit)
-    ends_of = found.groupBy(key, "share", "_pos").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    found = targets.join(ordered, [key, "_path"]).where(hit)
+    between = found.groupBy(key, "share", "_pos").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
     part = F.col("_pos") - F.floor("_pos")
-    return ends_of.select(key, "share", (F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias("value"))
+    return between.select(key, "share", (F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias("value"))
 
 
 def latency_report(df: DataFrame, key: str, value: str, shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:

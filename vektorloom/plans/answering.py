@@ -53,7 +53,7 @@ def answer(
         hits = rerank(hits, top_n, scorer)
     asked = prompts(questions, gather_contexts(hits))
     answered = generate(asked, responder or echo_responder(), **sampling)
-    return evaluation_rows(answered).join(answered.select("q_id", "prompt"), "q_id")
+    return evaluation_rows(answered, extra=["prompt"])
 
 
 def retrieve_pages(

@@ -1,7 +1,7 @@
 """Metric files: repeated (8-byte little-endian length, protobuf message), read as DataFrames.
 
-A Spark data source with one input partition per file. A task walks its file frame by frame and
-hands rows on in small batches, so files may be larger than a task's memory. Messages are decoded
+Spark lists the files; a task walks each of its files frame by frame and hands rows on in small
+batches, so files may be larger than a task's memory. Messages are decoded
 from the protobuf wire format by the field tables below; unknown fields are skipped.
 """
 
@@ -16,7 +16,6 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vektorloom.sources.files import list_files, meter_pattern
@@ -214,38 +213,32 @@ def frames(stream: BinaryIO) -> Iterator[bytes]:
         yield body
 
 
-class OneFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class FramedReader(DataSourceReader):
-    def __init__(self, paths: list[str], meter: str):
-        self.paths, self.meter = paths, meter
-
-    def partitions(self):
-        return [OneFile(p) for p in self.paths]
-
-    def read(self, partition):
-        fields = METERS[self.meter]
-        out = to_arrow_schema(framed_schema(self.meter))
-        parts = partition.path.split("/")
-        run, name = (parts[-2] if len(parts) > 1 else ""), parts[-1]
-        filesystem, inner = pafs.FileSystem.from_uri(partition.path)
-        rows: list[dict] = []
-        position = 0
-        with filesystem.open_input_stream(inner) as stream:
-            for body in frames(stream):
-                for number, _, sample in wire_fields(body):
-                    if number != 1:
-                        continue
-                    rows.append({"run": run, "file": name, "sample_idx": position, **decode_message(sample, fields)})
-                    position += 1
-                    if len(rows) >= ROWS_PER_BATCH:
-                        yield pa.RecordBatch.from_pylist(rows, schema=out)
-                        rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=out)
+def open_file(path: str):
+    """Input stream of a local or remote file."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem().open_input_stream("/" + path[len("file:") :].lstrip("/"))
+    filesystem, inner = pafs.FileSystem.from_uri(path)
+    return filesystem.open_input_stream(inner)
+
+
+def sample_batches(path: str, meter: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Samples of one file, a few at a time."""
+    fields = METERS[meter]
+    run, name = ("/" + path).split("/")[-2:]
+    rows: list[dict] = []
+    position = 0
+    with open_file(path) as stream:
+        for body in frames(stream):
+            for number, _, sample in wire_fields(body):
+                if number != 1:
+                    continue
+                rows.append({"run": run, "file": name, "sample_idx": position, **decode_message(sample, fields)})
+                position += 1
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def framed_schema(meter: str) -> T.StructType:
@@ -257,37 +250,22 @@ def framed_schema(meter: str) -> T.StructType:
     return T.StructType(head + spark_fields(METERS[meter]).fields)
 
 
-class FramedSource(DataSource):
-    """``spark.read.format("framed_metrics")`` with options ``meter`` and ``paths`` (newline separated)."""
-
-    @classmethod
-    def name(cls):
-        return "framed_metrics"
-
-    def schema(self):
-        return framed_schema(self.options["meter"])
-
-    def reader(self, schema):
-        paths = [p for p in self.options["paths"].split("\n") if p]
-        return FramedReader(paths, self.options["meter"])
-
-
 def read_metrics(spark: SparkSession, path: str, meter: str) -> DataFrame:
-    """All samples of one meter below a folder: ``run, file, sample_idx`` and the message fields."""
+    """All samples of one meter below a folder: ``run, file, sample_idx`` and the message fields.
+
+    Spark lists the files and packs them into tasks by size; only paths are read in the listing.
+    """
     if meter not in METERS:
         raise ValueError(f"unknown meter {meter!r}; use one of {sorted(METERS)}")
-    # file names only: one short string per file
-    found = list_files(spark, path, meter_pattern(meter)).select(F.col("path"))
-    paths = [_as_uri(row.path) for row in found.orderBy("path").toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], framed_schema(meter))
-    spark.dataSource.register(FramedSource)
-    return spark.read.format("framed_metrics").options(meter=meter, paths="\n".join(paths)).load()
-
-
-def _as_uri(path: str) -> str:
-    """Hadoop writes local files as ``file:/x``; Arrow reads ``file:///x``."""
-    return "file://" + path[len("file:") :] if path.startswith("file:/") and not path.startswith("file://") else path
+    schema = framed_schema(meter)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(schema)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                yield from sample_batches(path, meter, out)
+
+    return list_files(spark, path, meter_pattern(meter)).select("path").mapInArrow(decode, schema)
 
 
 def cpu_total(samples: DataFrame) -> DataFrame:

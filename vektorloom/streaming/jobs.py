@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vektorloom.collections.store import Collections
 from vektorloom.operators.ranking import latest_per_key
 from vektorloom.operators.telemetry import disk_rates
+from vektorloom.session import remove_folder
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int | None = None) -> DataFrame:
@@ -47,6 +48,8 @@ def windowed_usage(
 
 def run_sessions(stream: DataFrame, keys: Sequence[str], at: str, gap: str, late: str = "1 hour") -> DataFrame:
     """Sessions of rows closer than ``gap``: start, last row time and count."""
+    # sessions are merged inside each task first, so a busy key does not travel row by row
+    stream.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     grouped = stream.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), *keys)
     spans = grouped.agg(F.min(at).alias("session_start"), F.max(at).alias("session_last"), F.count("*").alias("n_rows"))
     return spans.drop("w")
@@ -86,7 +89,7 @@ def rate_stream(
 
     def one_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*columns).withColumn("_old", F.lit(False))
+        rows: DataFrame = batch.select(*columns).withColumn("_old", F.lit(False))
         if number > 0:
             before = spark.read.parquet(f"{state}/batch={number - 1}")
             known = before.select(*[F.col(c).alias(f"_{c}") for c in keys], F.struct(*order).alias("_last"))
@@ -96,9 +99,13 @@ def rate_stream(
                 F.col("_last").isNull() | (F.struct(*order) > F.col("_last"))
             )
             rows = fresh.select(*columns, "_old").unionByName(before.withColumn("_old", F.lit(True)))
+        rows = rows.persist()
         rates = disk_rates(rows, keys, order, counters, ticks_per_second, width)
         rates.where(~F.col("_old")).drop("_old").write.mode("overwrite").parquet(f"{out}/batch={number}")
         latest_per_key(rows.drop("_old"), keys, order).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        rows.unpersist()
+        # a repeated batch needs the state before it, nothing older
+        remove_folder(spark, f"{state}/batch={number - 2}")
 
     return (
         stream.writeStream.foreachBatch(one_batch)
