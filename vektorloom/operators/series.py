@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vektorloom.operators.ranking import top_per_key
+
 
 def _sliced(df: DataFrame, order: Sequence[str], width: int) -> DataFrame:
     return df.withColumn("_slice", F.expr(f"`{order[0]}` div {int(width)}"))
@@ -106,23 +108,23 @@ def centred_mean(
     """Moving average over ``points`` rows around each row; missing neighbours count as 0."""
     half = points // 2
     inside = _inside(keys, order)
+    base = _sliced(df, order, width).withColumn("_x", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
     local = (
-        _sliced(df, order, width)
-        .withColumn("_x", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
-        .withColumn("_near", F.sum("_x").over(inside.rowsBetween(-half, half)))
+        base.withColumn("_near", F.sum("_x").over(inside.rowsBetween(-half, half)))
         .withColumn("_pos", F.row_number().over(inside))
         .withColumn("_left", F.count("*").over(Window.partitionBy(*keys, "_slice")) - F.col("_pos"))
     )
-    # at most 2 * half rows of each slice: its head and its tail
-    borders = (
-        local.where((F.col("_pos") <= half) | (F.col("_left") < half))
-        .groupBy(*keys, "_slice")
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("_pos") <= half, F.struct("_pos", "_x")))).alias("_head"),
-            F.array_sort(F.collect_list(F.when(F.col("_left") < half, F.struct("_pos", "_x")))).alias("_tail"),
+
+    def border(newest: bool, name: str) -> DataFrame:
+        """First or last ``half`` values of each slice, cut inside every task before the shuffle."""
+        by = [F.col(c).desc() if newest else F.col(c).asc() for c in order]
+        few = top_per_key(base.select(*keys, "_slice", *order, "_x"), [*keys, "_slice"], by, half, "_n")
+        place = -F.col("_n") if newest else F.col("_n")
+        return few.groupBy(*keys, "_slice").agg(
+            F.array_sort(F.collect_list(F.struct(place.alias("_n"), "_x"))).getField("_x").alias(name)
         )
-        .select(*keys, "_slice", F.col("_head._x").alias("_head"), F.col("_tail._x").alias("_tail"))
-    )
+
+    borders = border(False, "_head").join(border(True, "_tail"), [*keys, "_slice"])
     # every slice in `borders` has at least one row, so `half` slices hold `half` neighbours
     across = _across(keys)
     carry = borders.select(
