@@ -132,8 +132,8 @@ def test_probe_reads_only_probed_cells(spark, data, tmp_path):
 @pytest.mark.parametrize("metric", ["l2", "ip"])
 def test_hot_cell_is_tiled(data, metric, monkeypatch):
     """All vectors in one cell: the tiles still give the exact answer."""
-    monkeypatch.setattr(index, "ITEM_TILE_BYTES", 40 * 8 * DIM)
-    monkeypatch.setattr(index, "QUERY_TILE_BYTES", 2 * 8 * DIM)
+    monkeypatch.setattr(search, "ITEM_TILE_BYTES", 40 * 8 * DIM)
+    monkeypatch.setattr(search, "QUERY_TILE_BYTES", 2 * 8 * DIM)
     collection, queries, items, asked = data
     cells = index.Cells(np.zeros((1, DIM)), metric)
     got = rows_of(index.probe_top_k(queries, cells.assign(collection), cells, 5, strategy="grid"))
@@ -181,8 +181,10 @@ def late(spark):
     )
 
 
-@pytest.mark.parametrize("strategy", ["auto", "join"])
-def test_max_sim(late, strategy):
+@pytest.mark.parametrize("strategy", ["auto", "tiles"])
+def test_max_sim(late, strategy, monkeypatch):
+    monkeypatch.setattr(search, "ITEM_TILE_BYTES", 90 * 8 * DIM)  # the hot document needs several tiles
+    monkeypatch.setattr(search, "QUERY_TILE_BYTES", 2 * 8 * DIM)
     tokens, rows, matrix, docs, asked = late
     candidates = candidate_documents(tokens, rows, 10)
     got = max_sim(tokens, rows, candidates, 3, digits=4, strategy=strategy).orderBy("q_id", "rank").collect()
@@ -198,12 +200,12 @@ def test_max_sim(late, strategy):
 
 
 def test_candidate_list_too_large_to_send(late, monkeypatch):
-    from vektorloom.operators import late_interaction
+    from vektorloom.operators import spread
 
     tokens, rows, *_ = late
     candidates = candidate_documents(tokens, rows, 10)
     want = max_sim(tokens, rows, candidates, 3).orderBy("q_id", "rank").collect()
-    monkeypatch.setattr(late_interaction, "MAX_SENT_PAIRS", 2)
+    monkeypatch.setattr(spread, "MAX_SENT_ROWS", 2)
     assert max_sim(tokens, rows, candidates, 3).orderBy("q_id", "rank").collect() == want
 
 

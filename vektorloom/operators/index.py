@@ -20,16 +20,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from vektorloom.functions.vectors import LARGER_FIRST, arrow_matrix, check_metric, score_matrix
 from vektorloom.operators.search import (
-    ITEM_TILE_BYTES,
     MAX_CELLS,
-    QUERY_TILE_BYTES,
     bounded_queries,
+    cut_into_tiles,
     hit_schema,
     meet_tiles,
     rank_hits,
     rescored,
     scan_partitions,
-    tile_rows,
 )
 
 # Index kinds, and the training defaults.
@@ -189,29 +187,7 @@ def _meet_cells(queries, indexed, cells, schema, k, nprobe, query_keys, item_key
     """Both sides large: cut every cell into tiles by its size on either side, meet tile by tile."""
     probing = cells.probes(queries.select(*query_keys, vector), nprobe, vector)
     items = indexed.select(*item_keys, vector, "cell")
-    dim = cells.centroids.shape[1]
-    item_rows, query_rows = tile_rows(ITEM_TILE_BYTES, dim), tile_rows(QUERY_TILE_BYTES, dim)
-    # one row per cell: bounded by the number of centroids
-    sizes = (
-        items.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(item_rows)).cast("long").alias("_nc"))
-        .join(
-            probing.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(query_rows)).cast("long").alias("_nq")), "cell"
-        )
-    )
-    left = probing.join(F.broadcast(sizes), "cell").select(
-        *query_keys,
-        vector,
-        "cell",
-        F.pmod(F.xxhash64(*query_keys), F.col("_nq")).alias("_q"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nc") - 1)).alias("_c"),
-    )
-    right = items.join(F.broadcast(sizes), "cell").select(
-        *item_keys,
-        vector,
-        "cell",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nq") - 1)).alias("_q"),
-        F.pmod(F.xxhash64(*item_keys), F.col("_nc")).alias("_c"),
-    )
+    left, right = cut_into_tiles(probing, items, "cell", query_keys, item_keys, cells.centroids.shape[1])
     return meet_tiles(
         left, right, ["cell", "_q", "_c"], schema, k, cells.metric, query_keys, item_keys, vector, vector, digits
     )

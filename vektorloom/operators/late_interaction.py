@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vektorloom.functions.vectors import arrow_matrix, dot
+from vektorloom.functions.vectors import arrow_matrix
 from vektorloom.operators.ranking import top_per_key
-from vektorloom.operators.search import QueryBlock, bounded_queries, similarity_top_k
-
-#: candidate pairs sent to every task; more are joined
-MAX_SENT_PAIRS = 1_000_000
+from vektorloom.operators.search import (
+    QueryBlock,
+    bounded_queries,
+    cut_into_tiles,
+    similarity_top_k,
+)
+from vektorloom.operators.spread import kept_if_small
 
 
 def candidate_documents(tokens: DataFrame, rows: DataFrame, per_token: int = 50, metric: str = "ip") -> DataFrame:
@@ -41,9 +44,9 @@ def max_sim(
     Every task reduces its rows of a document to one best value per token before the shuffle, so a
     document with very many rows is never gathered.
     """
-    block = bounded_queries(tokens, ["q_id", "q_seq"], "vector") if strategy != "join" else None
+    block = bounded_queries(tokens, ["q_id", "q_seq"], "vector") if strategy != "tiles" else None
     if block is None:
-        best = _join_best(tokens, rows, candidates)
+        best = _tile_best(tokens, rows, candidates)
     else:
         best = _block_best(block, tokens, rows, candidates)
     per_token = best.groupBy("q_id", "doc_id", "q_seq").agg(F.max("best").alias("best"))
@@ -51,20 +54,6 @@ def max_sim(
     return top_per_key(scores, ["q_id"], [F.col("score").desc(), F.col("doc_id")], top_k)
 
 
-def _wanted(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Collection rows of candidate documents with the queries that ask for them.
-
-    A small candidate list is fetched once and sent to the scan; a large one is joined.
-    """
-    pairs = candidates.select("q_id", "doc_id").limit(MAX_SENT_PAIRS + 1).toArrow()
-    if pairs.num_rows > MAX_SENT_PAIRS:
-        wanted = candidates.groupBy("doc_id").agg(F.collect_set("q_id").alias("_queries"))
-        return rows.join(wanted, "doc_id")
-    grouped = pairs.group_by("doc_id").aggregate([("q_id", "distinct")]).rename_columns(["doc_id", "_queries"])
-    wanted = rows.sparkSession.createDataFrame(grouped)
-    return rows.join(F.broadcast(wanted), "doc_id")
-
-
 def _block_best(block: QueryBlock, tokens: DataFrame, rows: DataFrame, candidates: DataFrame) -> DataFrame:
     schema = T.StructType(
         [
@@ -106,16 +95,46 @@ def _block_best(block: QueryBlock, tokens: DataFrame, rows: DataFrame, candidate
                     [c.cast(f.type) for c, f in zip(columns, out)], schema=out
                 )
 
-    return _wanted(rows.select("doc_id", "vector"), candidates).mapInArrow(run, schema)
+    pairs = candidates.select("q_id", "doc_id")
+    local = kept_if_small(pairs)
+    asked = (pairs if local is None else local).groupBy("doc_id").agg(F.collect_set("q_id").alias("_queries"))
+    wanted = asked if local is None else F.broadcast(asked)
+    return rows.select("doc_id", "vector").join(wanted, "doc_id").mapInArrow(run, schema)
 
 
-def _join_best(tokens: DataFrame, rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Any number of query tokens: joins on document and query, best value by partial aggregation."""
-    pairs = (
-        candidates.join(rows.select("doc_id", F.col("vector").alias("_item")), "doc_id")
-        .join(tokens.select("q_id", "q_seq", F.col("vector").alias("_token")), "q_id")
+def _tile_best(tokens: DataFrame, rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Any number of query tokens: tiles of a document's rows meet tiles of the tokens that ask for it."""
+    asking = candidates.join(tokens.select("q_id", "q_seq", "vector"), "q_id")
+    items = rows.select("doc_id", "seq_id", "vector")
+    widest = tokens.select(F.size("vector").alias("dim")).first()
+    left, right = cut_into_tiles(
+        asking, items, "doc_id", ["q_id", "q_seq"], ["seq_id"], widest.dim if widest else 1
     )
-    return pairs.groupBy("q_id", "doc_id", "q_seq").agg(F.max(dot("_token", "_item")).alias("best"))
+    schema = T.StructType(
+        [
+            tokens.schema["q_id"],
+            rows.schema["doc_id"],
+            tokens.schema["q_seq"],
+            T.StructField("best", T.DoubleType()),
+        ]
+    )
+
+    def meet(asked: pa.Table, found: pa.Table) -> pa.Table:
+        out = to_arrow_schema(schema)
+        if not asked.num_rows or not found.num_rows:
+            return out.empty_table()
+        kept, queries = arrow_matrix(asked.column("vector"))
+        top = np.full(len(kept), -np.inf)
+        for batch in found.combine_chunks().to_batches(max_chunksize=4096):
+            _, items = arrow_matrix(batch.column("vector"))
+            if len(items):
+                np.maximum(top, (queries @ items.T).max(axis=1), out=top)
+        names = asked.select(["q_id", "doc_id", "q_seq"]).take(pa.array(kept))
+        result = pa.table([*names.columns, pa.array(top)], names=out.names).cast(out)
+        return result.filter(pa.array(np.isfinite(top)))
+
+    on = ["doc_id", "_q", "_c"]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(meet, schema)
 
 
 def fetch_documents(rows: DataFrame, candidates: DataFrame, limit: int | None = None) -> DataFrame:

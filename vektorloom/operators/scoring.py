@@ -7,6 +7,8 @@ sliced running sums, so a question with very many contexts is not gathered in on
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -83,46 +85,39 @@ def answer_accuracy(ratings: DataFrame, key: str = "q_id", rating: str = "rating
     return ratings.groupBy(key).agg((F.avg(F.col(rating).cast("double")) / 4.0).alias("answer_accuracy"))
 
 
+def clipped_precision(made: Sequence[str], given: Sequence[str], n: int) -> float:
+    """Share of the n-grams of one word list that the other one covers, each as often as it holds it."""
+    ours = Counter(zip(*(made[i:] for i in range(n))))
+    theirs = Counter(zip(*(given[i:] for i in range(n))))
+    return (ours & theirs).total() / max(ours.total(), 1)
+
+
 def bleu(
     pairs: DataFrame, key: str = "q_id", response: str = "response", reference: str = "reference", max_n: int = 2
 ) -> DataFrame:
-    """BLEU per row: clipped n-gram precision, geometric mean, brevity penalty. Whole texts."""
-    tokens = spread_small(pairs.select(key, response, reference)).select(key, words(F.col(response)).alias("_r"), words(F.col(reference)).alias("_t"))
-    numbered = tokens.select(
-        key,
-        "_r",
-        "_t",
-        F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"),
-    )
-
-    def grams(side: str):
-        starts = F.sequence(F.lit(1), F.size(side) - F.col("n") + 1)
-        lists = F.transform(starts, lambda i: F.array_join(F.slice(F.col(side), i, F.col("n")), " "))
-        return F.when(F.size(side) >= F.col("n"), lists).otherwise(F.array().cast("array<string>"))
-
-    def counted(side: str, name: str) -> DataFrame:
-        exploded = numbered.select(key, "n", F.explode(grams(side)).alias("gram"))
-        return exploded.groupBy(key, "n", "gram").agg(F.count("*").alias(name))
-
-    matched = (
-        counted("_r", "_made")
-        .join(counted("_t", "_given"), [key, "n", "gram"], "left")
-        .groupBy(key, "n")
-        .agg(
-            F.sum(F.least("_made", F.coalesce("_given", F.lit(0)))).alias("_hit"),
-            F.sum("_made").alias("_total"),
-        )
-    )
-    lengths = tokens.select(key, F.size("_r").alias("_len_r"), F.size("_t").alias("_len_t"))
-    log_precision = F.when(F.col("_hit") > 0, F.log(F.col("_hit") / F.col("_total")))
-    means = matched.groupBy(key).agg(
-        F.sum(log_precision).alias("_log"), F.count(log_precision).alias("_orders")
-    )
-    penalty = F.when(F.col("_len_r") > F.col("_len_t"), F.lit(1.0)).otherwise(
-        F.exp(1.0 - F.try_divide(F.col("_len_t").cast("double"), F.col("_len_r").cast("double")))
-    )
-    score = F.when(F.col("_orders") == max_n, F.exp(F.col("_log") / max_n) * penalty).otherwise(F.lit(0.0))
-    return lengths.join(means, key, "left").select(key, F.coalesce(score, F.lit(0.0)).alias("bleu"))
+    """BLEU per row: clipped n-gram precision, geometric mean, brevity penalty. Whole texts.
+
+    All n-grams of a pair come from its own row, so they are counted inside the row; grouping
+    exploded n-grams instead would shuffle several times the volume of the texts.
+    """
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for responses, references in batches:
+            scores = []
+            for made, given in zip(responses.map(list), references.map(list)):
+                shares = [clipped_precision(made, given, n) for n in range(1, max_n + 1)]
+                if min(shares) == 0:
+                    scores.append(0.0)
+                    continue
+                penalty = 1.0 if len(made) > len(given) else math.exp(1 - len(given) / len(made))
+                scores.append(math.exp(sum(map(math.log, shares)) / max_n) * penalty)
+            yield pd.Series(scores, dtype="float64")
+
+    rows = spread_small(pairs.select(key, response, reference))
+    empty = F.array().cast("array<string>")
+    made, given = (F.coalesce(words(F.col(c)), empty) for c in (response, reference))
+    return rows.select(key, score(made, given).alias("bleu"))
 
 
 def metric_means(scores: DataFrame, metrics: Sequence[str]) -> DataFrame:

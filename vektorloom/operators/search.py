@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from vektorloom.functions.vectors import LARGER_FIRST, arrow_matrix, check_metric, score_matrix
 from vektorloom.functions.vectors import score as exact_score
 from vektorloom.operators.ranking import top_per_key
+from vektorloom.operators.spread import send_if_small
 
 MAX_SCAN_QUERIES = 16_384
 MAX_SCAN_BYTES = 64 << 20
@@ -229,6 +230,31 @@ def _grid(queries, items, schema, k, metric, query_keys, item_keys, query_vector
     )
 
 
+def cut_into_tiles(queries: DataFrame, items: DataFrame, on: str, query_keys, item_keys, dim: int):
+    """Both sides with tile numbers ``_q`` and ``_c``, so that a hot value of ``on`` is split.
+
+    Every value of ``on`` gets as many tiles per side as its rows need; each side is repeated for
+    the tiles of the other one, and the pairs of tiles meet on ``(on, _q, _c)``.
+    """
+    def needed(side: DataFrame, tile_bytes: int, name: str) -> DataFrame:
+        tiles = F.ceil(F.count("*") / F.lit(tile_rows(tile_bytes, dim))).cast("long")
+        return side.groupBy(on).agg(tiles.alias(name))
+
+    sizes = needed(items, ITEM_TILE_BYTES, "_nc").join(needed(queries, QUERY_TILE_BYTES, "_nq"), on)
+    first = F.lit(0).cast("long")
+    left = queries.join(sizes, on).select(
+        *queries.columns,
+        F.pmod(F.xxhash64(*query_keys), F.col("_nq")).alias("_q"),
+        F.explode(F.sequence(first, F.col("_nc") - 1)).alias("_c"),
+    )
+    right = items.join(sizes, on).select(
+        *items.columns,
+        F.explode(F.sequence(first, F.col("_nq") - 1)).alias("_q"),
+        F.pmod(F.xxhash64(*item_keys), F.col("_nc")).alias("_c"),
+    )
+    return left, right
+
+
 def meet_tiles(
     left, right, on, schema, k, metric, query_keys, item_keys, query_vector, item_vector, digits
 ) -> DataFrame:
@@ -278,9 +304,10 @@ def rescored(
 ) -> DataFrame:
     """Score an over-fetched candidate list exactly and keep ``k``."""
     metric = check_metric(metric)
+    wanted = send_if_small(candidates.select(*query_keys, *item_keys))
     pairs = (
-        candidates.select(*query_keys, *item_keys)
-        .join(collection.select(*item_keys, F.col(item_vector).alias("_item")), list(item_keys))
+        collection.select(*item_keys, F.col(item_vector).alias("_item"))
+        .join(wanted, list(item_keys))
         .join(queries.select(*query_keys, F.col(query_vector).alias("_query")), list(query_keys))
     )
     hits = pairs.select(

@@ -1,8 +1,12 @@
-"""Using all cores on small inputs."""
+"""Spreading small inputs over the cores, and sending small results to every task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: rows of keys and scores that may be sent to every task
+MAX_SENT_ROWS = 1_000_000
 
 #: a scan split of Spark's default size
 SPLIT_BYTES = 128 << 20
@@ -18,3 +22,20 @@ def spread_small(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if estimate < cores * SPLIT_BYTES else df
+
+
+def kept_if_small(df: DataFrame) -> DataFrame | None:
+    """The frame as a local table if it has at most ``MAX_SENT_ROWS`` rows, else None.
+
+    For narrow results such as hit lists; the rows are computed here, once.
+    """
+    rows = df.limit(MAX_SENT_ROWS + 1).toArrow()
+    if rows.num_rows > MAX_SENT_ROWS:
+        return None
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def send_if_small(df: DataFrame) -> DataFrame:
+    """The frame marked for broadcast if it is small; a larger one is left to a shuffled join."""
+    local = kept_if_small(df)
+    return df if local is None else F.broadcast(local)

@@ -18,6 +18,7 @@ from vektorloom.operators.prompting import (
 )
 from vektorloom.operators.rerank import ScorerFactory, rerank
 from vektorloom.operators.search import similarity_top_k
+from vektorloom.operators.spread import send_if_small
 
 
 def retrieve(
@@ -60,9 +61,9 @@ def retrieve_pages(
     tokens: DataFrame, rows: DataFrame, top_k: int = 2, per_token: int = 50, metric: str = "ip"
 ) -> DataFrame:
     """Page retrieval: candidates per token vector, then late interaction; with the page's file."""
-    found = max_sim(tokens, rows, candidate_documents(tokens, rows, per_token, metric), top_k)
-    files = rows.groupBy("doc_id").agg(F.first("filepath", ignorenulls=True).alias("filepath"))
-    return found.join(files, "doc_id")
+    found = send_if_small(max_sim(tokens, rows, candidate_documents(tokens, rows, per_token, metric), top_k))
+    named = rows.select("doc_id", "filepath").join(found, "doc_id")
+    return named.groupBy("q_id", "doc_id", "score", "rank").agg(F.max("filepath").alias("filepath"))
 
 
 def page_prompts(questions: DataFrame, pages: DataFrame) -> DataFrame:
