@@ -108,6 +108,10 @@ def test_run_report(spark, run_dir):
     assert [(r.seconds, r.free_gib, r.available_gib, r.cached_gib) for r in memory] == [
         (pytest.approx(i / 10), 1.0, None, 2.0) for i in range(3)
     ]
+    probes = framed.probe_groups(framed.read_metrics(spark, path, "mem"), "meminfo_metrics", ["basic_metrics"])
+    assert probes.columns == ["run", "sample_idx", "basic_metrics"] and probes.first().basic_metrics.mem_free == 1 << 20
+    with pytest.raises(ValueError, match="unknown probes"):
+        framed.probe_groups(framed.read_metrics(spark, path, "mem"), "meminfo_metrics", ["fans"])
     stages = run_report.stages(spark, path).orderBy("ts_ns").collect()
     assert [(r.tag, r.duration) for r in stages] == [
         ("start", SECOND), ("embed", 2 * SECOND), ("free models", SECOND), ("done", None)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from vektorloom.operators.embedding import require_valid
 from vektorloom.operators.ranking import latest_per_key
+from vektorloom.operators.spread import send_if_small
 from vektorloom.session import remove_folder
 
 TEXT_FIELDS = [
@@ -182,20 +183,24 @@ def unpaired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def newer_than(current: DataFrame, changes: DataFrame, key: str, version: str = "version") -> DataFrame:
     """Changes that are at least as new as the stored row of their key."""
-    stored = current.select(key, F.col(version).alias("_stored"))
+    keys = send_if_small(changes.select(key))
+    stored = current.select(key, F.col(version).alias("_stored")).join(keys, key, "left_semi")
     return changes.join(stored, key, "left").where(
         F.col("_stored").isNull() | (F.col(version) >= F.col("_stored"))
     ).drop("_stored")
 
 
 def merged(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Current rows without a change, and the changed rows. ``changes`` has one row per key."""
+    """Current rows without a change, and the changed rows. ``changes`` has one row per key.
+
+    The keys of a small change set are sent to the current rows, which are then not shuffled.
+    """
     typed = changes
     for field in current.schema:
         if field.name not in changes.columns:
             typed = typed.withColumn(field.name, F.lit(None).cast(field.dataType))
     typed = typed.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in current.schema])
-    untouched = current.join(changes.select(key), key, "left_anti").select(current.columns)
+    untouched = current.join(send_if_small(changes.select(key)), key, "left_anti").select(current.columns)
     return untouched.unionByName(typed)
 
 
@@ -203,5 +208,5 @@ def apply_changes(current: DataFrame, feed: DataFrame, key: str = "id", version:
     """A change feed of inserts, updates and deletes: the highest version of a key decides."""
     last = latest_per_key(feed, [key], [version])
     kept = merged(current, last, key)
-    gone = last.where(F.col(op) == "delete").select(key)
+    gone = send_if_small(last.where(F.col(op) == "delete").select(key))
     return kept.join(gone, key, "left_anti").select(current.columns)

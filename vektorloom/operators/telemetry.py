@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vektorloom.functions.units import bytes_to_gib
 from vektorloom.operators.series import centred_mean, last_known, running_sum, with_neighbour
+from vektorloom.operators.spread import send_if_small
 
 # The ten CPU states of one core sample.
 CPU_STATES = (
@@ -101,9 +102,12 @@ def stage_durations(
 
 
 def with_group_values(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
-    """Group aggregates next to every row: partial aggregation and a join, no group-wide window."""
+    """Group aggregates next to every row: partial aggregation and a join, no group-wide window.
+
+    Few groups are sent to the rows, so the rows stay where they are.
+    """
     grouped = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggregates.items()])
-    return df.join(grouped, list(keys))
+    return df.join(send_if_small(grouped), list(keys))
 
 
 def stage_shares(durations: DataFrame, keys: Sequence[str], value: str = "duration") -> DataFrame:
@@ -172,12 +176,13 @@ def with_dimension(df: DataFrame, dimension: DataFrame, on: Sequence[str]) -> Da
 
 def only_members(df: DataFrame, members: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of the chosen devices or processes."""
-    return df.join(members.select(*on), list(on), "left_semi")
+    return df.join(send_if_small(members.select(*on).distinct()), list(on), "left_semi")
 
 
 def moving_series(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows of the series that are not zero throughout."""
-    return df.join(df.groupBy(*keys).agg(F.max(value).alias("_peak")).where("_peak > 0").select(*keys), list(keys), "left_semi")
+    moving = df.groupBy(*keys).agg(F.max(value).alias("_peak")).where("_peak > 0")
+    return df.join(send_if_small(moving.select(*keys)), list(keys), "left_semi")
 
 
 def throughput(df: DataFrame, keys: Sequence[str], at: str, ticks_per_second: float = 1e9) -> DataFrame:
@@ -194,12 +199,14 @@ def exact_quantiles(df: DataFrame, key: str, value: str, shares: Sequence[float]
     Two zoom levels count values per bin with partial aggregation and keep only the bins that hold
     a wanted position: first on an inverse hyperbolic sine scale, which outliers do not stretch,
     then evenly between the smallest and largest value of a kept bin. Only values of the last
-    bins are put in order, collapsed to distinct values. No group is gathered in one task.
+    bins are put in order, collapsed to distinct values. No group is gathered in one task, and
+    the rows are not shuffled: the kept bins, a few per key, are sent to them at every level.
     """
     rows = df.select(key, F.col(value).cast("double").alias("_v"), F.lit(0).cast("long").alias("_path")).where(
         F.col("_v").isNotNull()
     )
     spans = rows.groupBy(key, "_path").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    spans = send_if_small(spans)
     positions = F.array(*[F.struct(F.lit(s).alias("share"), (F.lit(s) * (F.col("_n") - 1)).alias("_pos")) for s in shares])
     wanted = spans.select(key, F.explode(positions).alias("_w")).select(key, "_w.share", "_w._pos")
     ends = F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))
@@ -221,7 +228,7 @@ def exact_quantiles(df: DataFrame, key: str, value: str, shares: Sequence[float]
         inside = (F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + F.col("_c"))
         located = targets.withColumnRenamed("_path", "_parent").join(placed, [key, "_parent"]).where(inside)
         targets = located.select(key, "share", "_pos", "_at", "_path")
-        kept = located.select(key, "_path", "_start", "_low", "_high").distinct()
+        kept = send_if_small(located.select(key, "_path", "_start", "_low", "_high").distinct())
         rows = rows.drop("_start", "_parent")
 
     values = rows.join(kept, [key, "_path"]).groupBy(key, "_path", "_start", "_v").agg(F.count("*").alias("_c"))

@@ -283,6 +283,14 @@ def per_device(samples: DataFrame, devices: str, position: str) -> DataFrame:
     return exploded.select("run", "sample_idx", "ts_ns", F.col(position).cast("long").alias(position), "_d.*")
 
 
+def probe_groups(samples: DataFrame, parent: str, groups: list[str]) -> DataFrame:
+    """Only the chosen column groups of a sample, e.g. some memory probes."""
+    known = set(samples.schema[parent].dataType.names)
+    if unknown := set(groups) - known:
+        raise ValueError(f"unknown probes {sorted(unknown)}; use some of {sorted(known)}")
+    return samples.select("run", "sample_idx", *[F.col(f"{parent}.{g}").alias(g) for g in groups])
+
+
 def memory_gib(samples: DataFrame, period: float = 0.1) -> DataFrame:
     """Free, available, buffered and cached memory in GiB; time from position and period."""
     info = F.col("meminfo_metrics")

@@ -55,8 +55,24 @@ def run_sessions(stream: DataFrame, keys: Sequence[str], at: str, gap: str, late
     return spans.drop("w")
 
 
-def write_table(stream: DataFrame, path: str, progress: str, **trigger) -> StreamingQuery:
-    """Append finished rows to parquet."""
+def write_table(
+    stream: DataFrame, path: str, progress: str, state_partitions: int | None = None, **trigger
+) -> StreamingQuery:
+    """Append finished rows to parquet.
+
+    ``state_partitions`` is fixed with the first run of a job; by default it is the session's
+    number of shuffle partitions.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(state_partitions or before))
+    try:
+        return _start_table(stream, path, progress, trigger)
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _start_table(stream: DataFrame, path: str, progress: str, trigger: dict) -> StreamingQuery:
     return (
         stream.writeStream.format("parquet")
         .outputMode("append")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from vektorloom.operators import chunking, embedding
 from vektorloom.operators.index import Cells, ProductCodes, ScalarCodes, build_index, coded_top_k, probe_top_k
 from vektorloom.operators.late_interaction import candidate_documents, fetch_documents, max_sim
-from vektorloom.operators.ranking import top_per_key, with_row_index
+from vektorloom.operators.ranking import best_overall, top_per_key, with_row_index
 from vektorloom.operators.rerank import rerank
 from vektorloom.operators.search import hit_report, rescored, search_batches, similarity_top_k
-from vektorloom.plans.answering import answer, retrieve
+from vektorloom.plans.answering import answer, page_prompts, retrieve, retrieve_pages
 from vektorloom.session import scratch_path
 from workload.registry import query, table
 from workload.texts import BUCKET_SQL, PROMPT_SQL, WORDS_SQL, chunks_sql
@@ -258,6 +258,30 @@ def maxsim(spark, sf):
     return max_sim(tokens, rows, candidate_documents(tokens, rows, 50), 5)
 
 
+@query(
+    f"""WITH {TOKENS_SQL},
+    best AS (SELECT q_id, doc_id, q_seq, max(dot) AS best FROM dots SEMI JOIN candidate USING (q_id, doc_id) GROUP BY ALL),
+    total AS (SELECT q_id, doc_id, round(sum(best), 6) AS score FROM best GROUP BY ALL),
+    top AS (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rn FROM total),
+    images AS (SELECT q_id, string_agg('{{"type":"image","image":"doc' || doc_id || '.png"}}', ',' ORDER BY rn) AS images
+      FROM top WHERE rn <= 2 GROUP BY q_id)
+    SELECT item_id AS q_id, md5('[{{"role":"user","content":[' || images || ',{{"type":"text","text":' ||
+      to_json(text)::VARCHAR || '}}]}}]') AS messages_md5 FROM benchmark JOIN images ON item_id = q_id"""
+)
+def page_answers(spark, sf):
+    """Two best pages per question by late interaction, as a chat turn."""
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".png"))
+    pages = retrieve_pages(question_tokens(spark, sf), stored_collection(spark, sf).withColumn("filepath", name), 2)
+    asked = page_prompts(questions_of(spark, sf), pages)
+    return asked.select("q_id", F.md5(F.to_json("messages")).alias("messages_md5"))
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
+def longest_documents(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return best_overall(rows, [F.col("n_chars").desc(), F.col("doc_id")], 20)
+
+
 @query(
     """SELECT label, vec_id, rank, score FROM (SELECT label, vec_id, score,
       row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) - 1 AS rank FROM (

@@ -23,7 +23,8 @@ def event_stream(spark, sf):
 def finished(spark, stream, name):
     """Run an append-mode stream over everything that has landed and read its output."""
     out = scratch_path(spark, name)
-    jobs.write_table(stream, out, scratch_path(spark, f"{name}-progress")).awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    jobs.write_table(stream, out, scratch_path(spark, f"{name}-progress"), state_partitions=cores).awaitTermination()
     return spark.read.parquet(out)
 
 
