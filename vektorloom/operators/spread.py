@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 #: rows of keys and scores that may be sent to every task
 MAX_SENT_ROWS = 1_000_000
 
-#: a scan split of Spark's default size
+#: a scan split of Spark's default size, the smallest piece worth a task, and what may be shuffled for it
 SPLIT_BYTES = 128 << 20
+PIECE_BYTES = 256 << 10
+MAX_SPREAD_BYTES = 4 << 30
 
 
 def spread_small(df: DataFrame) -> DataFrame:
@@ -17,11 +19,13 @@ def spread_small(df: DataFrame) -> DataFrame:
 
     A small table often sits in one file and would be worked on by one task. The size is the
     optimizer's estimate (no job runs); large inputs already have enough splits and are returned
-    as they are, without a shuffle.
+    as they are, without a shuffle, and so are tiny ones.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if estimate < cores * SPLIT_BYTES else df
+    pieces = min(cores, estimate // PIECE_BYTES + 1)
+    small = estimate < min(cores * SPLIT_BYTES, MAX_SPREAD_BYTES)
+    return df.repartition(int(pieces)) if small and pieces > 1 else df
 
 
 def kept_if_small(df: DataFrame) -> DataFrame | None:

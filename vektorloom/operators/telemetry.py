@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vektorloom.functions.units import bytes_to_gib
 from vektorloom.operators.series import centred_mean, last_known, running_sum, with_neighbour
-from vektorloom.operators.spread import send_if_small
+from vektorloom.operators.spread import kept_if_small, send_if_small
 
 # The ten CPU states of one core sample.
 CPU_STATES = (
@@ -227,8 +227,11 @@ def exact_quantiles(df: DataFrame, key: str, value: str, shares: Sequence[float]
         placed = counts.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_c").over(before), F.lit(0)))
         inside = (F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + F.col("_c"))
         located = targets.withColumnRenamed("_path", "_parent").join(placed, [key, "_parent"]).where(inside)
+        local = kept_if_small(located.select(key, "share", "_pos", "_at", "_path", "_start", "_low", "_high"))
+        located = located if local is None else local
         targets = located.select(key, "share", "_pos", "_at", "_path")
-        kept = send_if_small(located.select(key, "_path", "_start", "_low", "_high").distinct())
+        kept = located.select(key, "_path", "_start", "_low", "_high").distinct()
+        kept = kept if local is None else F.broadcast(kept)
         rows = rows.drop("_start", "_parent")
 
     values = rows.join(kept, [key, "_path"]).groupBy(key, "_path", "_start", "_v").agg(F.count("*").alias("_c"))
