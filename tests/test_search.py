@@ -79,6 +79,23 @@ def test_fewer_items_than_k(spark, data):
     assert search.similarity_top_k(queries, small, 10, "cosine").count() == 7
 
 
+def test_no_queries_give_no_hits(spark, data):
+    collection, queries, _, _ = data
+    none = queries.where("q_id < 0")
+    cells = index.Cells(np.zeros((2, DIM)), "l2")
+    codes = index.ScalarCodes.train(collection)
+    for hits in (
+        search.similarity_top_k(none, collection, 3),
+        search.similarity_top_k(none, collection, 3, strategy="grid"),
+        search.similarity_top_k(queries, collection.where("id < 0"), 3),
+        search.similarity_top_k(queries, collection.where("id < 0"), 3, strategy="grid"),
+        index.probe_top_k(none, cells.assign(collection), cells, 3),
+        index.probe_top_k(none, cells.assign(collection), cells, 3, strategy="grid"),
+        index.coded_top_k(none, codes.encode(collection), codes, collection, 3),
+    ):
+        assert hits.count() == 0
+
+
 def test_wrong_length_raises(spark, data):
     _, queries, _, _ = data
     with pytest.raises(Exception, match="expected 8"):

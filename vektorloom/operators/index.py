@@ -175,7 +175,7 @@ def _cell_scorer(metric: str, probed: np.ndarray, vector: str):
 
 
 def _scan_cells(block, indexed, cells, schema, k, nprobe, item_keys, vector, digits):
-    probed = cells.nearest(block.matrix, nprobe)
+    probed = cells.nearest(block.matrix.reshape(-1, cells.centroids.shape[1]), nprobe)
     wanted = np.unique(probed).tolist()
     items = indexed.where(F.col("cell").isin(wanted)).select(*item_keys, vector, "cell")
     return scan_partitions(

@@ -71,7 +71,7 @@ def _block_best(block: QueryBlock, tokens: DataFrame, rows: DataFrame, candidate
         q_seqs = np.array(shared.value.keys.column("q_seq").to_pylist())
         matrix = shared.value.matrix
         tokens_of = {q: np.flatnonzero(q_ids == q) for q in set(q_ids.tolist())}
-        for batch in batches:
+        for batch in batches if len(matrix) else ():
             kept, items = arrow_matrix(batch.column("vector"), matrix.shape[1])
             if not len(kept):
                 continue

@@ -143,7 +143,7 @@ def scan_partitions(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
         best = BestK(k, larger_first, digits)
-        for batch in batches:
+        for batch in batches if len(queries.matrix) else ():
             for query_rows, rows, scores in score_batch(queries.matrix, batch):
                 best.add(scores, query_rows, [column_values(batch, c, rows) for c in item_keys])
         yield from best.batch(queries.keys, to_arrow_schema(schema))
