@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -69,16 +70,16 @@ def set_id(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
 
 
-def block_keys(tokens: np.ndarray, rule: Rule) -> list[np.ndarray]:
+def block_keys(tokens: np.ndarray, rule: Rule) -> np.ndarray:
     """Keys of the index lists that a set belongs to.
 
     In the order of their hashes, the elements are cut at fixed places into blocks. A list holds the sets that agree
     in one whole block of one size class. A set joins the lists of its own class and of the class of the largest set
     it may link with; so two linked sets share a class and, differing in fewer elements than there are blocks, a list.
     """
-    n, out = len(tokens), []
+    n, out = len(tokens), [np.zeros(0, np.uint64)]
     if not n:
-        return out
+        return out[0]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens), dtype=np.uint64)])
     own, above = np.searchsorted(_EDGES, [n, n * rule.of // rule.part], "right") - 1
     for size_class in {int(own), int(above)}:
@@ -88,48 +89,45 @@ def block_keys(tokens: np.ndarray, rule: Rule) -> list[np.ndarray]:
             cuts = np.append(np.searchsorted(tokens, first), n)
             place = np.arange(blocks, dtype=np.uint64) + np.uint64(size_class << 40)
             out.append(mixed((sums[cuts[1:]] - sums[cuts[:-1]]) ^ mixed(place + np.uint64(1))))
-    return out
+    return np.concatenate(out)
+
+
+def only_in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Elements of the sorted ``x`` that the sorted ``y`` lacks."""
+    if not len(x) or not len(y):
+        return x
+    return x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] != x]
+
+
+def united(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sort(np.concatenate([x, y]))
 
 
 def document_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``doc_id, n, cls``: size and name of each document's set; empty sets have no name."""
+    """``doc_id, n, cls, keys``: size and name of each document's set, and its lists. Empty sets have no name; sets of
+    documents without an id have no lists."""
 
     def make():
         words = WordHashes()
 
         def work(rows):
             sets = [shingle_set(words.of(t), rule.words) for t in rows["text"]]
-            return {"doc_id": rows["doc_id"], "n": [len(s) for s in sets], "cls": [set_id(s) if len(s) else None for s in sets]}
+            return {
+                "doc_id": rows["doc_id"],
+                "n": [len(s) for s in sets],
+                "cls": [set_id(s) if len(s) else None for s in sets],
+                "keys": [signed(block_keys(s, rule)) if i is not None else [] for i, s in zip(rows["doc_id"], sets)],
+            }
 
         return work
 
-    return map_rows(_texts(docs), make, "doc_id long, n long, cls long")
+    return map_rows(_texts(docs), make, "doc_id long, n long, cls long, keys array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def list_entries(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``key, cls`` of the block lists."""
-
-    def make():
-        words = WordHashes()
-
-        def work(rows):
-            keys, names = [], []
-            for text in rows["text"]:
-                tokens = shingle_set(words.of(text), rule.words)
-                for block in block_keys(tokens, rule):
-                    keys += signed(block)
-                    names += [set_id(tokens)] * len(block)
-            return {"key": keys, "cls": names}
-
-        return work
-
-    return map_rows(_texts(docs).where("doc_id IS NOT NULL"), make, "key long, cls long")
-
-
 def needed_sets(docs: DataFrame, names: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """``cls, tokens`` (sorted, packed) of the named sets, from one document each."""
     ids = send_if_small(names.join(classes, "cls").select("doc_id").distinct())
@@ -147,42 +145,79 @@ def needed_sets(docs: DataFrame, names: DataFrame, classes: DataFrame, rule: Rul
     return found.join(names, "cls", "left_semi").dropDuplicates(["cls"])
 
 
+ANSWER = "cls long, lead long, n long, linked boolean, added long, diff binary"
+
+
+def answer(rows: dict[str, list], differences, rule: Rule) -> dict[str, list]:
+    """Answers from what sets and their leaders have alone."""
+    out = {"cls": rows["cls"], "lead": rows["lead"], "n": rows["n"], "linked": [], "added": [], "diff": []}
+    for n, lead_n, many, (added, missing) in zip(rows["n"], rows["lead_n"], rows["many"], differences):
+        differ = rule.per_difference * (len(added) + len(missing))
+        out["linked"].append(differ <= rule.per_element * (n + lead_n))
+        out["added"].append(len(added))
+        out["diff"].append(np.concatenate([added, missing]).tobytes() if many else b"")
+    return out
+
+
+def with_followers(pairs: DataFrame) -> DataFrame:
+    """Pairs with ``many``: whether their leader has other followers; without any, no more is derived from them."""
+    return pairs.join(pairs.groupBy("lead").agg((F.count("*") > 1).alias("many")), "lead")
+
+
 def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Each set against the leader of its list: ``cls, lead, n, linked, added, diff``.
 
     ``diff`` has the elements in only one of the two: first ``added`` ones that the leader lacks, then those that only
-    the leader has. All later answers are derived from it. It is left out where a leader has one follower.
+    the leader has. All later answers are derived from it.
     """
-    followers = pairs.groupBy("lead").agg((F.count("*") > 1).alias("many"))
     own = sets.select("cls", F.col("tokens").alias("own"))
-    theirs = sets.select(F.col("cls").alias("lead"), F.col("tokens").alias("theirs")).join(followers, "lead")
-    met = pairs.join(own, "cls").join(theirs, "lead").select("cls", "lead", "many", "own", "theirs")
+    theirs = sets.select(F.col("cls").alias("lead"), F.col("tokens").alias("theirs"))
+    met = with_followers(pairs).join(own, "cls").join(theirs, "lead").select("cls", "lead", "many", "own", "theirs")
 
     def make():
         def work(rows):
-            out = {"cls": rows["cls"], "lead": rows["lead"], "n": [], "linked": [], "added": [], "diff": []}
-            for own, theirs, many in zip(rows["own"], rows["theirs"], rows["many"]):
-                x, y = np.frombuffer(own, np.uint64), np.frombuffer(theirs, np.uint64)
-                added, missing = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
-                differ = rule.per_difference * (len(added) + len(missing))
-                out["n"].append(len(x))
-                out["linked"].append(differ <= rule.per_element * (len(x) + len(y)))
-                out["added"].append(len(added))
-                out["diff"].append(np.concatenate([added, missing]).tobytes() if many else b"")
-            return out
+            both = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(rows["own"], rows["theirs"])]
+            rows |= {"n": [len(x) for x, _ in both], "lead_n": [len(y) for _, y in both]}
+            return answer(rows, ((only_in(x, y), only_in(y, x)) for x, y in both), rule)
 
         return work
 
-    return map_rows(met, make, "cls long, lead long, n long, linked boolean, added long, diff binary")
+    return map_rows(met, make, ANSWER)
+
+
+def derived(pairs: DataFrame, departures: DataFrame, rule: Rule) -> DataFrame:
+    """The same answers for sets that both have departures from one centre (that of leader ``via``): their difference
+    is that of their departures, and the sets themselves are not needed again."""
+    own = departures.select("cls", F.col("lead").alias("via"), "n", "added", "diff")
+    theirs = own.select(F.col("cls").alias("lead"), "via", F.col("n").alias("lead_n"), F.col("added").alias("lead_added"), F.col("diff").alias("lead_diff"))
+    met = with_followers(pairs).join(own, ["cls", "via"]).join(theirs, ["lead", "via"])
+
+    def make():
+        def work(rows):
+            def differences():
+                for added, diff, lead_added, lead_diff in zip(*(rows[c] for c in ("added", "diff", "lead_added", "lead_diff"))):
+                    x, y = np.frombuffer(diff, np.uint64), np.frombuffer(lead_diff, np.uint64)
+                    x_more, x_less, y_more, y_less = x[:added], x[added:], y[:lead_added], y[lead_added:]
+                    yield (
+                        united(only_in(x_more, y_more), only_in(y_less, x_less)),
+                        united(only_in(y_more, x_more), only_in(x_less, y_less)),
+                    )
+
+            return answer(rows, differences(), rule)
+
+        return work
+
+    columns = met.select("cls", "lead", "many", "n", "lead_n", "added", "diff", "lead_added", "lead_diff")
+    return map_rows(columns, make, ANSWER)
 
 
 def centred(answers: DataFrame, rule: Rule) -> DataFrame:
-    """Followers of leaders that have not settled all of them: ``cls, lead, excess, diff``.
+    """Followers of leaders that have not settled all of them: ``cls, lead, n, excess, added, diff``.
 
     Differences between two sets are the same from any third set, so the leader gives way to its followers' centre:
     the elements that most of them have. From there sets that changed in their own ways share next to nothing.
-    ``diff`` has the elements in which a set departs from the centre, first those that the centre lacks, and
-    ``excess`` is ``per_difference * |diff| - per_element * |set|``: sets x and y differ in
+    ``diff`` has the elements in which a set departs from the centre, first the ``added`` ones that the centre lacks,
+    and ``excess`` is ``per_difference * |diff| - per_element * |set|``: sets x and y differ in
     |diff x| + |diff y| - 2 |both| elements, so they link exactly if their diffs share at least
     ``(excess x + excess y) / (2 * per_difference)`` elements.
     """
@@ -209,23 +244,22 @@ def centred(answers: DataFrame, rule: Rule) -> DataFrame:
 
     def make():
         def work(rows):
-            out = {"cls": rows["cls"], "lead": rows["lead"], "excess": [], "diff": []}
+            out = {"cls": rows["cls"], "lead": rows["lead"], "n": rows["n"], "excess": [], "added": [], "diff": []}
             for n, added, diff, moved in zip(rows["n"], rows["added"], rows["diff"], rows["moved"]):
                 elements = np.frombuffer(diff, np.uint64)
-                flips = [np.array([m["element"] for m in moved or [] if m["missing"] is side], np.int64).view(np.uint64) for side in (False, True)]
-                # an element the leader lacks and the centre has, or the other way round, departs for those that kept it
-                more = [np.setdiff1d(elements[:added], flips[0]), np.setdiff1d(flips[1], elements[added:])]
-                less = [np.setdiff1d(elements[added:], flips[1]), np.setdiff1d(flips[0], elements[:added])]
-                departs = [*map(np.sort, map(np.concatenate, (more, less)))]
-                size = sum(map(len, departs))
-                out["excess"].append(rule.per_difference * size - rule.per_element * n)
-                out["diff"].append(np.concatenate(departs).tobytes())
+                flips = [np.sort(np.array([m["element"] for m in moved or [] if m["missing"] is side], np.int64).view(np.uint64)) for side in (False, True)]
+                # an element that the centre has against the leader departs for those that agree with the leader
+                more = united(only_in(elements[:added], flips[0]), only_in(flips[1], elements[added:]))
+                less = united(only_in(elements[added:], flips[1]), only_in(flips[0], elements[:added]))
+                out["excess"].append(rule.per_difference * (len(more) + len(less)) - rule.per_element * n)
+                out["added"].append(len(more))
+                out["diff"].append(np.concatenate([more, less]).tobytes())
             return out
 
         return work
 
     met = unsettled.join(moved, "lead", "left").select("cls", "lead", "n", "added", "diff", "moved")
-    return map_rows(met, make, "cls long, lead long, excess long, diff binary")
+    return map_rows(met, make, "cls long, lead long, n long, excess long, added long, diff binary")
 
 
 def cores(departures: DataFrame) -> DataFrame:
@@ -244,7 +278,7 @@ def cores(departures: DataFrame) -> DataFrame:
 
 
 def derived_entries(departures: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
-    """``key, cls, comp``: lists of sets that share a leader, a departure from the centre, and a pair of steps.
+    """``key, cls, comp, via``: lists of sets that share a leader ``via``, a departure from the centre, and a pair of steps.
 
     Two sets near the core are connected already. Any other two must share departures, so by the prefix rule one of
     the first ``|diff| - least overlap + 1``. The least overlap follows from the least excess in the other's step, so
@@ -256,7 +290,7 @@ def derived_entries(departures: DataFrame, marks: DataFrame, rule: Rule) -> Data
 
     def make():
         def work(rows):
-            out = {"key": [], "cls": [], "comp": []}
+            out = {"key": [], "cls": [], "comp": [], "via": []}
             for cls, comp, lead, excess, step, steps, diff in zip(*(rows[c] for c in ENTRY)):
                 elements = np.frombuffer(diff, np.uint64)
                 place = mixed(np.array([lead], np.int64).view(np.uint64))
@@ -268,39 +302,50 @@ def derived_entries(departures: DataFrame, marks: DataFrame, rule: Rule) -> Data
                         out["key"] += signed(mixed(prefix ^ (place + np.uint64(low << 32 | high))))
                         out["cls"] += [cls] * len(prefix)
                         out["comp"] += [comp] * len(prefix)
+                        out["via"] += [lead] * len(prefix)
             return out
 
         return work
 
-    return map_rows(met.select(*ENTRY), make, "key long, cls long, comp long")
+    return map_rows(met.select(*ENTRY), make, "key long, cls long, comp long, via long")
 
 
-def leaders(entries: DataFrame, comp: str) -> DataFrame:
-    """``cls, lead``: the sets of each list with the list's smallest set, for lists that join two components."""
+def leaders(entries: DataFrame, comp: str, via: str) -> DataFrame:
+    """``cls, lead, via``: the sets of each list with its smallest set, for lists that join two components.
+
+    Few lists do, so they are sent to the entries if they are small enough; if not, the entries are shuffled.
+    """
     lists = entries.groupBy("key").agg(F.min("cls").alias("lead"), F.min(comp).alias("low"), F.max(comp).alias("high"))
-    met = entries.select("key", "cls").join(lists.where("low <> high").select("key", "lead"), "key")
-    return met.where("cls <> lead").select("cls", "lead").distinct()
+    wanted = settled(lists.where("low <> high").select("key", "lead"), "lists")
+    met = entries.select("key", "cls", F.col(via).alias("via")).join(send_if_small(wanted), "key")
+    return met.where("cls <> lead").groupBy("cls", "lead").agg(F.min("via").alias("via"))
 
 
-def linked_sets(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | None:
+def linked_sets(docs: DataFrame, documents: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | None:
     """``node, comp`` of all sets that link with another one, None if no lists meet.
 
     Every list is answered by its leader; sets that this does not settle go into the lists derived from their diffs,
     whose leaders come later in the order of names, until no list joins two components.
     """
-    pairs = settled(leaders(list_entries(docs, rule), "cls"), "pairs")
-    links, marks = None, None
-    while not pairs.isEmpty():
-        names = pairs.select("cls").union(pairs.select(F.col("lead").alias("cls"))).distinct()
-        sets = settled(needed_sets(docs, settled(names, "names"), classes, rule), "sets")
-        answers = settled(compared(pairs, sets, rule), "answers")
+    entries = documents.select("cls", F.explode("keys").alias("key"))
+    pairs = settled(leaders(entries, "cls", "cls"), "pairs")
+    if pairs.isEmpty():
+        return None
+    names = settled(pairs.select("cls").union(pairs.select("lead")).distinct(), "names")
+    sets = settled(needed_sets(docs, names, classes, rule), "sets")
+    answers = settled(compared(pairs, sets, rule), "answers")
+    links, marks, rounds = [], None, 0
+    while True:
         departures = settled(cores(settled(centred(answers, rule), "centred")), "departures")
-        for linked, other in ((answers.where("linked"), "lead"), (departures.where("step = 0 AND cls <> core"), "core")):
-            new = linked.select(F.col("cls").alias("a"), F.col(other).alias("b"))
-            links = new if links is None else links.union(new)
-        marks = components(links)
-        pairs = settled(leaders(derived_entries(departures, marks, rule), "comp"), "pairs")
-    return marks
+        links.append(answers.where("linked").select(F.col("cls").alias("a"), F.col("lead").alias("b")))
+        links.append(departures.where("step = 0 AND cls <> core").select(F.col("cls").alias("a"), F.col("core").alias("b")))
+        if rounds < 2:  # later on few links are new, and marks that are older only leave more lists
+            marks = components(reduce(DataFrame.union, links))
+        pairs = settled(leaders(derived_entries(departures, marks, rule), "comp", "via"), "pairs")
+        rounds += 1
+        if pairs.isEmpty():
+            return marks if rounds <= 2 else components(reduce(DataFrame.union, links))
+        answers = settled(derived(pairs, departures, rule), "answers")
 
 
 def grouped(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -314,7 +359,7 @@ def grouped(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     documents = settled(document_sets(docs, rule), "document-sets")
     named = documents.where("cls IS NOT NULL AND doc_id IS NOT NULL")
     classes = settled(named.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size")), "classes")
-    marks = linked_sets(docs, classes.select("cls", "doc_id"), rule)
+    marks = linked_sets(docs, documents, classes.select("cls", "doc_id"), rule)
     if marks is None:
         groups = classes.withColumnRenamed("doc_id", "component_id")
     else:
@@ -322,7 +367,7 @@ def grouped(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         first = first.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         of_class = marks.join(first, "comp").select(F.col("node").alias("cls"), "component_id")
         groups = classes.join(of_class, "cls", "left").select("cls", "size", F.coalesce("component_id", "doc_id").alias("component_id"))
-    named_only = documents.withColumn("cls", F.when(F.col("doc_id").isNotNull(), F.col("cls")))
+    named_only = documents.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"))
     return join_groups(named_only, settled(groups, "groups"), "cls", "size").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
