@@ -18,7 +18,7 @@ from vektorloom.operators.spread import send_if_small
 GROWTH = 1.4
 
 #: Factor between the steps of excess.
-STEP = 1.3
+STEP = 1.1
 
 #: What a set's entries are made from.
 ENTRY = ("cls", "comp", "lead", "excess", "step", "steps", "diff")
@@ -215,19 +215,25 @@ def centred(answers: DataFrame, rule: Rule) -> DataFrame:
     """Followers of leaders that have not settled all of them: ``cls, lead, n, excess, added, diff``.
 
     Differences between two sets are the same from any third set, so the leader gives way to its followers' centre:
-    the elements that most of them have. From there sets that changed in their own ways share next to nothing.
+    the elements that most of them have, of those near the leader if these are the most (any centre gives right
+    answers). From there sets that changed in their own ways share next to nothing.
     ``diff`` has the elements in which a set departs from the centre, first the ``added`` ones that the centre lacks,
     and ``excess`` is ``per_difference * |diff| - per_element * |set|``: sets x and y differ in
     |diff x| + |diff y| - 2 |both| elements, so they link exactly if their diffs share at least
     ``(excess x + excess y) / (2 * per_difference)`` elements.
     """
-    leads = answers.groupBy("lead").agg(F.count("*").alias("followers"), F.min("linked").alias("settled"))
-    unsettled = answers.join(leads.where("followers > 1 AND NOT settled").select("lead", "followers"), "lead")
+    nearer = F.octet_length("diff") <= 4 * F.col("n")  # 8 bytes an element: differs in half as many as it has
+    leads = answers.groupBy("lead").agg(
+        F.count("*").alias("followers"), F.min("linked").alias("settled"), F.count(F.when(nearer, True)).alias("nearer")
+    )
+    few_near = F.col("nearer") * 2 < F.col("followers")
+    voters = F.when(few_near, F.col("followers")).otherwise(F.col("nearer")).alias("voters")
+    unsettled = answers.join(leads.where("followers > 1 AND NOT settled").select("lead", "nearer", few_near.alias("all_vote"), voters), "lead")
 
     def elements():
         def work(rows):
             out = {"lead": [], "followers": [], "element": [], "missing": []}
-            for lead, followers, added, diff in zip(rows["lead"], rows["followers"], rows["added"], rows["diff"]):
+            for lead, followers, added, diff in zip(rows["lead"], rows["voters"], rows["added"], rows["diff"]):
                 found = signed(np.frombuffer(diff, np.uint64))
                 out["lead"] += [lead] * len(found)
                 out["followers"] += [followers] * len(found)
@@ -237,7 +243,7 @@ def centred(answers: DataFrame, rule: Rule) -> DataFrame:
 
         return work
 
-    columns = unsettled.select("lead", "followers", "added", "diff")
+    columns = unsettled.where(nearer | F.col("all_vote")).select("lead", "voters", "added", "diff")
     counts = map_rows(columns, elements, "lead long, followers long, element long, missing boolean")
     counts = counts.groupBy("lead", "followers", "element", "missing").count().where("2 * count > followers")
     moved = counts.groupBy("lead").agg(F.collect_list(F.struct("element", "missing")).alias("moved"))
@@ -264,7 +270,7 @@ def centred(answers: DataFrame, rule: Rule) -> DataFrame:
 
 def cores(departures: DataFrame) -> DataFrame:
     """``departures`` with the set nearest to the centre (``core``), the ``step`` of a set's excess, and per leader the
-    ``steps`` with the least excess of each.
+    ``steps`` with the least excess and the most departures of each.
 
     Two sets whose excesses add up to zero or less link without sharing departures, and then both link with the core:
     these have step 0. The others are put into steps in which the excess grows by the factor STEP.
@@ -273,16 +279,17 @@ def cores(departures: DataFrame) -> DataFrame:
     near = F.col("excess") + F.col("least") <= 0
     step = F.when(near, 0).otherwise(1 + F.floor(F.log(F.greatest(F.col("excess"), F.lit(1))) / F.log(F.lit(STEP)))).cast("int")
     stepped = departures.join(least, "lead").withColumn("step", step).drop("least")
-    steps = stepped.groupBy("lead", "step").agg(F.min("excess").alias("least"))
-    return stepped.join(steps.groupBy("lead").agg(F.collect_list(F.struct("step", "least")).alias("steps")), "lead")
+    most = F.max(F.shiftright(F.octet_length("diff"), 3)).alias("most")
+    steps = stepped.groupBy("lead", "step").agg(F.min("excess").alias("least"), most)
+    return stepped.join(steps.groupBy("lead").agg(F.collect_list(F.struct("step", "least", "most")).alias("steps")), "lead")
 
 
 def derived_entries(departures: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
     """``key, cls, comp, via``: lists of sets that share a leader ``via``, a departure from the centre, and a pair of steps.
 
     Two sets near the core are connected already. Any other two must share departures, so by the prefix rule one of
-    the first ``|diff| - least overlap + 1``. The least overlap follows from the least excess in the other's step, so
-    that sets far from the centre meet only where they have much in common.
+    the first ``|diff| - least overlap + 1``. The least overlap follows from the least excess in the other's step;
+    steps in which no set departs so often are left out, so that sets far from the centre meet only their like.
     """
     met = departures.where(F.exists("steps", lambda s: s["step"] > 0))
     met = met.join(marks.select(F.col("node").alias("cls"), "comp"), "cls", "left")
@@ -297,7 +304,9 @@ def derived_entries(departures: DataFrame, marks: DataFrame, rule: Rule) -> Data
                 for other in steps:
                     if step or other["step"]:
                         overlap = max(1, -(-(excess + other["least"]) // (2 * rule.per_difference)))
-                        prefix = elements[: max(0, len(elements) - overlap + 1)]
+                        if overlap > min(other["most"], len(elements)):
+                            continue
+                        prefix = elements[: len(elements) - overlap + 1]
                         low, high = sorted((step, other["step"]))
                         out["key"] += signed(mixed(prefix ^ (place + np.uint64(low << 32 | high))))
                         out["cls"] += [cls] * len(prefix)
