@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from workload.registry import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ def duck():
 
 def test_twins_belong_to_queries():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {
+    assert set(QUERIES) - set(ORACLES) == {
         "chunk_recursive",
         "html_blocks",
         "block_chunks",
@@ -24,7 +25,7 @@ def test_twins_belong_to_queries():
     }
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     frame = queries()[name](spark, SF_DIR)
     if name in oracle_sql():

@@ -192,17 +192,24 @@ def test_html_blocks(spark):
     ]
 
 
-def test_pages_and_shares(spark, monkeypatch):
+def test_pages_and_shares(spark):
     df = spark.range(0, 95).withColumn("k", F.col("id") * 7).repartition(4)
-    for small in (10_000, 0):  # with and without the leading-rows shortcut
-        monkeypatch.setattr(ranking, "SMALL_PREFIX", small)
-        assert sorted(r.id for r in tables.corpus_page(df, "k", 20, 2).collect()) == list(range(40, 60))
-        assert sorted(r.id for r in tables.corpus_page(df, "k", 20, 4).collect()) == list(range(80, 95))
-        assert sorted(r.id for r in tables.corpus_share(df, "k", 0.5).collect()) == list(range(47))
-        assert tables.corpus_share(df, "k", 1.0).count() == 95
-        assert tables.corpus_share(df, "k", 0.001).count() == 0
-        with pytest.raises(ValueError):
-            tables.corpus_page(df, "k", 20, 5)
+    assert sorted(r.id for r in tables.corpus_page(df, "k", 20, 2).collect()) == list(range(40, 60))
+    assert sorted(r.id for r in tables.corpus_page(df, "k", 20, 4).collect()) == list(range(80, 95))
+    assert sorted(r.id for r in tables.corpus_share(df, "k", 0.5).collect()) == list(range(47))
+    assert tables.corpus_share(df, "k", 1.0).count() == 95
+    assert tables.corpus_share(df, "k", 0.001).count() == 0
+    with pytest.raises(ValueError):
+        tables.corpus_page(df, "k", 20, 5)
+
+
+def test_pages_with_equal_and_null_keys(spark):
+    df = spark.range(0, 30).withColumn("k", F.when(F.col("id") >= 3, F.col("id") % 4)).repartition(3)
+    pages = [[r.id for r in tables.corpus_page(df, "k", 10, n).collect()] for n in range(3)]
+    assert [len(p) for p in pages] == [10, 10, 10] and sorted(sum(pages, [])) == list(range(30))
+    assert {0, 1, 2} <= set(pages[0])
+    twice = df.unionByName(df)
+    assert tables.corpus_page(twice, "k", 7, 2).count() == 7
 
 
 def test_row_index(spark):

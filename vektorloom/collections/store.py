@@ -131,11 +131,15 @@ class Collections:
         key: str = "chunk_id",
         strict: bool = True,
     ) -> None:
-        """Append vectors and their chunks, paired by key. ``strict`` refuses unpaired rows."""
+        """Append vectors and their chunks, paired by key. ``strict`` refuses unpaired rows and repeated keys."""
         if strict:
             missing = unpaired(vectors, chunks, key).first()
             if missing.only_left or missing.only_right:
                 raise ValueError(f"{missing.only_left} vectors and {missing.only_right} chunks have no partner")
+            for side, rows in (("vectors", vectors), ("chunks", chunks)):
+                twice = rows.groupBy(key).count().where("count > 1").first()
+                if twice:
+                    raise ValueError(f"key {twice[0]!r} stands for {twice[1]} {side}")
         paired = pair_rows(vectors, chunks, key)
         self.insert_rows(
             name,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vektorloom.functions.vectors import LARGER_FIRST, arrow_matrix, check_metric, score_matrix
+from vektorloom.operators.ranking import with_row_index
 from vektorloom.operators.search import (
+    MAX_SCAN_BYTES,
+    MAX_SCAN_QUERIES,
     MAX_CELLS,
     bounded_queries,
     cut_into_tiles,
@@ -76,8 +80,10 @@ class Cells:
         iterations: int = ITERATIONS,
         vector: str = "vector",
         seed: int = 7,
+        sample_rate: int = SAMPLE_RATE,
     ) -> Cells:
-        sample = training_rows(collection.select(vector).where(F.col(vector).isNotNull()), cells * SAMPLE_RATE, seed)
+        """Fit the centroids on about ``cells * sample_rate`` rows (on all if there are fewer); every row gets a cell."""
+        sample = training_rows(collection.select(vector).where(F.col(vector).isNotNull()), cells * sample_rate, seed)
         features = sample.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
         model = KMeans(k=cells, maxIter=iterations, seed=seed).fit(features)
         return cls(np.array(model.clusterCenters()), check_metric(metric))
@@ -264,14 +270,18 @@ class ProductCodes:
         bits: int = CODE_BITS,
         iterations: int = 15,
         seed: int = 7,
+        sample_rate: int = SAMPLE_RATE,
     ) -> ProductCodes:
         """Train all codebooks in one job, one group per sub-vector.
 
-        A group holds the training sample's slice of each vector: at most
-        ``2**bits * SAMPLE_RATE`` short rows whatever the table size.
+        They are fitted on about ``2**bits * sample_rate`` rows (on all if there are fewer), and a group holds one
+        slice of each; every row is encoded. ``sub_vectors`` must divide the dimension.
         """
         codes = 2**bits
-        sample = training_rows(df.select(vector).where(F.col(vector).isNotNull()), codes * SAMPLE_RATE, seed)
+        first = df.select(F.size(vector)).where(F.col(vector).isNotNull()).first()
+        if first and first[0] % sub_vectors:
+            raise ValueError(f"{sub_vectors} sub-vectors do not divide {first[0]} dimensions")
+        sample = training_rows(df.select(vector).where(F.col(vector).isNotNull()), codes * sample_rate, seed)
         width = F.size(vector) / F.lit(sub_vectors)
         pieces = sample.select(
             F.posexplode(
@@ -364,11 +374,22 @@ def coded_top_k(
     vector: str = "vector",
     code: str = "codes",
 ) -> DataFrame:
-    """Score compressed codes, keep ``over_fetch * k`` candidates, score those exactly, keep ``k``."""
+    """Score compressed codes, keep ``over_fetch * k`` candidates, score those exactly, keep ``k``.
+
+    More queries than may be sent to every task are answered block by block.
+    """
     metric = check_metric(metric)
     block = bounded_queries(queries, query_keys, vector)
     if block is None:
-        raise ValueError("too many queries for compressed scoring; split them or probe cells")
+        numbered = with_row_index(queries, list(query_keys), "_row")
+        width = queries.select(F.max(F.size(vector))).first()[0]
+        size = max(1, min(MAX_SCAN_QUERIES, MAX_SCAN_BYTES // (8 * width)))
+        parts = [
+            coded_top_k(part, coded, codes, collection, k, metric, over_fetch, query_keys, item_keys, vector, code)
+            for low in range(0, queries.count(), size)
+            if (part := numbered.where((F.col("_row") >= low) & (F.col("_row") < low + size)).drop("_row"))
+        ]
+        return reduce(DataFrame.unionByName, parts)
     schema = hit_schema(queries, coded, query_keys, item_keys)
 
     def score(matrix: np.ndarray, batch: pa.RecordBatch):

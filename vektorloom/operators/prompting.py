@@ -11,22 +11,16 @@ from pyspark.sql import types as T
 
 from vektorloom.functions.text import CONTEXT_LAYOUT, format_context
 
-# The instruction text around the contexts and the question.
-_INDENT = " " * 24
-PROMPT_LINES = (
-    "",
-    _INDENT + "First, check if the provided Context is relevant to the user's question.",
-    _INDENT + "Second, only if the provided Context is strongly relevant, answer the question using the Context.",
-    _INDENT + "Otherwise, if the Context is not strongly relevant, IGNORE THEM COMPLETELY and answer the question "
-    "from your own knowledge. You MUST NOT say anything about relevence or missing information or say phrase "
-    "like 'the text does not discuss'.",
-    _INDENT + 'There are totally {n_ctx} contexts, each in format of "{ctx_fmt}"',
-    _INDENT + "Context: {contexts_combined}",
-    _INDENT + "User's question: {question}",
-    _INDENT + "Your answer starts from here",
-    _INDENT,
-)
-PROMPT_LAYOUT = "\n".join(PROMPT_LINES)
+# Fixed value: the instruction text around the contexts and the question.
+PROMPT_LAYOUT = """
+                        First, check if the provided Context is relevant to the user's question.
+                        Second, only if the provided Context is strongly relevant, answer the question using the Context.
+                        Otherwise, if the Context is not strongly relevant, IGNORE THEM COMPLETELY and answer the question from your own knowledge. You MUST NOT say anything about relevence or missing information or say phrase like 'the text does not discuss'.
+                        There are totally {n_ctx} contexts, each in format of "{ctx_fmt}"
+                        Context: {contexts_combined}
+                        User's question: {question}
+                        Your answer starts from here
+                        """
 
 # Sampling defaults handed to the model.
 SAMPLING = {"temperature": 0.7, "top_p": 0.9, "max_tokens": 1024}

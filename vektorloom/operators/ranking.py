@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from vektorloom.session import shared_dir
 
-#: Below this many leading rows a page is read with a top-k sort, above it through key ranks.
-SMALL_PREFIX = 10_000
-
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key with a 0-based ``rank``.
@@ -54,40 +51,29 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_idx") -
     )
 
 
-def _key_at(df: DataFrame, key: str, position: int):
-    """Value of a unique key at a 0-based position; only the key column is sorted."""
-    keys = with_row_index(df.select(key), [key], "_pos")
-    return keys.where(F.col("_pos") == position).first()[0]
-
-
 def page(df: DataFrame, key: str, length: int, offset: int) -> DataFrame:
-    """Page number ``offset`` of ``length`` rows in the order of a unique ``key``.
+    """Page number ``offset`` of ``length`` rows in the order of ``key``.
 
-    The last page is cut short; a page that starts past the end raises.
+    Rows with equal keys are ordered by their other columns, NULL keys come first. The last page is cut short; a page
+    that starts past the end raises.
     """
     start, stop = offset * length, (offset + 1) * length
     total = df.count()
     if start >= total:
         raise ValueError(f"page {offset} of {length} rows starts past the end ({total} rows)")
-    return _between_positions(df, key, start, min(stop, total), total)
+    return between_positions(df, key, start, stop)
 
 
 def head_share(df: DataFrame, key: str, ratio: float) -> DataFrame:
     """Leading ``int(total * ratio)`` rows in key order (a fixed prefix, not a random sample)."""
-    total = df.count()
-    return _between_positions(df, key, 0, int(total * ratio), total)
-
-
-def _between_positions(df: DataFrame, key: str, start: int, stop: int, total: int) -> DataFrame:
-    if stop <= start:
-        return df.limit(0)
-    if stop <= SMALL_PREFIX:
-        return df.orderBy(key).limit(stop).offset(start)
-    if start == 0 and stop == total:
-        return df
-    # deep pages: two key values bound the page and are pushed into the scan
-    low, high = _key_at(df, key, start), _key_at(df, key, stop - 1)
-    return df.where(F.col(key).between(F.lit(low), F.lit(high)))
+    return between_positions(df, key, 0, int(df.count() * ratio))
+
+
+def between_positions(df: DataFrame, key: str, start: int, stop: int) -> DataFrame:
+    """Rows ``start`` to ``stop - 1`` in the order of ``key``; equal keys by the hash of the whole row."""
+    order = df.withColumn("_tie", F.xxhash64(*df.columns))
+    numbered = with_row_index(order, [key, "_tie"], "_pos")
+    return numbered.where((F.col("_pos") >= start) & (F.col("_pos") < stop)).drop("_pos", "_tie")
 
 
 def with_batch_number(df: DataFrame, index: str, size: int, name: str = "batch") -> DataFrame:

@@ -283,10 +283,10 @@ def with_fields(
 ) -> DataFrame:
     """Add output fields of the hit items; text is fetched for the final hits only.
 
-    ``few_hits`` says that the hits come from a bounded query set (``k`` rows each): they are sent to
-    the collection's tasks, and the collection is not shuffled.
+    ``few_hits`` says that the hits come from a bounded query set (``k`` rows each): if they are few enough they are
+    sent to the collection's tasks, and the collection is not shuffled.
     """
-    small = F.broadcast(hits) if few_hits else hits
+    small = send_if_small(hits) if few_hits else hits
     return collection.select(*item_keys, *fields).join(small, list(item_keys))
 
 

@@ -6,12 +6,13 @@ order column, windows run inside (series, slice), and one small row per slice ca
 the next or previous slice needs. A sampled device emits a bounded number of rows per slice,
 which bounds every task. Results equal the plain windows over the whole series.
 
-Key columns must not be NULL.
+NULL keys are a series of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,13 @@ def _across(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("_slice")
 
 
+def beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which NULL keys are equal to each other; the keys are given once."""
+    renamed = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (left[k].eqNullSafe(renamed[f"_of_{k}"]) for k in keys))
+    return left.join(renamed, same, "left").drop(*(f"_of_{k}" for k in keys))
+
+
 def with_neighbour(
     df: DataFrame,
     keys: Sequence[str],
@@ -47,7 +55,7 @@ def with_neighbour(
     edges = sliced.groupBy(*keys, "_slice").agg(pick(packed, F.struct(*order)).alias("_edge"))
     shift = F.lead if following else F.lag
     carry = edges.select(*keys, "_slice", shift("_edge").over(_across(keys)).alias("_carry"))
-    joined = sliced.withColumn("_near", near).join(carry, [*keys, "_slice"], "left")
+    joined = sliced.withColumn("_near", near).transform(beside, carry, [*keys, "_slice"])
     near_row = F.coalesce("_near", "_carry")
     return joined.select(
         *[F.col(c) for c in df.columns],
@@ -66,7 +74,7 @@ def running_sums(
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select(*keys, "_slice", *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in names])
     local = sliced.withColumns({f"_p_{n}": F.sum(f"_v_{n}").over(upto) for n in names})
-    joined = local.join(carry, [*keys, "_slice"], "left")
+    joined = local.transform(beside, carry, [*keys, "_slice"])
     totals = [
         F.coalesce(F.col(f"_c_{n}") + F.col(f"_p_{n}"), f"_p_{n}", f"_c_{n}").alias(n) for n in names
     ]
@@ -90,8 +98,8 @@ def last_known(
     edges = sliced.groupBy(*keys, "_slice").agg(F.max_by(value, seen).alias("_edge"))
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     carry = edges.select(*keys, "_slice", F.last("_edge", ignorenulls=True).over(before).alias("_carry"))
-    joined = sliced.withColumn("_local", F.last(value, ignorenulls=True).over(upto)).join(
-        carry, [*keys, "_slice"], "left"
+    joined = sliced.withColumn("_local", F.last(value, ignorenulls=True).over(upto)).transform(
+        beside, carry, [*keys, "_slice"]
     )
     return joined.select(*[F.col(c) for c in df.columns], F.coalesce("_local", "_carry").alias(name))
 
@@ -124,7 +132,7 @@ def centred_mean(
             F.array_sort(F.collect_list(F.struct(place.alias("_n"), "_x"))).getField("_x").alias(name)
         )
 
-    borders = border(False, "_head").join(border(True, "_tail"), [*keys, "_slice"])
+    borders = beside(border(False, "_head"), border(True, "_tail"), [*keys, "_slice"])
     # every slice in `borders` has at least one row, so `half` slices hold `half` neighbours
     across = _across(keys)
     carry = borders.select(
@@ -133,7 +141,7 @@ def centred_mean(
         F.flatten(F.collect_list("_tail").over(across.rowsBetween(-half, -1))).alias("_before"),
         F.flatten(F.collect_list("_head").over(across.rowsBetween(1, half))).alias("_after"),
     )
-    joined = local.join(carry, [*keys, "_slice"], "left")
+    joined = local.transform(beside, carry, [*keys, "_slice"])
     missing_before = f"({half} - _pos + 1)"
     missing_after = f"({half} - _left)"
     before = F.expr(

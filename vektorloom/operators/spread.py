@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: rows of keys and scores that may be sent to every task
 MAX_SENT_ROWS = 1_000_000
@@ -28,13 +29,28 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(int(pieces)) if small and pieces > 1 else df
 
 
+def over_all_cores(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly before calls to a model, which cost far more than moving a row.
+
+    The number of pieces is given, so adaptive execution does not put them together again.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def most_sent(df: DataFrame) -> int:
+    """Rows that may be sent: a tenth where values have no fixed width."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return MAX_SENT_ROWS if all(isinstance(f.dataType, fixed) for f in df.schema) else MAX_SENT_ROWS // 10
+
+
 def kept_if_small(df: DataFrame) -> DataFrame | None:
-    """The frame as a local table if it has at most ``MAX_SENT_ROWS`` rows, else None.
+    """The frame as a local table if it has at most ``most_sent`` rows, else None.
 
     For narrow results such as hit lists; the rows are computed here, once.
     """
-    rows = df.limit(MAX_SENT_ROWS + 1).toArrow()
-    if rows.num_rows > MAX_SENT_ROWS:
+    most = most_sent(df)
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)
 

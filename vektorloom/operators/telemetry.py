@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vektorloom.functions.units import bytes_to_gib
-from vektorloom.operators.series import centred_mean, last_known, running_sum, with_neighbour
+from vektorloom.operators.series import beside, centred_mean, last_known, running_sum, with_neighbour
 from vektorloom.operators.spread import kept_if_small, send_if_small
 
 # The ten CPU states of one core sample.
@@ -107,7 +107,7 @@ def with_group_values(df: DataFrame, keys: Sequence[str], **aggregates: Column)
     Few groups are sent to the rows, so the rows stay where they are.
     """
     grouped = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggregates.items()])
-    return df.join(send_if_small(grouped), list(keys))
+    return beside(df, send_if_small(grouped), list(keys))
 
 
 def stage_shares(durations: DataFrame, keys: Sequence[str], value: str = "duration") -> DataFrame:

@@ -18,7 +18,7 @@ from vektorloom.operators.prompting import (
 )
 from vektorloom.operators.rerank import ScorerFactory, rerank
 from vektorloom.operators.search import similarity_top_k
-from vektorloom.operators.spread import send_if_small
+from vektorloom.operators.spread import over_all_cores, send_if_small
 
 
 def retrieve(
@@ -53,7 +53,7 @@ def answer(
     if top_n is not None:
         hits = rerank(hits, top_n, scorer)
     asked = prompts(questions, gather_contexts(hits))
-    answered = generate(asked, responder or echo_responder(), **sampling)
+    answered = generate(over_all_cores(asked), responder or echo_responder(), **sampling)
     return evaluation_rows(answered, extra=["prompt"])
 
 

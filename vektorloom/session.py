@@ -27,13 +27,15 @@ def local_session(cpus: int = 8, app: str = "vektorloom") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is used.
+    Where it is unset a single-machine session gets a temporary folder; on a cluster this raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current.rsplit("/", 1)[0]
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = named or tempfile.mkdtemp(prefix="vektorloom-")
     sc.setCheckpointDir(folder)
     return folder

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vektorloom.operators.ranking import head_share, page
+from vektorloom.operators.ranking import between_positions, head_share, page
 
 #: source tag -> Spark reader format
 READERS = {
@@ -57,7 +57,7 @@ def read_questions(
 
 def question_batch(questions: DataFrame, batch_size: int, start: int = 0, key: str = "q_id") -> DataFrame:
     """``batch_size`` questions from position ``start``; an empty frame past the end."""
-    return questions.orderBy(key).limit(start + batch_size).offset(start)
+    return between_positions(questions, key, start, start + batch_size)
 
 
 def read_embeddings(spark: SparkSession, path: str, key: str = "id", vector: str = "vector") -> DataFrame:
