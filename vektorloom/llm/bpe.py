@@ -19,6 +19,9 @@ from vektorloom.llm.common import map_rows
 MOST_STATES = 250_000
 MOST_CHUNKS = 400_000
 
+#: Bytes after which the tokens that are certain are emitted.
+WINDOW = 1_024
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and their ids from a rank file (base64 and number per line)."""
@@ -91,15 +94,18 @@ class Merges:
         return True
 
 
-class State:
-    """Ways in which the bytes read so far can go on: numbers of open tokens, and the tokens before each, not yet emitted."""
+class State(dict):
+    """Ways in which the bytes read so far can go on: numbers of open tokens. Maps a byte to the state behind it and the
+    id of the last token of all bytes up to there."""
+
+    __slots__ = ("make", "open")
 
-    __slots__ = ("final", "open", "pending", "step")
+    def __init__(self, open_tokens: tuple[int, ...], make):
+        self.open, self.make = open_tokens, make
 
-    def __init__(self, open_tokens: tuple[int, ...], pending: tuple[tuple[int, ...], ...]):
-        self.open, self.pending = open_tokens, pending
-        self.step: dict[int, tuple[State, tuple[int, ...]]] = {}
-        self.final = pending[-1]
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        step = self[byte] = self.make(self, byte)
+        return step
 
 
 class Transducer:
@@ -108,14 +114,16 @@ class Transducer:
     The encoding of every prefix of the bytes is the encoding of a shorter prefix and one more token, and tokens are
     an encoding exactly if every two neighbours stay apart when merged together. So the automaton of open tokens
     (bytes read since a token's end, and that end's border) gives all encodings; a state of the transducer is the set
-    of its ways that are still open, the last of them with nothing read since its end. Tokens that all ways share are
-    emitted at once: no more bytes are looked ahead than the longest token has. States and steps are made when first met.
+    of its ways that are still open, the last of them with nothing read since its end. Each byte gives the last token of
+    all bytes so far, and so where the token before it ends. Tokens that all open ways share are emitted, the others
+    wait in a window over the last bytes. States and steps are made when first met.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.merges = Merges(ranks)
         self.begins = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.lengths = {rank: len(t) for t, rank in ranks.items()}
         self.reset()
 
     def reset(self) -> None:
@@ -125,12 +133,12 @@ class Transducer:
         self.apart: dict[tuple, bool] = {}
         self.borders: dict[bytes, tuple] = {}
         self.states: dict[tuple, State] = {}
-        self.start = self.state((self.number(b"", ()),), ((),))
+        self.start = self.state((self.number(b"", ()),))
 
-    def state(self, open_tokens: tuple[int, ...], pending: tuple[tuple[int, ...], ...]) -> State:
-        found = self.states.get((open_tokens, pending))
+    def state(self, open_tokens: tuple[int, ...]) -> State:
+        found = self.states.get(open_tokens)
         if found is None:
-            found = self.states[open_tokens, pending] = State(open_tokens, pending)
+            found = self.states[open_tokens] = State(open_tokens, self.make_step)
         return found
 
     def number(self, begun: bytes, border: tuple) -> int:
@@ -158,30 +166,35 @@ class Transducer:
         move = self.moves[way << 8 | byte] = grown, end, token
         return move
 
-    def make_step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        ways, pendings, last = [], [], None
-        known = self.moves.get
-        for way, pending in zip(state.open, state.pending):
+    def make_step(self, state: State, byte: int) -> tuple[State, int]:
+        ways, last, known = [], None, self.moves.get
+        for way in state.open:
             grown, end, token = known(way << 8 | byte) or self.make_move(way, byte)
             if grown >= 0:
                 ways.append(grown)
-                pendings.append(pending)
             if end >= 0 and last is None:
-                last, tokens = end, (*pending, token)
+                last, ended = end, token
         if last is None:
             raise ValueError("the ranks are not those of byte pair merges")
         ways.append(last)
-        pendings.append(tokens)
-        emitted = ()
-        first = pendings[0]
-        if first:  # the oldest way has the fewest tokens, so they bound what all share
-            shared = 0
-            while shared < len(first) and all(p[shared : shared + 1] == first[shared : shared + 1] for p in pendings):
-                shared += 1
-            if shared:
-                emitted, pendings = first[:shared], [p[shared:] for p in pendings]
-        step = state.step[byte] = self.state(tuple(ways), tuple(pendings)), emitted
-        return step
+        return self.state(tuple(ways)), ended
+
+    def path(self, last: list[int], end: int) -> list[int]:
+        """Tokens of the first ``end`` bytes of the window, from the last one back."""
+        out = []
+        while end > 0:
+            out.append(last[end - 1])
+            end -= self.lengths[out[-1]]
+        return out
+
+    def shared(self, state: State, last: list[int]) -> list[int]:
+        """Tokens at the window's begin that all open ways have."""
+        paths = [self.path(last, len(last) - len(self.ways[way][0]))[::-1] for way in state.open]
+        least = min(paths, key=len)
+        count = 0
+        while count < len(least) and all(p[count] == least[count] for p in paths):
+            count += 1
+        return least[:count]
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -189,26 +202,31 @@ class Transducer:
             return [whole]
         if len(self.states) > MOST_STATES:
             self.reset()
-        state, out = self.start, []
-        for byte in piece:
-            state, emitted = state.step.get(byte) or self.make_step(state, byte)
-            if emitted:
+        state, out, last = self.start, [], []
+        for start in range(0, len(piece), WINDOW):
+            if start:
+                emitted = self.shared(state, last)
                 out += emitted
-        out += state.final
-        return out
+                del last[: sum(map(self.lengths.__getitem__, emitted))]
+            for byte in piece[start : start + WINDOW]:
+                state, token = state[byte]
+                last.append(token)
+        return out + self.path(last, len(last))[::-1]
 
 
 class Encoder:
     """Texts to packed token ids (little-endian unsigned 32-bit)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import re
+
         import regex
 
         self.transducer = Transducer(ranks)
         self.packed: dict[str, bytes] = {}
         self.split = regex.compile(pattern).findall
         # a space between two other characters always begins a pre-token; other white space is left to the pattern
-        self.uneven = regex.compile(r"\s[\s\x1c-\x1f]|[\x1c-\x1f]\s|^\s|\s$|^$").search
+        self.uneven = re.compile(r"\s\s|\A\s|\s\Z|\A\Z").search
         outer = self
 
         class Chunks(dict):
