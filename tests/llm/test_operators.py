@@ -255,6 +255,40 @@ def test_repeated_passages(docs, none):
     assert substring_dedup.repeated_passages(none).count() == 0
 
 
+def covered(spark, texts):
+    """Places of each document that a passage of ``repeated_passages`` covers."""
+    got = substring_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    out = defaultdict(set)
+    for r in got:
+        out[r.doc_id].update(range(r.begin, r.end))
+    return out
+
+
+def brute_covered(texts, least=50):
+    """Places of each document in runs of ``least`` words that stand at an earlier place too."""
+    first, out = {}, defaultdict(set)
+    for doc_id, text in sorted(texts):
+        words = text.split(" ")
+        for i in range(len(words) - least + 1):
+            if first.setdefault(tuple(words[i : i + least]), (doc_id, i)) != (doc_id, i):
+                out[doc_id].update(range(i, i + least))
+    return out
+
+
+def test_equal_passages_are_covered_whole(spark):
+    passage, around = prose(71, 55).split(" "), prose(72, 400).split(" ")
+    edited = [*passage[:18], "odd", *passage[19:37], "other", *passage[38:]]
+    texts = [(1, [*around[:200], *edited, *around[200:]]), (2, [*around[:200], *passage, *around[200:]])]
+    texts += [(3, [*prose(73, 90).split(" "), *passage, *prose(74, 70).split(" ")])]
+    texts = [(i, " ".join(words)) for i, words in texts]
+    pick = random.Random(5)
+    for i in range(4, 40):
+        begin = pick.randrange(0, 330)
+        texts.append((i, " ".join([prose(i, pick.randrange(30)), *around[begin : begin + pick.randrange(40, 70)], prose(-i, 5)]).strip()))
+    got, wanted = covered(spark, texts), brute_covered(texts)
+    assert wanted[3] and all(places <= got[doc_id] for doc_id, places in wanted.items())
+
+
 def test_compact_windows():
     pick = np.random.default_rng(3)
     for n in (1, 5, 40, 200):
