@@ -289,6 +289,69 @@ def test_equal_passages_are_covered_whole(spark):
     assert wanted[3] and all(places <= got[doc_id] for doc_id, places in wanted.items())
 
 
+def hashed(words):
+    return substring_dedup.Text(substring_dedup.WordHashes().of(" ".join(words)))
+
+
+def aligned_around(x, y):
+    """Stretches that start from any common shingle of two lists of words."""
+    pair, out = substring_dedup.Pair(hashed(x), hashed(y)), set()
+    for i, j in itertools.product(range(len(x) - 4), range(len(y) - 4)):
+        if x[i : i + 5] == y[j : j + 5]:
+            out.update(substring_dedup.matched(pair.aligned(i, j)))
+    return out
+
+
+def likeness(x, y):
+    x, y = (Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (x, y))
+    return (x & y).total() / (x | y).total()
+
+
+def test_near_passages_with_insertions(spark):
+    passage = prose(81, 90).split(" ")
+    head, tail, other = (prose(i, 40).split(" ") for i in (82, 83, 84))
+    for changed_passage in (
+        [*passage[:45], "odd", *passage[45:]],
+        [*passage[:45], *passage[46:]],
+        [*passage[:30], "odd", *passage[30:60], *passage[61:]],
+        [*passage[:45], *"four words of more".split(), *passage[45:]],
+    ):
+        x, y = [*head, *changed_passage, *tail], [*other, *passage]
+        found = aligned_around(x, y)
+        for begin, end, begin_y, similarity in found:
+            assert (begin, end, begin_y) == (40, 40 + len(changed_passage), 40)
+            assert abs(similarity - likeness(changed_passage, passage)) < 1e-9 and similarity >= 0.8
+        assert found or likeness(changed_passage, passage) < 0.8
+    assert found
+    # a good stretch followed by text that is aligned worse: the stretch stays, beyond its first run
+    rest = prose(85, 60).split(" ")
+    bad = [w if i % 7 else f"new{i}" for i, w in enumerate(rest)]
+    found = aligned_around([*passage[:45], "odd", *passage[45:], *bad], [*passage, *rest])
+    assert max(end - begin for begin, end, _, _ in found) >= 91
+    texts = [(1, " ".join([*other, *passage])), (2, " ".join([*head, *passage[:45], "odd", *passage[45:], *tail]))]
+    assert covered(spark, texts)[2] >= set(range(40, 131))
+
+
+def test_longest_similar_stretch():
+    pick = random.Random(6)
+    for _ in range(300):
+        runs, i, j = [], 0, 0
+        for _ in range(pick.randrange(1, 9)):
+            n = pick.randrange(5, 60)
+            runs.append((i, j, n))
+            i, j = i + n + pick.randrange(4), j + n + pick.randrange(1, 4)
+        best = 0
+        for p, q in itertools.combinations_with_replacement(range(len(runs)), 2):
+            same = sum(n - 4 for _, _, n in runs[p : q + 1])
+            lost = sum(b[0] - a[0] + b[1] - a[1] - 2 * a[2] + 8 for a, b in zip(runs[p:q], runs[p + 1 : q + 1]))
+            if same >= 4 * lost:
+                best = max(best, min(runs[q][k] + runs[q][2] - runs[p][k] for k in (0, 1)))
+        got = substring_dedup.matched(runs)
+        assert len(got) > 0 if best >= 50 else not got
+        if got:
+            assert got[0][1] - got[0][0] >= best and all(similarity >= 0.8 for *_, similarity in got)
+
+
 def test_compact_windows():
     pick = np.random.default_rng(3)
     for n in (1, 5, 40, 200):
