@@ -332,6 +332,25 @@ def test_near_passages_with_insertions(spark):
     assert covered(spark, texts)[2] >= set(range(40, 131))
 
 
+def test_repeats_inside_a_document(spark):
+    passage = prose(91, 60).split(" ")
+    near = [*passage[:30], "odd", *passage[30:]]
+    gap = lambda seed: prose(seed, 45).split(" ")
+    changed_passage = [w if i % 9 else f"new{i}" for i, w in enumerate(passage)]
+    texts = [
+        (1, [*gap(92), *passage]),
+        (2, [*passage, *gap(93), *passage, *gap(94), *changed_passage, *gap(95), *near]),
+        (3, [*gap(96), *prose(97, 70).split(" "), *gap(98), *prose(97, 70).split(" ")]),
+        (4, ["so", "on"] * 60),
+        (5, [*prose(101, 60).split(" "), *gap(102), *prose(101, 60).split(" "), *prose(103, 2000).split(" ")]),
+    ]
+    texts = [(i, " ".join(words)) for i, words in texts]
+    got, wanted = covered(spark, texts), brute_covered(texts)
+    assert all(places <= got[doc_id] for doc_id, places in wanted.items()) and wanted[2] and wanted[3] and wanted[4]
+    assert got[2] >= {*range(60), *range(105, 165), *range(315, 376)} and not got[2] & {*range(175, 200)}
+    assert got[5] == {*range(105, 165)}
+
+
 def test_longest_similar_stretch():
     pick = random.Random(6)
     for _ in range(300):
