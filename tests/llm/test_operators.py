@@ -351,6 +351,18 @@ def test_repeats_inside_a_document(spark):
     assert got[5] == {*range(105, 165)}
 
 
+def test_near_passages_are_found(spark):
+    """Passages of the least length at the least similarity: one word of 50 changed, 41 of 51 shingles."""
+    texts, trials = [], 400
+    for i in range(trials):
+        passage = prose(1000 + i, 50).split(" ")
+        other = [w if k != 9 + i % 32 else "odd" for k, w in enumerate(passage)]
+        texts += [(k, " ".join([*prose(5000 + k, 60).split(" "), *words, *prose(9000 + k, 60).split(" ")])) for k, words in ((i, passage), (trials + i, other))]
+        assert likeness(passage, other) == 41 / 51
+    got = covered(spark, texts)
+    assert sum(got[trials + i] >= set(range(60, 110)) for i in range(trials)) >= 0.985 * trials
+
+
 def test_longest_similar_stretch():
     pick = random.Random(6)
     for _ in range(300):
