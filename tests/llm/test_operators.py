@@ -446,6 +446,26 @@ def test_html_layout(spark):
     assert html_layout.visible_text(frame.limit(0)).count() == 0
 
 
+def test_html_head_without_end():
+    text = lambda page: html_layout.page_text(page)
+    assert text("<html><head><title>T</title><h1>News</h1><p>text") == ("T", "News\n\ntext")
+    assert text("<head><meta charset=x>\n<style>.x{display:none}</style> free <b>text</b><p class=x>no") == ("", "free text")
+    assert text("<head><template><div>no</div></template><script>no</script><title>T</title></head><body>yes") == ("T", "yes")
+    assert text("<head><title>T</title><body>one<head>two</head>three") == ("T", "onetwothree")
+
+
+def test_html_media_rules():
+    page = "<head><style>{}</style><body><p class=nav>nav<p class=x>x"
+    text = lambda css: html_layout.page_text(page.replace("{}", css))[1].split()
+    for condition in ("print", "(max-width: 600px)", "screen and (max-width:40em)", "not all", "not screen", "speech, print", "(width < 50rem)", "(odd)"):
+        assert text(f"@media {condition}{{.nav,article{{display:none}}}} .x{{display:none}}") == ["nav"], condition
+    for condition in ("screen", "all", "only screen and (min-width:600px)", "print, screen", "not print", "(600px <= width <= 2000px)", "not (odd)"):
+        assert text(f"/* }} */ @import url(a;b); @media {condition}{{.nav{{color:red;display:none}}}}") == ["x"], condition
+    assert text("@supports (display:grid){@media print{.x{display:none}} .nav{display:none}}") == ["x"]
+    assert text("@keyframes k{from{display:none}} @media print{.x{display:none}") == ["nav", "x"]
+    assert html_layout.page_text("<style media=print>p{display:none}</style><p>a")[1] == "a"
+
+
 def test_raking():
     random_weights = np.random.default_rng(1).random((4, 3, 2)) * np.array([1, 5, 2, 9])[:, None, None]
     targets = [np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.5, 0.25, 0.25]), np.array([0.3, 0.7])]

@@ -41,6 +41,8 @@ CLOSES = {
     "tfoot": (frozenset("thead tbody tfoot tr td th caption colgroup".split()), frozenset({"table"})),
     "body": (frozenset({"head"}), frozenset()),
 }
+#: Tags that may stand in a head; any other tag, and text, ends it.
+IN_HEAD = frozenset("title meta link style script noscript noframes base basefont bgsound template head".split())
 
 #: Cells of a row stand this far apart; a cell is padded up to the widest of its column, but not beyond WIDEST.
 GAP, WIDEST = "  ", 60
@@ -52,10 +54,24 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+_RULE = re.compile(r"((?:[^{};\"'(]++|\"[^\"]*\"|'[^']*'|\([^()]*\)|[\"'(])*+)([{};]|\Z)")
+_CONDITION = re.compile(r"(not\s+)?\(([^()]*)\)")
+_LENGTH = r"([\d.]+)(px|r?em|in|cm|mm|pt|)"
+_BOUND = re.compile(rf"(min|max)-(?:device-)?(width|height)\s*:\s*{_LENGTH}")
+_RANGE = re.compile(rf"(?:{_LENGTH}\s*(<=?|>=?)\s*)?(width|height)\s*(?:(<=?|>=?|=)\s*{_LENGTH})?")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
 
 
+#: The normal rendering for style sheets: a desktop screen, in CSS pixels, and its other features.
+SCREEN = {"width": 1280.0, "height": 800.0}
+FEATURES = frozenset(
+    "color|hover|hover:hover|any-hover|any-hover:hover|pointer|pointer:fine|any-pointer|any-pointer:fine|orientation:landscape|"
+    "prefers-color-scheme:light|prefers-reduced-motion:no-preference|scripting|scripting:enabled|update|update:fast".split("|")
+)
+PIXELS = {"": 1.0, "px": 1.0, "em": 16.0, "rem": 16.0, "in": 96.0, "cm": 96 / 2.54, "mm": 96 / 25.4, "pt": 96 / 72}
+
+
 class Element:
     __slots__ = ("attributes", "children", "tag")
 
@@ -98,6 +114,8 @@ def parse(html: str) -> Element:
         found = _MARKUP.search(html, at)
         text = html[at : found.start()] if found else html[at:]
         if text:
+            if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+                _end_head(stack)
             stack[-1].children.append(unescape(text))
         if not found:
             break
@@ -120,7 +138,17 @@ def parse(html: str) -> Element:
     return root
 
 
+def _end_head(stack: Open) -> None:
+    """The implied end of a head, and the implied body behind it."""
+    while stack[-1].tag == "head":
+        stack.cut(len(stack) - 1)
+    if not stack.has("body"):
+        stack.push(_add(stack[-1], "body", {}))
+
+
 def _open(stack: Open, tag: str, attributes: dict[str, str]) -> Element:
+    if stack[-1].tag == "head" and tag not in IN_HEAD and tag not in ("body", "html", "frameset"):
+        _end_head(stack)
     if tag in ENDS_PARAGRAPH:
         _close_upto(stack, frozenset({"p"}), frozenset("td th table button object caption li dd".split()) - {tag})
     if tag in CLOSES:
@@ -165,11 +193,68 @@ def _close(stack: Open, tag: str) -> None:
         _add(stack[-1], "p", {})
 
 
-class Sheet:
-    """Rules of a page's style sheets that hide elements by a tag, a class or an id."""
+def _length(number: str, unit: str) -> float:
+    return float(number) * PIXELS[unit] if re.fullmatch(r"\d*\.?\d+|\d+\.", number) else float("nan")
+
+
+def _compared(a: float, sign: str, b: float) -> bool:
+    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "=": a == b}[sign]
+
 
-    def __init__(self, css: str):
-        self.hidden = {s.strip().lower() for sel, body in _RULE.findall(css) if _HIDING.search(body) for s in sel.split(",")}
+def _has_feature(feature: str) -> bool:
+    feature = feature.strip()
+    if bound := _BOUND.fullmatch(feature):
+        return _compared(SCREEN[bound[2]], ">=" if bound[1] == "min" else "<=", _length(bound[3], bound[4]))
+    if sides := _RANGE.fullmatch(feature):
+        own = SCREEN[sides[4]]
+        left = not sides[3] or _compared(_length(sides[1], sides[2]), sides[3], own)
+        return left and (not sides[5] or _compared(own, sides[5], _length(sides[6], sides[7])))
+    return re.sub(r"\s*:\s*", ":", feature) in FEATURES
+
+
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds for the normal rendering; unknown features do not."""
+    queries = [q.strip() for q in media.lower().split(",")]
+    return queries == [""] or any(map(_query_holds, queries))
+
+
+def _query_holds(query: str) -> bool:
+    kind = re.match(r"(?:(not|only)\s+)?([a-z][a-z-]*)?", query)
+    met = [bool(negated) != _has_feature(feature) for negated, feature in _CONDITION.findall(query)]
+    if kind[2] and kind[2] not in ("not", "only"):
+        holds = kind[2] in ("all", "screen") and all(met)
+        return holds != (kind[1] == "not")
+    return bool(met) and (any(met) if re.search(r"\)\s*or\b", query) else all(met))
+
+
+def _applies(at_rule: str) -> bool:
+    name, _, condition = _SPACE.sub(" ", at_rule[1:].replace("(", " (", 1)).lower().partition(" ")
+    if name == "media":
+        return on_screen(condition)
+    return name == "layer" or (name == "supports" and not condition.strip().startswith("not"))
+
+
+class Sheet:
+    """Rules of a page's style sheets that hide elements by a tag, a class or an id. Rules within at-rules count if
+    these apply to the normal rendering."""
+
+    def __init__(self, *sheets: str):
+        self.hidden: set[str] = set()
+        for css in sheets:
+            rules: list[tuple[str | None, bool]] = []
+            for text, mark in _RULE.findall(_COMMENT.sub(" ", css)):
+                text = text.strip()
+                selectors, applies = rules[-1] if rules else (None, True)
+                if mark != "{":
+                    if selectors and applies and _HIDING.search(text):
+                        self.hidden.update(s.strip().lower() for s in selectors.split(","))
+                    if mark == "}" and rules:
+                        rules.pop()
+                elif text.startswith("@"):
+                    rules.append((selectors, applies and _applies(text)))
+                else:
+                    # a rule in a rule hides only some of what its own selectors name
+                    rules.append((text if selectors is None else "", applies))
 
     def hides(self, element: Element) -> bool:
         if not self.hidden:
@@ -364,10 +449,11 @@ def page_text(html: str) -> tuple[str, str]:
             if isinstance(child, Element):
                 work.append(child)
         if node.tag == "style":
-            css += [c for c in node.children if isinstance(c, str)]
+            if on_screen(node.attributes.get("media", "")):
+                css += [c for c in node.children if isinstance(c, str)]
         elif node.tag == "title":
             title = "".join(c for c in node.children if isinstance(c, str))
-    return _SPACE.sub(" ", title).strip(), Renderer(Sheet("".join(css))).render(root)
+    return _SPACE.sub(" ", title).strip(), Renderer(Sheet(*css)).render(root)
 
 
 def visible_text(pages: DataFrame) -> DataFrame:
