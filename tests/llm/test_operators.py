@@ -499,6 +499,35 @@ def test_weights_meet_the_marginals(spark):
         assert np.allclose(after[wanted.index] / after.sum(), wanted, atol=1e-6)
 
 
+def test_every_source_meets_its_marginal(spark, monkeypatch):
+    """More sources than fit any list of the largest: each has its own share, on the driver and as tables."""
+    few = [(i, prose(i, 3 + i % 7 + 12 * (i % 350 < 5)), ("en", "de")[i // 350 % 2], f"s{i % 350}", None) for i in range(1400)]
+    docs = spark.createDataFrame(few, SCHEMA)
+    frames = [mixing.sampled(docs).toPandas()]
+    monkeypatch.setattr(mixing, "MOST_CELLS", 100)
+    monkeypatch.setattr(mixing, "ROUNDS", 6)
+    frames.append(mixing.sampled(docs).toPandas())
+    for got in frames:
+        before = got.groupby("source").tokens.sum() / got.tokens.sum()
+        wanted = before**0.5 / (before**0.5).sum()
+        after = (got.tokens * got.weight).groupby(got.source).sum()
+        assert np.abs(after / after.sum() - wanted).max() < 1e-5
+        assert abs((got.tokens * got.probability).sum() / got.tokens.sum() - mixing.KEEP) < 1e-4
+    one, two = (f.sort_values("doc_id") for f in frames)
+    assert np.allclose(one.weight, two.weight, rtol=1e-3) and np.allclose(one.probability, two.probability, rtol=1e-3)
+
+
+def test_given_targets_of_many_sources(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 12), "en", f"s{i % 300}", None) for i in range(600)], SCHEMA)
+    rows = mixing.weighed(docs)
+    targets = {"source": {f"s{k}": 1.0 + k % 3 for k in range(300)}}
+    for most in (mixing.MOST_CELLS, 100):
+        monkeypatch.setattr(mixing, "MOST_CELLS", most)
+        got = mixing.fitted_cells(rows, {"source": 1.0}, 0.5, targets).toPandas().set_index("source")
+        assert len(got) == 300 and got.probability.min() > 0
+        assert all(abs(got.weight[f"s{k}"] - (1 + k % 3) / 2) < 1e-9 for k in range(300))
+
+
 def test_non_negative_risk():
     pick = np.random.default_rng(2)
     positive = [[0, int(x)] for x in pick.integers(2, 30, 60)]

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vektorloom.llm.common import settled
+from vektorloom.operators.spread import send_if_small
+from vektorloom.session import remove_folder, scratch_path
 
-#: Categories of one dimension that have a weight of their own; the tokens of all others are raked together.
-MOST_CATEGORIES = 200
-OTHER, MISSING = "(other)", "(none)"
+#: Cells that are fitted on the driver; more are fitted as tables, with the same result.
+MOST_CELLS = 200_000
+MISSING = "(none)"
+
+#: Rounds of fitting, and how far the sums may be from the targets at the end.
+ROUNDS, TOLERANCE = 200, 1e-9
+
+#: Factors that are tried at once in a pass over a table of cells.
+TRIED = 64
 
 
 def topic_of(text: Column) -> Column:
@@ -48,82 +57,125 @@ def weighed(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def tempered(shares: Mapping[str, float], power: float) -> dict[str, float]:
-    """Target shares between the present ones (power 1) and equal ones (power 0)."""
-    raised = {k: v**power for k, v in shares.items() if v > 0}
-    total = sum(raised.values())
-    return {k: v / total for k, v in raised.items()}
-
-
-def rake(weights: np.ndarray, targets: Sequence[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+def rake(weights: np.ndarray, targets: Sequence[np.ndarray], at: Sequence[np.ndarray] | None = None) -> np.ndarray:
     """Iterative proportional fitting: ``weights`` scaled along each axis in turn until its sums are the targets.
 
-    Categories without weight keep none; the targets of an axis are taken relative to those that have some.
+    ``at`` gives the category of each weight per axis for a list of cells; without it ``weights`` has an axis per
+    dimension. Categories without weight keep none; the targets of an axis are taken relative to those that have some.
     """
-    fitted = weights / weights.sum()
+    fitted = (weights / weights.sum()).ravel()
+    places = [i.ravel() for i in np.indices(weights.shape)] if at is None else at
     wanted = []
-    for axis, target in enumerate(targets):
-        others = tuple(i for i in range(fitted.ndim) if i != axis)
-        present = np.where(fitted.sum(axis=others) > 0, target, 0.0)
-        wanted.append((axis, others, present / present.sum()))
-    for _ in range(rounds):
+    for own, target in zip(places, targets):
+        present = np.where(np.bincount(own, fitted, len(target)) > 0, target, 0.0)
+        wanted.append((own, present / present.sum()))
+    for _ in range(ROUNDS):
         worst = 0.0
-        for axis, others, target in wanted:
-            sums = fitted.sum(axis=others)
+        for own, target in wanted:
+            sums = np.bincount(own, fitted, len(target))
             factor = np.divide(target, sums, out=np.zeros_like(target), where=sums > 0)
             worst = max(worst, float(np.abs(sums - target).max()))
-            fitted = fitted * factor.reshape([-1 if i == axis else 1 for i in range(fitted.ndim)])
-        if worst < tolerance:
+            fitted = fitted * factor[own]
+        if worst < TOLERANCE:
             break
-    return fitted
+    return fitted.reshape(weights.shape)
 
 
 def fitted_cells(
     rows: DataFrame, powers: Mapping[str, float], keep: float, targets: Mapping[str, Mapping[str, float]] | None = None
-) -> tuple[dict[str, Column], DataFrame | None]:
-    """Raked weights per cell of the named dimensions, from ``weighed`` rows.
-
-    Gives the columns that name a row's cell and a table ``<dim>_cell ..., weight, probability`` (None without any
-    tokens). ``powers`` names the dimensions and how far their marginals are tempered; ``targets`` gives shares
-    instead. ``keep`` is the share of tokens that sampling keeps in expectation: probabilities are the weights times
-    one factor, cut at 1. Only sums per cell come to the driver, and a dimension has at most ``MOST_CATEGORIES`` + 1
-    categories; documents of the others stay in the data and share one weight.
+) -> DataFrame | None:
+    """Raked weights per cell of the named dimensions, from ``weighed`` rows: ``<dim> ..., weight, probability`` (None
+    without any tokens).
+
+    ``powers`` names the dimensions and how far their marginals are tempered, between the present shares (1) and equal
+    ones (0); ``targets`` gives shares instead, and a category that these leave out has a share of 0. ``keep`` is the
+    share of tokens that sampling keeps in expectation: probabilities are the weights times one factor, cut at 1. Every
+    category has a marginal of its own. At most ``MOST_CELLS`` sums come to the driver; more are fitted where they are.
     """
-    dims = list(powers)
-    names: dict[str, list[str]] = {}
-    for dim in dims:
-        largest = rows.groupBy(dim).agg(F.sum("tokens").alias("n")).where("n > 0").orderBy(F.desc("n"), dim)
-        names[dim] = [r[0] for r in largest.limit(MOST_CATEGORIES).collect()]
-    cell = {f"{d}_cell": F.when(F.col(d).isin(names[d]), F.col(d)).otherwise(F.lit(OTHER)) for d in dims}
-    sums = rows.groupBy(*(c.alias(d) for d, c in cell.items())).agg(F.sum("tokens").alias("n")).where("n > 0").collect()
-    if not sums:
-        return cell, None
-    axes = {d: {k: i for i, k in enumerate([*names[d], OTHER])} for d in dims}
-    at = [tuple(axes[d][row[f"{d}_cell"]] for d in dims) for row in sums]
-    weights = np.zeros([len(axes[d]) for d in dims])
-    for place, row in zip(at, sums):
-        weights[place] += row["n"]
-    wanted = []
-    for i, d in enumerate(dims):
-        present = weights.sum(axis=tuple(j for j in range(len(dims)) if j != i))
-        share = tempered({k: present[j] / present.sum() for k, j in axes[d].items()}, powers[d])
-        share = dict((targets or {}).get(d, share))
-        wanted.append(np.array([share.get(k, 0.0) for k in axes[d]]))
-    factors = np.divide(rake(weights, wanted) * weights.sum(), weights, out=np.zeros_like(weights), where=weights > 0)
-    scale = keeping_factor(weights, factors, keep)
-    made = [
-        (*(row[f"{d}_cell"] for d in dims), float(factors[place]), float(min(1.0, scale * factors[place])))
-        for place, row in zip(at, sums)
-    ]
-    schema = ", ".join([*(f"{d}_cell string" for d in dims), "weight double", "probability double"])
-    return cell, rows.sparkSession.createDataFrame(made, schema)
-
-
-def with_cells(rows: DataFrame, cell: Mapping[str, Column], cells: DataFrame | None) -> DataFrame:
+    cells = rows.groupBy(*powers).agg(F.sum("tokens").alias("n")).where("n > 0")
+    near = cells.limit(MOST_CELLS + 1).toArrow()
+    if not near.num_rows:
+        return None
+    if near.num_rows <= MOST_CELLS:
+        return fitted_here(rows.sparkSession, near, powers, keep, targets or {})
+    return fitted_as_tables(settled(cells, "cells"), powers, keep, targets or {})
+
+
+def fitted_here(spark: SparkSession, cells: pa.Table, powers: Mapping[str, float], keep: float, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    cells = cells.sort_by([(d, "ascending") for d in powers])
+    weights = cells.column("n").to_numpy().astype(float)
+    at, wanted = [], []
+    for d, power in powers.items():
+        coded = cells.column(d).combine_chunks().dictionary_encode()
+        own = coded.indices.to_numpy()
+        shares = np.bincount(own, weights) ** power
+        if d in targets:
+            shares = np.array([targets[d].get(k, 0.0) for k in coded.dictionary.to_pylist()])
+        at.append(own)
+        wanted.append(shares)
+    factors = rake(weights, wanted, at) * weights.sum() / weights
+    probabilities = np.minimum(1.0, keeping_factor(weights, factors, keep) * factors)
+    made = cells.select(list(powers)).append_column("weight", pa.array(factors)).append_column("probability", pa.array(probabilities))
+    return spark.createDataFrame(made)
+
+
+def fitted_as_tables(cells: DataFrame, powers: Mapping[str, float], keep: float, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """``fitted_here`` by aggregations: sums per category, factors joined to the cells, a written table per round."""
+    spark = cells.sparkSession
+    total = float(cells.agg(F.sum("n")).first()[0])
+    wanted = {}
+    for d, power in powers.items():
+        shares = cells.groupBy(d).agg(F.pow(F.sum("n").cast("double") / total, F.lit(float(power))).alias("share"))
+        if d in targets:
+            given = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"{d} string, given double")
+            shares = shares.join(given, d, "left").select(d, F.coalesce("given", F.lit(0.0)).alias("share"))
+        shares = settled(shares, f"shares-{d}")
+        wanted[d] = shares.select(d, (F.col("share") / F.lit(float(shares.agg(F.sum("share")).first()[0]))).alias("target"))
+    fitted, folder = cells.withColumn("fitted", F.col("n") / F.lit(total)), None
+    for _ in range(ROUNDS):
+        worst = 0.0
+        written = []
+        for d in powers:
+            sums = fitted.groupBy(d).agg(F.sum("fitted").alias("sum")).join(wanted[d], d)
+            factor = F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0).alias("factor")
+            factors, path = rewritten(sums.select(d, factor, F.abs(F.col("sum") - F.col("target")).alias("off")), "factors")
+            worst = max(worst, float(factors.agg(F.max("off")).first()[0]))
+            scaled = fitted.join(send_if_small(factors.drop("off")), d)
+            fitted = scaled.select(*powers, "n", (F.col("fitted") * F.col("factor")).alias("fitted"))
+            written.append(path)
+        fitted, path = rewritten(fitted, "fitted")
+        for old in (folder, *written):
+            if old:
+                remove_folder(spark, old)
+        folder = path
+        if worst < TOLERANCE:
+            break
+    made = fitted.select(*powers, "n", (F.col("fitted") * F.lit(total) / F.col("n")).alias("weight"))
+    low, high = 0.0, 1.0 / max(made.where("weight > 0").agg(F.min("weight")).first()[0], 1e-12)
+    while high - low > 1e-14 * high:
+        tried = [low + (high - low) * (k + 1) / TRIED for k in range(TRIED - 1)]
+        kept = made.agg(*(F.sum(F.col("n") * F.least(F.lit(1.0), F.col("weight") * F.lit(c))).alias(f"k{k}") for k, c in enumerate(tried))).first()
+        short = [c for c, k in zip(tried, kept) if k / total < keep]
+        enough = [c for c, k in zip(tried, kept) if k / total >= keep]
+        before = low, high
+        low, high = max([low, *short]), min([high, *enough])
+        if (low, high) == before:
+            break
+    return made.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(high))).drop("n")
+
+
+def rewritten(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``settled``, with the folder, for tables of one round that the next does not need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def with_cells(rows: DataFrame, dims: Iterable[str], cells: DataFrame | None) -> DataFrame:
     """``rows`` with the ``weight`` and ``probability`` of their cell; texts without tokens weigh nothing and always stay."""
     if cells is None:
         return rows.withColumns({"weight": F.lit(1.0), "probability": F.lit(1.0)})
-    met = rows.withColumns(dict(cell)).join(F.broadcast(cells), list(cell), "left")
+    met = rows.join(send_if_small(cells), list(dims), "left")
     one = lambda c: F.coalesce(F.when(F.col("tokens") > 0, F.col(c)), F.lit(1.0)).alias(c)
     return met.select(*rows.columns, one("weight"), one("probability"))
 
@@ -153,7 +205,7 @@ def sampled(docs: DataFrame, powers: Mapping[str, float] = POWERS, keep: float =
     are not read.
     """
     rows = settled(weighed(docs), "weighed")
-    met = with_cells(rows, *fitted_cells(rows, powers, keep)).withColumn("draw", draw(F.col("doc_id"), seed))
+    met = with_cells(rows, powers, fitted_cells(rows, powers, keep)).withColumn("draw", draw(F.col("doc_id"), seed))
     return met.withColumn("sampled", F.col("draw") < F.col("probability"))
 
 
@@ -163,8 +215,9 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 
 def mixed(docs: DataFrame, powers: Mapping[str, float] = POWERS, keep: float = KEEP, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``sampled`` draws. Texts do not move."""
+    """The rows of ``docs``, with all their columns, that ``sampled`` draws. Texts do not move, unless there are too many
+    cells to send them to every task."""
     narrow = settled(weighed(docs), "weighed")
     whole = docs.select("doc_id", "source", "lang", "text", F.struct(*docs.columns).alias("_row"))
-    met = with_cells(weighed(whole, ["_row"]), *fitted_cells(narrow, powers, keep))
+    met = with_cells(weighed(whole, ["_row"]), powers, fitted_cells(narrow, powers, keep))
     return met.where(draw(F.col("doc_id"), seed) < F.col("probability")).select("_row.*")
