@@ -582,5 +582,5 @@ def test_twins(spark, name):
 
 
 def test_all_queries_are_there():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [*(f"op{n}" for n in range(1, 14)), "pipeline"]
     assert len(corpus_pipeline.STAGES) == 5

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +65,22 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
             yield pa.RecordBatch.from_pydict(work(columns), schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def sized_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of a slice take at most ``most_bytes``; a larger text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
+    """UTF-8 of a text column; null counts as empty."""
+    return [t or b"" for t in batch.column(column).cast(pa.large_binary()).to_pylist()]
