@@ -36,13 +36,13 @@ COVERED = 80
 TOP = 2000
 
 #: Bytes of text that are counted together before rows leave a task; a longer text is counted alone.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Suffixes of one subtree that a task sorts; a prefix with more of them is extended, but at most ``MOST_EXTENDED`` are.
 SUBTREE = 1_000_000
 MOST_EXTENDED = 100_000
 #: Bits for each frequent prefix in a filter, and bits of the largest filter (8 MB).
 FILTER_BITS, LARGEST_FILTER = 16, 1 << 26
-#: Hashes that a task remembers.
+#: Words that a task remembers.
 MOST_WORDS = 250_000
 
 #: Ends of pieces (fixed values).
@@ -64,30 +64,44 @@ def name_of(lang: bytes, word: bytes, seed: int) -> int:
     return (h - (1 << 64) if h >> 63 else h) or 1
 
 
-class Names(dict):
-    """Names of the words of one language."""
+class Names:
+    """Words of all languages as numbers in order of first use, and their names."""
 
-    def __init__(self, lang: bytes, seed: int) -> None:
-        super().__init__({b"\xff": BREAK})
-        self.lang, self.seed = lang, seed
+    def __init__(self, seed: int) -> None:
+        self.seed, self.names, self.of = seed, [BREAK], {}
+
+    def language(self, lang: bytes) -> dict[bytes, int]:
+        if lang not in self.of:
+            self.of[lang] = Numbers(lang, self)
+        return self.of[lang]
+
+
+class Numbers(dict):
+    """The words of one language; 0 stands between pieces."""
+
+    def __init__(self, lang: bytes, names: Names) -> None:
+        super().__init__({b"\xff": 0})
+        self.lang, self.all = lang, names
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = name_of(self.lang, word, self.seed)
-        return h
+        n = self[word] = len(self.all.names)
+        self.all.names.append(name_of(self.lang, word, self.all.seed))
+        return n
 
 
-def coded(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[np.ndarray]:
-    """Slices of the corpus as names of words, ``BREAK`` between pieces and texts and ``DEPTH`` times at the end."""
-    names: dict[bytes, Names] = {}
+def coded(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of the corpus as numbers of words (0 between pieces and texts, ``DEPTH`` times at the end), and the names
+    that the numbers stand for in this slice."""
+    names = Names(seed)
     for part in sized_slices(batches, "text", SLICE_BYTES):
-        if sum(map(len, names.values())) > MOST_WORDS:
-            names.clear()
+        if len(names.names) > MOST_WORDS:
+            names = Names(seed)
         out = []
         for lang, text in zip(raw_texts(part, "lang"), raw_texts(part, "text"), strict=True):
             said = tokens(text)
-            mine = names.setdefault(lang, Names(lang, seed)) if lang not in names else names[lang]
-            out += [np.fromiter(map(mine.__getitem__, said), np.int64, len(said)), np.zeros(1, np.int64)]
-        yield np.concatenate([*out, np.zeros(DEPTH, np.int64)])
+            number = names.language(lang).__getitem__
+            out += [np.fromiter(map(number, said), np.int32, len(said)), np.zeros(1, np.int32)]
+        yield np.concatenate([*out, np.zeros(DEPTH, np.int32)]), np.array(names.names, np.int64)
 
 
 def counted_words(texts: DataFrame, seed: int) -> DataFrame:
@@ -149,12 +163,11 @@ def counted_pairs(texts: DataFrame, seed: int, words: np.ndarray) -> DataFrame:
     known = texts.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for said in coded(batches, seed):
-            good = has_bit(known.value, said) & (said != BREAK)
+        for said, names in coded(batches, seed):
+            good = (has_bit(known.value, names) & (names != BREAK))[said]
             at = np.flatnonzero(good[:-1] & good[1:])
-            distinct, number = np.unique(said, return_inverse=True)
-            keys, n = np.unique(number[at] * len(distinct) + number[at + 1], return_counts=True)
-            columns = [distinct[keys // len(distinct)], distinct[keys % len(distinct)], n]
+            keys, n = np.unique(said[at].astype(np.int64) * len(names) + said[at + 1], return_counts=True)
+            columns = [names[keys // len(names)], names[keys % len(names)], n]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
 
     return texts.mapInArrow(count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -189,16 +202,18 @@ def suffixes(texts: DataFrame, seed: int, pairs: np.ndarray, prefixes: Budget) -
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, of = known.value
-        for said in coded(batches, seed):
-            two = np.append(has_bit(bits, pair_name(said[:-1], said[1:])) & (said[:-1] != BREAK) & (said[1:] != BREAK), False)
+        for said, names in coded(batches, seed):
+            first, second = said[:-1], said[1:]
+            two = np.append((first != 0) & (second != 0), False)
+            at = np.flatnonzero(two)
+            two[at] = has_bit(bits, pair_name(names[first[at]], names[second[at]]))
             at = np.flatnonzero(two[:-1] & two[1:])  # the slice ends with breaks
-            fourth = np.where(two[at + 2], said[at + 3], BREAK)
-            distinct, number = np.unique(said, return_inverse=True)
-            heads, head = np.unique(number[at] * len(distinct) + number[at + 1], return_inverse=True)
-            tails, tail = np.unique(number[at + 2] * len(distinct) + np.searchsorted(distinct, fourth), return_inverse=True)
+            fourth = np.where(two[at + 2], said[at + 3], 0)
+            heads, head = np.unique(said[at].astype(np.int64) * len(names) + said[at + 1], return_inverse=True)
+            tails, tail = np.unique(said[at + 2].astype(np.int64) * len(names) + fourth, return_inverse=True)
             keys, n = np.unique(head * max(1, len(tails)) + tail, return_counts=True)
             heads, tails = heads[keys // max(1, len(tails))], tails[keys % max(1, len(tails))]
-            path = [distinct[x] for x in (heads // len(distinct), heads % len(distinct), tails // len(distinct), tails % len(distinct))]
+            path = [names[x] for x in (heads // len(names), heads % len(names), tails // len(names), tails % len(names))]
             columns = [of.subtree(*path), *path, n]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["subtree", "a", "b", "c", "d", "n"])
 
