@@ -24,7 +24,6 @@ def test_coded_search_of_many_queries(spark, monkeypatch):
     coded = codes.encode(items, "vector")
     whole = index.coded_top_k(queries, coded, codes, items, 3, over_fetch=20)
     monkeypatch.setattr(search, "MAX_SCAN_QUERIES", 40)
-    monkeypatch.setattr(index, "MAX_SCAN_QUERIES", 40)
     blocks = index.coded_top_k(queries, coded, codes, items, 3, over_fetch=20)
     key = lambda r: (r.q_id, r["rank"], r.id)
     assert sorted(map(key, blocks.collect())) == sorted(map(key, whole.collect()))

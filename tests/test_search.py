@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vektorloom.functions import vectors as vx
-from vektorloom.operators import embedding, index, search
+from vektorloom.operators import embedding, index, late_interaction, search
 from vektorloom.operators.late_interaction import candidate_documents, fetch_documents, max_sim
 from vektorloom.operators.rerank import pairs_of_lists, rerank
 
@@ -120,12 +120,9 @@ def test_partial_cut_before_the_shuffle(data):
 
 def test_cells_probe(spark, data, tmp_path):
     collection, queries, items, asked = data
-    cells, codes, folder = index.build_index(collection, str(tmp_path), "IVF_FLAT", "l2", cells=8, iterations=5)
-    assert codes is None and folder.endswith("IVF_FLAT_l2")
-    assert index.index_exists(spark, folder)
-    with pytest.raises(FileExistsError):
-        index.build_index(collection, str(tmp_path), "IVF_FLAT", "l2", cells=8, replace=False)
-    stored = spark.read.parquet(folder)
+    cells = index.Cells.train(collection, "l2", 8, 5)
+    cells.assign(collection).write.partitionBy("cell").parquet(str(tmp_path / "cells"))
+    stored = spark.read.parquet(str(tmp_path / "cells"))
     assert stored.count() == 300
     exact = brute(items, asked, 5, "l2")
     for strategy in ("auto", "grid"):
@@ -140,8 +137,9 @@ def test_cells_probe(spark, data, tmp_path):
 
 def test_probe_reads_only_probed_cells(spark, data, tmp_path):
     collection, queries, _, _ = data
-    cells, _, folder = index.build_index(collection, str(tmp_path), "IVF_FLAT", "l2", cells=8, iterations=5)
-    plan = index.probe_top_k(queries.limit(1), spark.read.parquet(folder), cells, 5, nprobe=1)
+    cells = index.Cells.train(collection, "l2", 8, 5)
+    cells.assign(collection).write.partitionBy("cell").parquet(str(tmp_path / "cells"))
+    plan = index.probe_top_k(queries.limit(1), spark.read.parquet(str(tmp_path / "cells")), cells, 5, nprobe=1)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*\(cell#\d+ = \d\)", text)
 
@@ -274,3 +272,30 @@ def test_embedding_models(spark):
     letters = lambda: lambda texts: [np.array([[ord(c), 1.0] for c in t or ""]).reshape(-1, 2) for t in texts]
     multi = embedding.embed_multi(df, "id", "text", letters).orderBy("seq_id").collect()
     assert [(r.id, r.seq_id, r.vector[0]) for r in multi][:2] == [(1, 0, 97.0), (1, 1, 32.0)] and len(multi) == 5
+
+
+@pytest.mark.parametrize("top_k", [1, 3, 12, 20])
+def test_cells_leave_out_documents_but_none_of_the_best(spark, late, top_k):
+    tokens, rows, *_ = late
+    far = spark.createDataFrame([(100 + d, s, [-9.0] * DIM) for d in range(30) for s in range(3)], "doc_id long, seq_id long, vector array<float>")
+    rows = rows.unionByName(far)
+    cells = index.Cells.train(rows, "ip", 12, 10)
+    everything = rows.select("doc_id").distinct().crossJoin(tokens.select("q_id").distinct())
+    reached = late_interaction.reaching_documents(tokens, late_interaction.document_cells(rows, cells), cells, everything, top_k)
+    want = max_sim(tokens, rows, everything, top_k).orderBy("q_id", "rank").collect()
+    assert max_sim(tokens, rows, reached, top_k).orderBy("q_id", "rank").collect() == want
+    if top_k < 12:
+        assert reached.count() < everything.count() * 0.8
+
+
+def test_max_sim_sends_candidates_once(late):
+    tokens, rows, *_ = late
+    plan = max_sim(tokens, rows, candidate_documents(tokens, rows, 10), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "_queries" not in plan and "LeftSemi" in plan
+
+
+def test_collection_is_not_moved(data, monkeypatch):
+    """Query files: no exchange below the scoring of the collection, and none carries a vector."""
+    collection, queries, *_ = data
+    plan = search.similarity_top_k(queries, collection, 3, strategy="grid")._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "vector" not in plan.split("MapInArrow")[0]

@@ -1,38 +1,25 @@
 """Approximate search: coarse cells, compressed codes, and their recall-preserving plans.
 
-An index is an ordinary parquet table. Cells prune the scan, codes shrink the vectors that are
-scored; the exact vectors of the over-fetched candidates are fetched last.
+Cells prune the scan, codes shrink the vectors that are scored; the exact vectors of the over-fetched candidates are
+fetched last. ``stored_index`` puts both together in tables that outlive the session.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vektorloom.functions.vectors import LARGER_FIRST, arrow_matrix, check_metric, score_matrix
-from vektorloom.operators.ranking import with_row_index
-from vektorloom.operators.search import (
-    MAX_SCAN_BYTES,
-    MAX_SCAN_QUERIES,
-    MAX_CELLS,
-    bounded_queries,
-    cut_into_tiles,
-    hit_schema,
-    meet_tiles,
-    rank_hits,
-    rescored,
-    scan_partitions,
-)
+from vektorloom.operators.search import MAX_CELLS, hit_schema, rank_hits, rescored, scan_partitions, sent_queries
 
 # Index kinds, and the training defaults.
 INDEX_KINDS = ("IVF_FLAT", "IVF_PQ", "IVF_HNSW_SQ", "IVF_HNSW_PQ", "GPU_IVF_FLAT")
@@ -127,16 +114,6 @@ class Cells:
         return queries.mapInArrow(run, schema)
 
 
-def write_cells(assigned: DataFrame, path: str, max_records: int = 2_000_000) -> None:
-    """One folder per cell, so that a probe reads only its cells.
-
-    The rebalance hint lets adaptive execution split a hot cell into several files.
-    """
-    assigned.hint("rebalance", "cell").write.mode("overwrite").option(
-        "maxRecordsPerFile", max_records
-    ).partitionBy("cell").parquet(path)
-
-
 def probe_top_k(
     queries: DataFrame,
     indexed: DataFrame,
@@ -155,50 +132,41 @@ def probe_top_k(
     """
     metric = cells.metric
     schema = hit_schema(queries, indexed, query_keys, item_keys)
-    block = None if strategy == "grid" else bounded_queries(queries, query_keys, vector)
-    if block is not None:
-        hits = _scan_cells(block, indexed, cells, schema, k, nprobe, item_keys, vector, digits)
-    else:
-        hits = _meet_cells(queries, indexed, cells, schema, k, nprobe, query_keys, item_keys, vector, digits)
+    sent = sent_queries(queries, query_keys, vector, strategy)
+    items = indexed.select(*item_keys, vector, "cell")
+    if sent.whole:  # few queries ask for few cells
+        probed = cells.nearest(sent.block.value.matrix.reshape(-1, cells.centroids.shape[1]), nprobe)
+        items = items.where(F.col("cell").isin(np.unique(probed).tolist()))
+    hits = scan_partitions(
+        items, sent, schema, item_keys, k, LARGER_FIRST[metric], digits, _cell_scorer(cells, nprobe, vector)
+    )
     return rank_hits(hits, query_keys, item_keys, k, LARGER_FIRST[metric])
 
 
-def _cell_scorer(metric: str, probed: np.ndarray, vector: str):
+def _cell_scorer(cells: Cells, nprobe: int, vector: str):
     """Multiply each cell's rows with the queries that probe it."""
+    last: list = [None, None]
+
+    def probed_by(matrix: np.ndarray) -> np.ndarray:
+        if last[0] is not matrix:
+            last[:] = matrix, cells.nearest(matrix, nprobe)
+        return last[1]
 
     def score(matrix: np.ndarray, batch: pa.RecordBatch):
         kept, items = arrow_matrix(batch.column(vector), matrix.shape[1])
         cell = batch.column("cell").to_numpy(zero_copy_only=False)[kept]
+        probed = probed_by(matrix)
         for number in np.unique(cell):
             members = np.flatnonzero(cell == number)
             asking = np.flatnonzero((probed == number).any(axis=1))
             step = max(1, MAX_CELLS // len(members))
             for low in range(0, len(asking), step):
                 rows = asking[low : low + step]
-                yield rows, kept[members], score_matrix(metric, matrix[rows], items[members])
+                yield rows, kept[members], score_matrix(cells.metric, matrix[rows], items[members])
 
     return score
 
 
-def _scan_cells(block, indexed, cells, schema, k, nprobe, item_keys, vector, digits):
-    probed = cells.nearest(block.matrix.reshape(-1, cells.centroids.shape[1]), nprobe)
-    wanted = np.unique(probed).tolist()
-    items = indexed.where(F.col("cell").isin(wanted)).select(*item_keys, vector, "cell")
-    return scan_partitions(
-        items, block, schema, item_keys, k, LARGER_FIRST[cells.metric], digits, _cell_scorer(cells.metric, probed, vector)
-    )
-
-
-def _meet_cells(queries, indexed, cells, schema, k, nprobe, query_keys, item_keys, vector, digits):
-    """Both sides large: cut every cell into tiles by its size on either side, meet tile by tile."""
-    probing = cells.probes(queries.select(*query_keys, vector), nprobe, vector)
-    items = indexed.select(*item_keys, vector, "cell")
-    left, right = cut_into_tiles(probing, items, "cell", query_keys, item_keys, cells.centroids.shape[1])
-    return meet_tiles(
-        left, right, ["cell", "_q", "_c"], schema, k, cells.metric, query_keys, item_keys, vector, vector, digits
-    )
-
-
 # ---- scalar codes -----------------------------------------------------------
 
 
@@ -376,20 +344,10 @@ def coded_top_k(
 ) -> DataFrame:
     """Score compressed codes, keep ``over_fetch * k`` candidates, score those exactly, keep ``k``.
 
-    More queries than may be sent to every task are answered block by block.
+    The codes are read once, whatever the number of queries.
     """
     metric = check_metric(metric)
-    block = bounded_queries(queries, query_keys, vector)
-    if block is None:
-        numbered = with_row_index(queries, list(query_keys), "_row")
-        width = queries.select(F.max(F.size(vector))).first()[0]
-        size = max(1, min(MAX_SCAN_QUERIES, MAX_SCAN_BYTES // (8 * width)))
-        parts = [
-            coded_top_k(part, coded, codes, collection, k, metric, over_fetch, query_keys, item_keys, vector, code)
-            for low in range(0, queries.count(), size)
-            if (part := numbered.where((F.col("_row") >= low) & (F.col("_row") < low + size)).drop("_row"))
-        ]
-        return reduce(DataFrame.unionByName, parts)
+    sent = sent_queries(queries, query_keys, vector)
     schema = hit_schema(queries, coded, query_keys, item_keys)
 
     def score(matrix: np.ndarray, batch: pa.RecordBatch):
@@ -403,45 +361,6 @@ def coded_top_k(
             yield rows, kept, score_matrix(metric, matrix[rows], items)
 
     larger = LARGER_FIRST[metric]
-    hits = scan_partitions(coded.select(*item_keys, code), block, schema, item_keys, k * over_fetch, larger, None, score)
+    hits = scan_partitions(coded.select(*item_keys, code), sent, schema, item_keys, k * over_fetch, larger, None, score)
     candidates = rank_hits(hits, query_keys, item_keys, k * over_fetch, larger)
     return rescored(candidates, queries, collection, k, metric, query_keys, item_keys, vector, vector)
-
-
-# ---- index tables -----------------------------------------------------------
-
-
-def build_index(
-    collection: DataFrame,
-    path: str,
-    kind: str = "IVF_HNSW_SQ",
-    metric: str = "l2",
-    cells: int = PARTITIONS,
-    sub_vectors: int = SUB_VECTORS,
-    vector: str = "vector",
-    replace: bool = True,
-    iterations: int = ITERATIONS,
-) -> tuple[Cells, ScalarCodes | ProductCodes | None, str]:
-    """Train, assign and write an index table below ``path``; returns its models and its folder."""
-    coding = coding_of(kind)
-    folder = f"{path.rstrip('/')}/{index_label(kind, metric)}"
-    if not replace and index_exists(collection.sparkSession, folder):
-        raise FileExistsError(folder)
-    trained = Cells.train(collection, metric, cells, iterations, vector)
-    codes: ScalarCodes | ProductCodes | None = None
-    if coding == "sq":
-        codes = ScalarCodes.train(collection, vector)
-    elif coding == "pq":
-        codes = ProductCodes.train(collection, sub_vectors, vector)
-    assigned = trained.assign(collection, vector)
-    if codes is not None:
-        keyed = assigned.withColumn("_vector", F.col(vector))
-        assigned = codes.encode(keyed, "_vector")
-    write_cells(assigned, folder)
-    return trained, codes, folder
-
-
-def index_exists(spark: SparkSession, folder: str) -> bool:
-    """An index counts once its write has been committed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

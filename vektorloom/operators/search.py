@@ -5,8 +5,10 @@ Two ways, same rows:
 * *scan* - the query matrix is small (checked before it is sent out). Each task multiplies its
   Arrow batches with the matrix and keeps its best ``k`` per query, so the shuffle carries
   ``queries x k`` rows per task and never a (query, item) pair per row.
-* *grid* - both sides are large. Both are cut into tiles of bounded size, each pair of tiles meets
-  in one cogrouped task through an equi-join on the tile pair, and the per-tile bests are merged.
+* *grid* - both sides are large. The query vectors are written as small files to the shared folder and given to every
+  executor by Spark (``addFile``), so neither the driver's memory nor a shuffle holds them. Each task reads its split of
+  the collection once, in pieces of bounded size, and multiplies each piece with one query file after another. The
+  collection is never moved; the shuffle carries ``k`` rows per query and piece.
 
 NULL vectors are skipped, vectors of another length raise.
 """
@@ -15,9 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +31,7 @@ from vektorloom.functions.vectors import LARGER_FIRST, arrow_matrix, check_metri
 from vektorloom.functions.vectors import score as exact_score
 from vektorloom.operators.ranking import top_per_key
 from vektorloom.operators.spread import send_if_small
+from vektorloom.session import scratch_path
 
 MAX_SCAN_QUERIES = 16_384
 MAX_SCAN_BYTES = 64 << 20
@@ -59,6 +64,61 @@ def bounded_queries(queries: DataFrame, keys: Sequence[str], vector: str) -> Que
     return QueryBlock(table.select(list(keys)).take(pa.array(kept)), matrix)
 
 
+class SentQueries:
+    """A query set as the tasks see it: one block sent by the driver, or files that Spark gives to every executor."""
+
+    def __init__(self, block=None, folder: str | None = None, vector: str = "vector"):
+        self.block, self.folder, self.vector = block, folder, vector
+
+    @property
+    def whole(self) -> bool:
+        return self.block is not None
+
+    def blocks(self) -> Iterator[QueryBlock]:
+        if self.block is not None:
+            yield self.block.value
+            return
+        import pyarrow.parquet as pq
+
+        for file in sorted(Path(SparkFiles.get(self.folder)).glob("*.parquet")):
+            table = pq.read_table(file)
+            kept, matrix = arrow_matrix(table.column(self.vector))
+            if len(kept):
+                yield QueryBlock(table.drop_columns([self.vector]).take(pa.array(kept)), matrix)
+
+
+def sent_queries(queries: DataFrame, keys: Sequence[str], vector: str = "vector", strategy: str = "auto") -> SentQueries:
+    """The query set for all tasks; ``strategy`` is auto (by size), scan (one block or an error) or grid (files).
+
+    The files stay with the executors until the application ends.
+    """
+    sc = queries.sparkSession.sparkContext
+    block = None if strategy == "grid" else bounded_queries(queries, keys, vector)
+    if block is not None:
+        return SentQueries(sc.broadcast(block))
+    if strategy == "scan":
+        raise ValueError("too many queries to send to every task; use the grid strategy")
+    widest = queries.select(F.size(vector).alias("dim")).where(F.col(vector).isNotNull()).first()
+    folder = scratch_path(queries.sparkSession, "queries")
+    rows = tile_rows(QUERY_TILE_BYTES, widest.dim if widest else 1)
+    queries.select(*keys, vector).write.option("maxRecordsPerFile", rows).parquet(folder)
+    sc.addFile(folder, recursive=True)
+    return SentQueries(folder=folder.rstrip("/").rsplit("/", 1)[-1], vector=vector)
+
+
+def bounded_pieces(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about ``most_bytes``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class BestK:
     """Running best ``k`` items per query; ties go to the smallest item key."""
 
@@ -126,7 +186,7 @@ def hit_schema(queries: DataFrame, collection: DataFrame, query_keys, item_keys)
 
 def scan_partitions(
     items: DataFrame,
-    block: QueryBlock,
+    sent: SentQueries,
     schema: T.StructType,
     item_keys: Sequence[str],
     k: int,
@@ -134,20 +194,23 @@ def scan_partitions(
     digits: int | None,
     score_batch: Callable[[np.ndarray, pa.RecordBatch], Iterator[tuple]],
 ) -> DataFrame:
-    """Best ``k`` per query and input partition.
+    """Best ``k`` per query and input partition (or, for query files, per query and piece of a partition).
 
     ``score_batch(query matrix, batch)`` yields (query rows, batch rows, scores) pieces.
     """
-    shared = items.sparkSession.sparkContext.broadcast(block)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
+    def hits(queries: QueryBlock, batches) -> Iterator[pa.RecordBatch]:
         best = BestK(k, larger_first, digits)
         for batch in batches if len(queries.matrix) else ():
             for query_rows, rows, scores in score_batch(queries.matrix, batch):
                 best.add(scores, query_rows, [column_values(batch, c, rows) for c in item_keys])
         yield from best.batch(queries.keys, to_arrow_schema(schema))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in [batches] if sent.whole else bounded_pieces(batches, ITEM_TILE_BYTES):
+            for queries in sent.blocks():
+                yield from hits(queries, piece)
+
     return items.mapInArrow(run, schema)
 
 
@@ -188,20 +251,13 @@ def similarity_top_k(
     metric = check_metric(metric)
     schema = hit_schema(queries, collection, query_keys, item_keys)
     items = collection.select(*item_keys, item_vector)
-    block = None if strategy == "grid" else bounded_queries(queries, query_keys, query_vector)
-    if block is None and strategy == "scan":
-        raise ValueError("too many queries to send to every task; use the grid strategy")
+    sent = sent_queries(queries, query_keys, query_vector, strategy)
     larger = LARGER_FIRST[metric]
-    if block is not None:
-        hits = scan_partitions(
-            items, block, schema, item_keys, k, larger, digits, dense_scorer(metric, item_vector)
-        )
-    else:
-        hits = _grid(queries, items, schema, k, metric, query_keys, item_keys, query_vector, item_vector, digits)
+    hits = scan_partitions(items, sent, schema, item_keys, k, larger, digits, dense_scorer(metric, item_vector))
     ranked = rank_hits(hits, query_keys, item_keys, k, larger)
     if not output_fields:
         return ranked
-    return with_fields(ranked, collection, item_keys, output_fields, few_hits=block is not None)
+    return with_fields(ranked, collection, item_keys, output_fields, few_hits=sent.whole)
 
 
 def rank_hits(hits: DataFrame, query_keys, item_keys, k: int, larger_first: bool) -> DataFrame:
@@ -209,27 +265,6 @@ def rank_hits(hits: DataFrame, query_keys, item_keys, k: int, larger_first: bool
     return top_per_key(hits, query_keys, [score, *[F.col(c) for c in item_keys]], k)
 
 
-def _grid(queries, items, schema, k, metric, query_keys, item_keys, query_vector, item_vector, digits):
-    size = items.agg(F.count("*").alias("n"), F.max(F.size(item_vector)).alias("dim")).first()
-    q_tiles = -(-max(queries.count(), 1) // tile_rows(QUERY_TILE_BYTES, size.dim or 1))
-    c_tiles = -(-max(size.n, 1) // tile_rows(ITEM_TILE_BYTES, size.dim or 1))
-    left = queries.select(
-        *query_keys,
-        query_vector,
-        F.pmod(F.xxhash64(*query_keys), F.lit(q_tiles)).alias("_q"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_tiles - 1).cast("long"))).alias("_c"),
-    )
-    right = items.select(
-        *item_keys,
-        item_vector,
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_tiles - 1).cast("long"))).alias("_q"),
-        F.pmod(F.xxhash64(*item_keys), F.lit(c_tiles)).alias("_c"),
-    )
-    return meet_tiles(
-        left, right, ["_q", "_c"], schema, k, metric, query_keys, item_keys, query_vector, item_vector, digits
-    )
-
-
 def cut_into_tiles(queries: DataFrame, items: DataFrame, on: str, query_keys, item_keys, dim: int):
     """Both sides with tile numbers ``_q`` and ``_c``, so that a hot value of ``on`` is split.
 
@@ -255,29 +290,6 @@ def cut_into_tiles(queries: DataFrame, items: DataFrame, on: str, query_keys, it
     return left, right
 
 
-def meet_tiles(
-    left, right, on, schema, k, metric, query_keys, item_keys, query_vector, item_vector, digits
-) -> DataFrame:
-    """Best ``k`` per query inside every group of tiles; both groups are bounded by their tile size."""
-    larger = LARGER_FIRST[metric]
-    score = dense_scorer(metric, item_vector)
-    query_keys, item_keys = list(query_keys), list(item_keys)
-
-    def meet(query_tile: pa.Table, item_tile: pa.Table) -> pa.Table:
-        out = to_arrow_schema(schema)
-        best = BestK(k, larger, digits)
-        if query_tile.num_rows and item_tile.num_rows:
-            kept, matrix = arrow_matrix(query_tile.column(query_vector))
-            keys = query_tile.select(query_keys).take(pa.array(kept))
-            for batch in item_tile.combine_chunks().to_batches(max_chunksize=10_000):
-                for query_rows, rows, scores in score(matrix, batch):
-                    best.add(scores, query_rows, [column_values(batch, c, rows) for c in item_keys])
-            return pa.Table.from_batches(list(best.batch(keys, out)), schema=out)
-        return out.empty_table()
-
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(meet, schema)
-
-
 def with_fields(
     hits: DataFrame, collection: DataFrame, item_keys: Sequence[str], fields: Sequence[str], few_hits: bool = False
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,16 +44,20 @@ def most_sent(df: DataFrame) -> int:
     return MAX_SENT_ROWS if all(isinstance(f.dataType, fixed) for f in df.schema) else MAX_SENT_ROWS // 10
 
 
+def table_if_small(df: DataFrame) -> pa.Table | None:
+    """The rows as an Arrow table if there are at most ``most_sent``, else None. They are computed here, once."""
+    most = most_sent(df)
+    rows = df.limit(most + 1).toArrow()
+    return rows if rows.num_rows <= most else None
+
+
 def kept_if_small(df: DataFrame) -> DataFrame | None:
     """The frame as a local table if it has at most ``most_sent`` rows, else None.
 
-    For narrow results such as hit lists; the rows are computed here, once.
+    For narrow results such as hit lists.
     """
-    most = most_sent(df)
-    rows = df.limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    rows = table_if_small(df)
+    return None if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def send_if_small(df: DataFrame) -> DataFrame:

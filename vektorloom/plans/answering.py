@@ -19,26 +19,35 @@ from vektorloom.operators.prompting import (
 from vektorloom.operators.rerank import ScorerFactory, rerank
 from vektorloom.operators.search import similarity_top_k
 from vektorloom.operators.spread import over_all_cores, send_if_small
+from vektorloom.operators.stored_index import StoredIndex
 
 
 def retrieve(
     questions: DataFrame,
-    collection: DataFrame,
+    collection: DataFrame | None,
     k: int = 10,
     metric: str = "cosine",
     encoder: EncoderFactory | None = None,
     item_keys: tuple[str, ...] = ("id",),
     fields: tuple[str, ...] = ("text",),
+    index: StoredIndex | None = None,
+    nprobe: int | None = None,
 ) -> DataFrame:
-    """Best ``k`` items per question with their text; the question text is kept for reranking."""
+    """Best ``k`` items per question with their text; the question text is kept for reranking.
+
+    With an ``index`` (which brings its metric, keys and stored fields) the collection is not read.
+    """
     asked = embed(questions, "question", encoder)
-    found = similarity_top_k(asked, collection, k, metric, item_keys=item_keys, output_fields=fields)
+    if index is None:
+        found = similarity_top_k(asked, collection, k, metric, item_keys=item_keys, output_fields=fields)
+    else:
+        found = index.search(asked, k, nprobe, output_fields=fields)
     return found.join(questions.select("q_id", "question"), "q_id")
 
 
 def answer(
     questions: DataFrame,
-    collection: DataFrame,
+    collection: DataFrame | None = None,
     k: int = 10,
     top_n: int | None = 5,
     metric: str = "cosine",
@@ -46,10 +55,13 @@ def answer(
     scorer: ScorerFactory | None = None,
     responder: ResponderFactory | None = None,
     item_keys: tuple[str, ...] = ("id",),
+    index: StoredIndex | None = None,
+    nprobe: int | None = None,
     **sampling,
 ) -> DataFrame:
-    """Every question answered from its contexts; returns evaluation rows and the prompt."""
-    hits = retrieve(questions, collection, k, metric, encoder, item_keys)
+    """Every question answered from its contexts, found by a scan of the collection or through an index; returns
+    evaluation rows and the prompt."""
+    hits = retrieve(questions, collection, k, metric, encoder, item_keys, index=index, nprobe=nprobe)
     if top_n is not None:
         hits = rerank(hits, top_n, scorer)
     asked = prompts(questions, gather_contexts(hits))

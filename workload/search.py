@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vektorloom.operators import chunking, embedding
-from vektorloom.operators.index import Cells, ProductCodes, ScalarCodes, build_index, coded_top_k, probe_top_k
-from vektorloom.operators.late_interaction import candidate_documents, fetch_documents, max_sim
+from vektorloom.operators.index import Cells, ProductCodes, ScalarCodes, coded_top_k, probe_top_k
+from vektorloom.operators.late_interaction import (
+    candidate_documents,
+    document_cells,
+    fetch_documents,
+    max_sim,
+    reaching_documents,
+)
 from vektorloom.operators.ranking import best_overall, top_per_key, with_row_index
 from vektorloom.operators.rerank import rerank
 from vektorloom.operators.search import hit_report, rescored, search_batches, similarity_top_k
@@ -107,23 +113,23 @@ def sq_search(spark, sf):
 @query()
 def pq_search(spark, sf):
     items = vectors(spark, sf)
-    codes = ProductCodes.train(items, 16, bits=6)
-    return coded_top_k(prototypes(spark, sf), codes.encode(items), codes, items, 10, "l2")
+    codes = ProductCodes.train(items, 32, bits=8)
+    return coded_top_k(prototypes(spark, sf), codes.encode(items), codes, items, 10, "l2", over_fetch=20)
 
 
 @query()
 def ivf_probe(spark, sf):
     items = vectors(spark, sf)
     cells = Cells.train(items, "l2", 16, iterations=10)
-    return probe_top_k(prototypes(spark, sf), cells.assign(items), cells, 10, nprobe=4)
+    return probe_top_k(prototypes(spark, sf), cells.assign(items), cells, 10, nprobe=12)
 
 
 @query(knn_sql("l2"))
 def ivf_all_cells(spark, sf):
-    """Probing every cell of a written index gives the exact answer."""
+    """Probing every cell gives the exact answer."""
     items = vectors(spark, sf)
-    cells, _, folder = build_index(items, scratch_path(spark, "index"), "IVF_FLAT", "l2", cells=16, iterations=10)
-    return probe_top_k(prototypes(spark, sf), spark.read.parquet(folder), cells, 10, nprobe=16)
+    cells = Cells.train(items, "l2", 16, iterations=10)
+    return probe_top_k(prototypes(spark, sf), cells.assign(items), cells, 10, nprobe=16)
 
 
 # ---- texts ------------------------------------------------------------------
@@ -246,18 +252,28 @@ def candidate_rows(spark, sf):
     return kept.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
 
 
-@query(
-    f"""WITH {TOKENS_SQL},
+MAXSIM_SQL = f"""WITH {TOKENS_SQL},
     best AS (SELECT q_id, doc_id, q_seq, max(dot) AS best FROM dots SEMI JOIN candidate USING (q_id, doc_id) GROUP BY ALL),
     total AS (SELECT q_id, doc_id, round(sum(best), 6) AS score FROM best GROUP BY ALL)
     SELECT q_id, doc_id, score, rn - 1 AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rn FROM total) WHERE rn <= 5"""
-)
+
+
+@query(MAXSIM_SQL)
 def maxsim(spark, sf):
     tokens, rows = question_tokens(spark, sf), stored_collection(spark, sf)
     return max_sim(tokens, rows, candidate_documents(tokens, rows, 50), 5)
 
 
+@query(MAXSIM_SQL)
+def maxsim_pruned(spark, sf):
+    """Exact scores only for documents that their cells leave in the race."""
+    tokens, rows = question_tokens(spark, sf), stored_collection(spark, sf)
+    cells = Cells.train(rows, "ip", 64, iterations=5)
+    candidates = candidate_documents(tokens, rows, 50)
+    return max_sim(tokens, rows, reaching_documents(tokens, document_cells(rows, cells), cells, candidates, 5), 5)
+
+
 @query(
     f"""WITH {TOKENS_SQL},
     best AS (SELECT q_id, doc_id, q_seq, max(dot) AS best FROM dots SEMI JOIN candidate USING (q_id, doc_id) GROUP BY ALL),
