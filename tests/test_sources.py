@@ -120,7 +120,7 @@ def test_run_report(spark, run_dir):
     assert [(r.stage, r.n_samples) for r in by_stage] == [("done", 1), ("embed", 2), ("free models", 1)]
     names = framed.gpm_names(spark, [2, 3])
     values = run_report.gpu_values(spark, path).join(names, "position")
-    assert {r.metric for r in values.collect()} == {"SM_UTIL", "SM_OCCUPANCY"}
+    assert {r.metric for r in values.collect()} == {"GPM_SM_UTIL", "GPM_SM_OCCUPANCY"}
 
 
 def test_missing_counters_count_as_zero_in_shares(spark, run_dir):
@@ -260,3 +260,34 @@ def test_sinks(spark, tmp_path):
     vectors = spark.createDataFrame([(1, [1.0])], "id long, vector array<float>")
     tables.write_embeddings(vectors, str(tmp_path / "vectors"))
     assert tables.read_embeddings(spark, str(tmp_path / "vectors")).collect() == vectors.collect()
+
+
+@pytest.mark.parametrize("of", ["k", "name"])
+def test_positions_against_a_sort(spark, of):
+    """Any range of positions, also one that begins or ends among repeated rows or NULL keys."""
+    rows = [(None if i % 11 == 0 else i % 7, None if i % 5 == 0 else f"n{i % 3}", i % 2) for i in range(60)] * 2
+    df = spark.createDataFrame(rows, "k long, name string, v long").repartition(5)
+    order = ranking.Positions(df, of)
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns)).orderBy(of, "_tie").drop("_tie").collect()
+    for start, stop in [(0, 1), (0, 120), (3, 4), (5, 41), (17, 90), (21, 22), (119, 500), (50, 50), (200, 300)]:
+        assert sorted(map(str, order.rows(start, stop).collect())) == sorted(map(str, tied[start:stop])), (start, stop)
+
+
+def test_pages_move_keys_only(spark, tmp_path):
+    spark.range(0, 5000).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 50).alias("body")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    found = ranking.page(df, "k", 100, 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "GreaterThanOrEqual(k,700)" in plan and "LessThanOrEqual(k,799)" in plan
+    assert [r.k for r in found.orderBy("k").collect()] == list(range(700, 800))
+
+
+def test_metadata_messages():
+    from vektorloom.sources import messages
+
+    gpu = message({1: ("dev_id", "text")}, {}) + field(1, 2, number(5) + b"GPU-0") + field(3, 0, number(2)) + field(3, 2, number(2) + b"\x03\x0a")
+    gpu += field(4, 2, number(4) + field(1, 2, number(2) + b"H1"))
+    row = messages.decode_message(gpu, messages.METADATA["gpu"])
+    assert (row["dev_id"], row["gpm_metrics"], row["properties"]["dev_name"]) == ("GPU-0", [2, 3, 10], "H1")
+    assert messages.spark_fields(messages.METADATA["proc"]).simpleString() == "struct<proc_meta:array<struct<proc_name:string,pid:bigint,probes:array<bigint>>>>"
+    assert len(messages.GPM_NAMES) == 67 and messages.GPM_NAMES[97] == "GPM_NVLINK_L17_TX_PER_SEC"

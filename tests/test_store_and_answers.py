@@ -89,11 +89,12 @@ def test_ingest_and_answer(spark, store):
     corpus = spark.createDataFrame(
         [(1, "cats purr and sleep"), (2, "dogs bark at night"), (3, "fish swim in water")], "id long, body string"
     )
-    cells, codes, folder = ingest(
+    index = ingest(
         store, "animals", corpus, "id", "body", 64, size=100, index="IVF_HNSW_SQ", metric="l2", cells=2
     )
-    assert store.scan("animals").count() == 3 and codes is not None
-    assert {"cell", "codes"} <= set(spark.read.parquet(folder).columns)
+    assert store.scan("animals").count() == 3 and index.manifest.coding == "sq"
+    assert index.manifest.snapshot == store.snapshot("animals") and index.manifest.rows == 3
+    assert {"cell", "code", "text"} <= set(index.rows().columns)
     questions = spark.createDataFrame([(1, "who will bark at night", "dogs"), (2, "what can swim", "fish")], "q_id long, question string, reference string")
     got = answer(questions, store.scan("animals"), k=2, top_n=1).orderBy("q_id").collect()
     assert [r.retrieved_contexts for r in got] == [["Source #0\nDetail: dogs bark at night\n"], ["Source #0\nDetail: fish swim in water\n"]]
@@ -161,3 +162,66 @@ def test_judge_rows(spark):
     scores = scoring.faithfulness(verdicts)
     assert dict(scores.collect()) == {"a": 0.5, "b": 1.0}
     assert scoring.metric_means(scores, ["faithfulness"]).first().faithfulness == 0.75
+
+
+def files_below(folder):
+    return {str(p): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_upserts_leave_other_files_alone(spark, store, tmp_path):
+    store.create("docs", 1)
+    store.insert_rows("docs", vectors(spark, [(f"k{i}", "old", [1.0], 1) for i in range(500)]))
+    before = files_below(tmp_path)
+    store.upsert("docs", vectors(spark, [("k7", "new", [2.0], 2), ("k8", "stale", [2.0], 0), ("fresh", "x", [3.0], 1)]))
+    after = files_below(tmp_path)
+    assert before.items() <= after.items() and len(after) - len(before) <= 3
+    got = {r.id: (r.text, r.version) for r in store.scan("docs").collect()}
+    assert len(got) == 501 and (got["k7"], got["k8"], got["fresh"], got["k9"]) == (("new", 2), ("old", 1), ("x", 1), ("old", 1))
+    assert store.row_counts().where("collection = 'docs'").first().n_rows == 501
+    store.delete("docs", spark.createDataFrame([("k7",), ("nobody",), ("k7",)], "id string"))
+    assert store.scan("docs").count() == 500 and store.query("docs", "id = 'k7'").count() == 0
+    store.upsert("docs", vectors(spark, [("k7", "back", [2.0], 1)]))  # after a delete any version counts
+    assert store.query("docs", "id = 'k7'", ["text"]).first().text == "back"
+    whole = sorted(map(str, store.scan("docs").collect()))
+    reader = store.scan("docs")
+    store.compact("docs")
+    assert sorted(map(str, store.scan("docs").collect())) == whole == sorted(map(str, reader.collect()))
+    store.insert_rows("docs", vectors(spark, [("later", "x", [1.0], 1)]))
+    assert store.scan("docs").count() == 502
+
+
+def test_buckets_are_folded_apart(spark, tmp_path):
+    import random
+
+    from vektorloom.collections.deltas import Deltas
+
+    schema = spark.createDataFrame([], "id long, v string, version long").schema
+    deltas = Deltas(spark, str(tmp_path / "d"), schema, "id", buckets=4)
+    base = spark.createDataFrame([(i, "base", 5) for i in range(40)], schema)
+    pick, table = random.Random(2), {i: ("base", 5) for i in range(40)}
+    for step in range(9):
+        if step in (3, 6):
+            gone = [pick.randrange(50) for _ in range(8)]
+            deltas.erase(spark.createDataFrame([(i,) for i in gone], "id long"))
+            table = {k: v for k, v in table.items() if k not in gone}
+            continue
+        rows = [(i, f"s{step}", pick.randrange(10)) for i in sorted({pick.randrange(50) for _ in range(2 if step == 8 else 9)})]
+        deltas.put(spark.createDataFrame(rows, schema), ("writer", step))
+        deltas.put(spark.createDataFrame([(1, "again", 99)], schema), ("writer", step))  # a repeated change set
+        for i, v, version in rows:
+            if i not in table or version >= table[i][1]:
+                table[i] = (v, version)
+        if step == 5:
+            sets = {b: len(s) for b, s in deltas.manifest()["files"].items()}
+            files = files_below(tmp_path)
+            folded = deltas.compact(max(sets.values()) - 1)
+            assert folded == [int(b) for b, n in sorted(sets.items()) if n == max(sets.values())] and len(folded) < 4
+            assert files.items() <= files_below(tmp_path).items()
+            names = {b: s for b, s in deltas.manifest()["files"].items()}
+            assert all(len(s) == (1 if int(b) in folded else sets[b]) for b, s in names.items())
+        got = {r.id: (r.v, r.version) for r in deltas.over(base, lambda x: x).collect()}
+        assert got == table, step
+    deltas.compact(0)
+    deltas.clean()
+    assert len(deltas.commits()) == 1 and {r.id: (r.v, r.version) for r in deltas.over(base, F.broadcast).collect()} == table
+    assert len({p.split("/_bucket")[0] for p in files_below(tmp_path)}) == 1

@@ -1,8 +1,8 @@
 """Named vector collections as catalog tables over versioned parquet snapshots.
 
-Appends add files to the current snapshot. Changes that rewrite rows (upsert, delete) write a new
-snapshot folder and then point the table at it with one catalog update, so readers see either the
-old or the new rows and a lost executor only costs a retry of the write.
+Appends add files to the current snapshot. Upserts and deletes are written as change sets beside it (see ``deltas``)
+and resolved when the collection is read; ``compact`` folds them into a new snapshot folder and then points the table at
+it with one catalog update. Readers see either the old or the new rows, and a lost executor only costs a retry.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vektorloom.collections.deltas import Deltas
 from vektorloom.operators.embedding import require_valid
 from vektorloom.operators.ranking import latest_per_key
 from vektorloom.operators.spread import send_if_small
@@ -65,7 +66,8 @@ class Collections:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[data_type])
         self.spark.sql(
             f"CREATE TABLE {self._table(name)} ({columns}) USING parquet LOCATION '{folder}' "
-            f"TBLPROPERTIES ('vector.dim' = '{dim}', 'vector.data_type' = '{data_type}')"
+            f"TBLPROPERTIES ('vector.dim' = '{dim}', 'vector.data_type' = '{data_type}', "
+            f"'vector.changes' = '{uuid.uuid4().hex[:12]}')"
         )
 
     def has(self, name: str) -> bool:
@@ -95,13 +97,26 @@ class Collections:
     def dim(self, name: str) -> int:
         return int(self._property(name, "vector.dim"))
 
+    def snapshot(self, name: str) -> str:
+        """The folder that the collection's rows are in now."""
+        rows = self.spark.sql(f"DESCRIBE FORMATTED {self._table(name)}").where("col_name = 'Location'")
+        return rows.first().data_type
+
     def _property(self, name: str, key: str) -> str | None:
         rows = self.spark.sql(f"SHOW TBLPROPERTIES {self._table(name)}").where(F.col("key") == key).collect()
         return rows[0]["value"] if rows else None
 
+    def _deltas(self, name: str) -> Deltas:
+        """Changes since the current snapshot."""
+        return Deltas(self.spark, f"{self.root}/{name.lower()}/changes-{self._property(name, 'vector.changes')}", self._stored(name).schema, "id")
+
+    def _stored(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.database}.{name.lower()}")
+
     def scan(self, name: str) -> DataFrame:
         """The whole collection."""
-        return self.spark.table(f"{self.database}.{name.lower()}")
+        rows = self._stored(name)
+        return self._deltas(name).over(rows, send_if_small) if "version" in rows.columns else rows
 
     def query(self, name: str, condition: str, fields: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
         """Rows that satisfy a SQL condition; condition and fields reach the file scan."""
@@ -111,7 +126,7 @@ class Collections:
 
     def insert_rows(self, name: str, rows: DataFrame, records_per_file: int = 1_000_000) -> None:
         """Append records. Bad vectors fail the write; missing columns become NULL."""
-        target = self.scan(name)
+        target = self._stored(name)
         for field in target.schema:
             if field.name not in rows.columns:
                 rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
@@ -146,28 +161,41 @@ class Collections:
             paired.withColumn("id", F.col(key).cast("string")).withColumn("payload", F.create_map(F.lit("chunk"), "text")),
         )
 
-    def _replace_rows(self, name: str, rows: DataFrame) -> None:
-        """Write and publish a snapshot; the one before stays for running readers, older ones go."""
-        folder = self._fresh_folder(name)
-        rows.select(self.scan(name).columns).write.parquet(folder)
-        before = self._property(name, "vector.before")
-        if before:
-            remove_folder(self.spark, before)
-        current = self.spark.sql(f"DESCRIBE FORMATTED {self._table(name)}").where("col_name = 'Location'").first()
-        self.spark.sql(f"ALTER TABLE {self._table(name)} SET TBLPROPERTIES ('vector.before' = '{current.data_type}')")
+    def compact(self, name: str) -> None:
+        """Fold all changes into a new snapshot; the one before and its changes stay for running readers, older ones go."""
+        folder, changes = self._fresh_folder(name), uuid.uuid4().hex[:12]
+        self.scan(name).select(self._stored(name).columns).write.parquet(folder)
+        for old in (self._property(name, "vector.before"), self._property(name, "vector.changes_before")):
+            if old:
+                remove_folder(self.spark, old)
+        before, done = self.snapshot(name), self._deltas(name).path
+        self.spark.sql(
+            f"ALTER TABLE {self._table(name)} SET TBLPROPERTIES ('vector.before' = '{before}', "
+            f"'vector.changes_before' = '{done}', 'vector.changes' = '{changes}')"
+        )
         self.spark.sql(f"ALTER TABLE {self._table(name)} SET LOCATION '{folder}'")
         self.spark.catalog.refreshTable(f"{self.database}.{name.lower()}")
 
-    def upsert(self, name: str, changes: DataFrame, key: str = "id", version: str = "version") -> None:
-        """Insert or replace by key. The highest version of a key wins, also over the stored row."""
-        current = self.scan(name)
+    def compact_buckets(self, name: str, most_sets: int = 4) -> list[int]:
+        """Fold the change sets of buckets that have many; the snapshot and all other buckets keep their files."""
+        return self._deltas(name).compact(most_sets)
+
+    def upsert(self, name: str, changes: DataFrame, key: str = "id", version: str = "version", token: tuple[str, int] | None = None) -> None:
+        """Insert or replace by key. The highest version of a key wins, also over the stored row.
+
+        Only the changes are written. ``token`` (writer, number) makes a repeated change set a no-op.
+        """
         last = latest_per_key(changes.withColumnRenamed(version, "version"), [key], ["version"])
-        checked = require_valid(newer_than(current, last, key), self.dim(name))
-        self._replace_rows(name, merged(current, checked, key))
+        target = self._stored(name)
+        for field in target.schema:
+            if field.name not in last.columns:
+                last = last.withColumn(field.name, F.lit(None).cast(field.dataType))
+        typed = last.select([F.col(key if f.name == "id" else f.name).cast(f.dataType).alias(f.name) for f in target.schema])
+        self._deltas(name).put(require_valid(typed, self.dim(name)), token)
 
     def delete(self, name: str, keys: DataFrame, key: str = "id") -> None:
         """Remove the rows with the given keys."""
-        self._replace_rows(name, self.scan(name).join(keys.select(key), key, "left_anti"))
+        self._deltas(name).erase(keys.select(F.col(key).alias("id")))
 
 
 def pair_rows(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -185,15 +213,6 @@ def unpaired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
-def newer_than(current: DataFrame, changes: DataFrame, key: str, version: str = "version") -> DataFrame:
-    """Changes that are at least as new as the stored row of their key."""
-    keys = send_if_small(changes.select(key))
-    stored = current.select(key, F.col(version).alias("_stored")).join(keys, key, "left_semi")
-    return changes.join(stored, key, "left").where(
-        F.col("_stored").isNull() | (F.col(version) >= F.col("_stored"))
-    ).drop("_stored")
-
-
 def merged(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Current rows without a change, and the changed rows. ``changes`` has one row per key.
 

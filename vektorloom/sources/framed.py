@@ -1,15 +1,13 @@
 """Metric files: repeated (8-byte little-endian length, protobuf message), read as DataFrames.
 
 Spark lists the files; a task walks each of its files frame by frame and hands rows on in small
-batches, so files may be larger than a task's memory. Messages are decoded
-from the protobuf wire format by the field tables below; unknown fields are skipped.
+batches, so files may be larger than a task's memory.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
-from typing import Any, BinaryIO
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -19,185 +17,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vektorloom.sources.files import list_files, meter_pattern
+from vektorloom.sources.messages import GPM_NAMES, METERS, decode_message, spark_fields, wire_fields
 
 ROWS_PER_BATCH = 256
 
 
-def counters(names: str, start: int = 1) -> dict[int, tuple]:
-    """Field table of whole-number counters numbered from ``start``."""
-    return {number: (name, "int") for number, name in enumerate(names.split(), start)}
-
-
-def group(number: int, name: str, fields: dict, repeated: bool = False) -> dict[int, tuple]:
-    return {number: (name, "list" if repeated else "message", fields)}
-
-
-# Field numbers and names of the metric messages.
-CORE = counters("user nice system idle iowait irq softirq steal guest guest_nice")
-KERNEL_MISC = counters("intr ctxt processes procs_running procs_blocked")
-SOFT_IRQ = counters("total hi timer net_tx net_rx block irq_poll tasklet sched hrtimer rcu")
-CPU = {
-    **counters("timestamp"),
-    **group(2, "core_stats", CORE, repeated=True),
-    **group(3, "kernel_misc_stat", KERNEL_MISC),
-    **group(4, "soft_irq_stat", SOFT_IRQ),
-}
-
-PER_DISK = counters(
-    "reads_completed reads_merged sectors_read time_spent_reading writes_completed writes_merged "
-    "sectors_written time_spent_writing io_in_progress time_spent_io weighted_time_spent_io "
-    "discard_completed discard_merged discard_sectors time_spent_discarding flush_completed time_spent_flushing",
-    start=4,
-)
-DISK = {**counters("timestamp"), **group(2, "disk_metrics", PER_DISK, repeated=True)}
-
-GPU_PROCESS = counters("pid used_gpu_memory")
-PER_GPU = {
-    1: ("nvml_metrics_values", "doubles"),
-    2: ("gpm_metrics_values", "doubles"),
-    **group(3, "per_process_gpu_metrics", GPU_PROCESS, repeated=True),
-}
-GPU = {**counters("timestamp"), **group(2, "per_gpu_metrics", PER_GPU, repeated=True)}
-
-MEM_GROUPS = (
-    ("basic_metrics", "mem_total mem_free mem_available"),
-    ("kernel_cache_metrics", "buffers cached swap_cached"),
-    ("active_inactive_metrics", "active inactive active_anon inactive_anon active_file inactive_file"),
-    ("non_evictable_metrics", "unevictable mlocked"),
-    ("swap_metrics", "swap_total swap_free zswap_total zswapped"),
-    ("dirty_writeback_metrics", "dirty writeback"),
-    ("type_metrics", "anon_pages mapped shmem"),
-    ("kernel_metrics", "kernel_reclaimable slab slab_reclaimable slab_unreclaimable kernel_stack page_tables"),
-    ("tmp_buffer_metrics", "nfs_unstable bounce writeback_tmp"),
-    ("virtual_metrics", "commit_limit committed_as vmalloc_total vmalloc_used vmalloc_chunk"),
-    (
-        "huge_page_metrics",
-        "anon_huge_pages shmem_huge_pages shmem_pmd_mapped file_huge_pages file_pmd_mapped hugepages_total "
-        "hugepages_free hugepages_rsvd hugepages_surp hugepages_size huge_tlb",
-    ),
-    ("direct_map_metrics", "direct_map_4k direct_map_2m direct_map_4m direct_map_1g"),
-    ("misc_metrics", "percpu hardware_corrupted"),
-)
-MEM_INFO = {
-    number: (name, "message", counters(names)) for number, (name, names) in enumerate(MEM_GROUPS, 1)
-}
-MEM = {**counters("timestamp"), **group(2, "meminfo_metrics", MEM_INFO)}
-
-PID_STAT = {
-    3: ("state", "int"),
-    **counters("minflt cminflt majflt cmajflt utime stime cutime cstime priority nice num_threads", start=10),
-    23: ("vsize", "int"),
-}
-PID_STATM = counters("size resident share text lib data dt")
-PID_IO = counters("rchar wchar syscr syscw read_bytes write_bytes cancelled_write_bytes")
-PER_PROC = {
-    **group(1, "pid_stat_metrics", PID_STAT),
-    **group(2, "pid_statm_metrics", PID_STATM),
-    **group(3, "pid_io_metrics", PID_IO),
-}
-PROC = {**counters("timestamp"), **group(2, "per_proc_metrics", PER_PROC, repeated=True)}
-
-#: meter -> field table of one sample; a frame holds a series of samples in field 1
-METERS = {"cpu": CPU, "disk": DISK, "gpu": GPU, "mem": MEM, "proc": PROC}
-
-# GPU performance metrics by number.
-GPM_NAMES = {
-    1: "GRAPHICS_UTIL",
-    2: "SM_UTIL",
-    3: "SM_OCCUPANCY",
-    4: "INTEGER_UTIL",
-    5: "ANY_TENSOR_UTIL",
-    6: "DFMA_TENSOR_UTIL",
-    7: "HMMA_TENSOR_UTIL",
-    9: "IMMA_TENSOR_UTIL",
-    10: "DRAM_BW_UTIL",
-    11: "FP64_UTIL",
-    12: "FP32_UTIL",
-    13: "FP16_UTIL",
-    20: "PCIE_TX_PER_SEC",
-    21: "PCIE_RX_PER_SEC",
-    **{30 + i: f"NVDEC_{i}_UTIL" for i in range(8)},
-    **{40 + i: f"NVJPG_{i}_UTIL" for i in range(8)},
-    **{50 + i: f"NVOFA_{i}_UTIL" for i in range(2)},
-    60: "NVLINK_TOTAL_RX_PER_SEC",
-    61: "NVLINK_TOTAL_TX_PER_SEC",
-    **{62 + 2 * i: f"NVLINK_L{i}_RX_PER_SEC" for i in range(18)},
-    **{63 + 2 * i: f"NVLINK_L{i}_TX_PER_SEC" for i in range(18)},
-}
-
-
-def spark_fields(fields: dict) -> T.StructType:
-    """Spark schema of a field table."""
-    kinds = {"int": T.LongType(), "doubles": T.ArrayType(T.DoubleType())}
-
-    def one(spec: tuple) -> T.DataType:
-        if spec[1] in kinds:
-            return kinds[spec[1]]
-        inner = spark_fields(spec[2])
-        return T.ArrayType(inner) if spec[1] == "list" else inner
-
-    return T.StructType([T.StructField(spec[0], one(spec)) for spec in fields.values()])
-
-
-def varint(data: bytes, at: int) -> tuple[int, int]:
-    value = shift = 0
-    while True:
-        byte = data[at]
-        at += 1
-        value |= (byte & 127) << shift
-        if byte < 128:
-            return value, at
-        shift += 7
-
-
-def signed64(value: int) -> int:
-    value &= (1 << 64) - 1
-    return value - (1 << 64) if value >> 63 else value
-
-
-def wire_fields(data: bytes) -> Iterator[tuple[int, int, Any]]:
-    """(field number, wire type, raw value) of one message."""
-    at, end = 0, len(data)
-    while at < end:
-        tag, at = varint(data, at)
-        kind = tag & 7
-        if kind == 0:
-            value, at = varint(data, at)
-        elif kind == 1:
-            value, at = data[at : at + 8], at + 8
-        elif kind == 2:
-            size, at = varint(data, at)
-            value, at = data[at : at + size], at + size
-        elif kind == 5:
-            value, at = data[at : at + 4], at + 4
-        else:
-            raise ValueError(f"unsupported wire type {kind}")
-        if at > end:
-            raise EOFError("message ends inside a field")
-        yield tag >> 3, kind, value
-
-
-def decode_message(data: bytes, fields: dict) -> dict[str, Any]:
-    """A message as nested dicts; absent optional values are None, absent lists empty."""
-    row: dict[str, Any] = {
-        spec[0]: [] if spec[1] in ("list", "doubles") else None for spec in fields.values()
-    }
-    for number, kind, value in wire_fields(data):
-        spec = fields.get(number)
-        if spec is None:
-            continue
-        name, shape = spec[0], spec[1]
-        if shape == "int":
-            row[name] = signed64(value)
-        elif shape == "doubles":
-            row[name] += [x for (x,) in struct.iter_unpack("<d", value)]
-        elif shape == "message":
-            row[name] = decode_message(value, spec[2])
-        else:
-            row[name].append(decode_message(value, spec[2]))
-    return row
-
-
 def frames(stream: BinaryIO) -> Iterator[bytes]:
     """Messages of a framed file. A cut-off length or body raises."""
     while True:

@@ -134,10 +134,10 @@ def rate_stream(
 def upsert_stream(
     changes: DataFrame, store: Collections, name: str, progress: str, key: str = "id", version: str = "version", **trigger
 ) -> StreamingQuery:
-    """Apply a stream of changed rows to a collection; repeated batches change nothing."""
+    """Apply a stream of changed rows to a collection; a batch writes its changes only, and a repeated batch nothing."""
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        store.upsert(name, batch, key, version)
+        store.upsert(name, batch, key, version, token=(progress, number))
 
     return (
         changes.writeStream.foreachBatch(one_batch)
