@@ -37,8 +37,9 @@ TOP = 2000
 
 #: Bytes of text that are counted together before rows leave a task; a longer text is counted alone.
 SLICE_BYTES = 8 << 20
-#: Suffixes of one subtree that a task sorts; a prefix with more of them is extended, but at most ``MOST_EXTENDED`` are.
-SUBTREE = 1_000_000
+#: A prefix with more suffixes than ``SUBTREE``, or than one in ``SHARES`` of all, is extended; but at most
+#: ``MOST_EXTENDED`` are, which bounds what tasks must know.
+SUBTREE, SHARES = 1_000_000, 1_000
 MOST_EXTENDED = 100_000
 #: Bits for each frequent prefix in a filter, and bits of the largest filter (8 MB).
 FILTER_BITS, LARGEST_FILTER = 16, 1 << 26
@@ -189,7 +190,7 @@ class Budget:
 
 def budget(words: DataFrame, pairs: DataFrame) -> Budget:
     total = words.agg(F.sum("n")).first()[0] or 0
-    most = max(SUBTREE, total // MOST_EXTENDED)  # so there are at most MOST_EXTENDED of either
+    most = max(min(SUBTREE, total // SHARES), total // MOST_EXTENDED)  # so there are at most MOST_EXTENDED of either
     hot_words = words.where(F.col("n") > most).select("name").toArrow()["name"].to_numpy()
     hot = pairs.where(F.col("n") > most).select("a", "b").toArrow()
     return Budget(hot_words, pair_name(hot["a"].to_numpy().copy(), hot["b"].to_numpy().copy()))
