@@ -291,3 +291,56 @@ def test_metadata_messages():
     assert (row["dev_id"], row["gpm_metrics"], row["properties"]["dev_name"]) == ("GPU-0", [2, 3, 10], "H1")
     assert messages.spark_fields(messages.METADATA["proc"]).simpleString() == "struct<proc_meta:array<struct<proc_name:string,pid:bigint,probes:array<bigint>>>>"
     assert len(messages.GPM_NAMES) == 67 and messages.GPM_NAMES[97] == "GPM_NVLINK_L17_TX_PER_SEC"
+
+
+def test_bytes_survive_the_line_reader(spark, tmp_path):
+    """Line ends, carriage returns, broken UTF-8, splits inside messages, and files that look like other things."""
+    import random
+
+    pick = random.Random(3)
+    bodies = {
+        "a": [bytes(pick.choice(b"\n\r\x00\xff\xc3az") for _ in range(pick.randrange(3000))) for _ in range(40)],
+        "b": [b"", b"\n", b"", b"\n\n\r\n", b"x"],
+        "c": [b"z" * (0xBFBBEF - 6) + b"\nright"],  # its length begins like a byte order mark
+        "d": [],
+        "e": [b"", b""],
+    }
+    (tmp_path / "r u:n").mkdir()
+    for name, parts in bodies.items():
+        data = b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+        (tmp_path / "r u:n" / f"CPUMeter_{name}.pb.bin").write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        frames = framed.read_frames(spark, str(tmp_path), "CPUMeter*.pb.bin")
+        got = {}
+        for r in frames.select("path", "frame", "body").collect():
+            got.setdefault(r.path[-8], {})[r.frame] = bytes(r.body)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {n: [f[i] for i in range(len(f))] for n, f in got.items()} == {n: x for n, x in bodies.items() if x}
+
+
+def test_one_large_file_is_decoded_by_many_tasks(spark, tmp_path):
+    samples = [{"timestamp": t, "core_stats": [{"user": t}]} for t in range(4000)]
+    (tmp_path / "CPUMeter.pb.bin").write_bytes(b"".join(frame("cpu", samples[i : i + 50]) for i in range(0, 4000, 50)))
+    rows = framed.read_metrics(spark, str(tmp_path), "cpu").withColumn("task", F.spark_partition_id())
+    assert rows.select("task").distinct().count() > 8
+    assert [r.timestamp for r in rows.orderBy("sample_idx").collect()] == list(range(4000))
+
+
+def test_probe_groups_are_pushed_into_the_decoder(spark, run_dir):
+    some = framed.read_metrics(spark, str(run_dir), "mem", "meminfo_metrics", ["basic_metrics"])
+    assert some.schema["meminfo_metrics"].dataType.names == ["basic_metrics"]
+    assert [r.meminfo_metrics.basic_metrics.mem_free for r in some.collect()] == [1 << 20] * 3
+    with pytest.raises(ValueError, match="unknown probes"):
+        framed.read_metrics(spark, str(run_dir), "mem", "meminfo_metrics", ["fans"])
+
+
+def test_device_names(spark, tmp_path):
+    run = tmp_path / "2025-10-18T18:43:27-0500"
+    run.mkdir()
+    meta = b"".join(field(1, 2, number(len(m)) + m) for m in (field(1, 2, number(len(n)) + n) for n in (b"sda", b"nvme0")))
+    (run / "DiskMeter_meta.pb.bin").write_bytes(len(meta).to_bytes(8, "little") + meta)
+    found = framed.read_metadata(spark, str(tmp_path), "disk", "*_meta.pb.bin").first()
+    assert [d.dev_name for d in found.disk_meta] == ["sda", "nvme0"] and found.run == run.name

@@ -60,3 +60,40 @@ def test_upserts(spark, tmp_path):
     got = store.scan("latest").orderBy("id").collect()
     assert [(r.id, r.text) for r in got] == [("a", "30"), ("b", "20")]
     store.drop("latest")
+
+
+def test_late_and_idle_devices(spark, tmp_path):
+    batches = [
+        [("a", 10, 1, 0), ("b", 10, 2, 100), ("z", 10, 3, 5)],
+        [("a", 20, 4, 2048), ("a", 9, 5, 7), ("a", 10, 1, 0)],  # two samples too late
+        [("a", 500, 6, 4096), ("b", 505, 7, 300)],  # b was idle for 495
+        [("b", 510, 8, 300 + 2048 * 5)],
+    ]
+    stream = landed(spark, f"{tmp_path}/in", batches)
+    paths = [f"{tmp_path}/{n}" for n in ("out", "state", "progress")]
+    jobs.rate_stream(stream, ["dev"], ["ts", "n"], ["sectors"], *paths, 1.0, 8, idle=490).awaitTermination()
+    got = {(r.dev, r.n): r.mb_s_sectors for r in spark.read.parquet(paths[0]).collect()}
+    assert got[("a", 4)] == 0.1 and got[("a", 6)] > 0 and got[("b", 7)] == 0.0 and got[("b", 8)] == 1.0 and len(got) == 7
+    late = spark.read.parquet(f"{tmp_path}/out-late")
+    assert sorted((r.dev, r.n, r.batch) for r in late.collect()) == [("a", 1, 1), ("a", 5, 1)]
+    # a batch writes the state of its own devices only
+    from vektorloom.collections.deltas import Deltas
+
+    schema = "id string, version long, dev string, ts long, n long, sectors long"
+    state = Deltas(spark, paths[1], spark.createDataFrame([], schema).schema, "id")
+    sets = [s for b in state.manifest()["files"].values() for s, _ in b]
+    assert len(sets) == 7 and {r.dev: r.n for r in state.resolved().collect()} == {"a": 6, "b": 8, "z": 3}
+
+
+def test_a_repeated_batch_gives_the_same_rates(spark, tmp_path):
+    """The progress of the last batch is lost after its results were written."""
+    batches = [[("a", 10, 1, 0)], [("a", 20, 2, 2048), ("b", 3, 3, 1)], [("a", 30, 4, 6144)]]
+    stream = landed(spark, f"{tmp_path}/in", batches)
+    paths = [f"{tmp_path}/{n}" for n in ("out", "state", "progress")]
+    run = lambda: jobs.rate_stream(stream, ["dev"], ["ts", "n"], ["sectors"], *paths, 1.0, 8).awaitTermination()
+    run()
+    before = sorted(map(str, spark.read.parquet(paths[0]).collect()))
+    for name in ("commits/2", "commits/.2.crc"):
+        (tmp_path / "progress" / name).unlink(missing_ok=True)
+    run()
+    assert sorted(map(str, spark.read.parquet(paths[0]).collect())) == before and len(before) == 4

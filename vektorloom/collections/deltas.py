@@ -79,6 +79,16 @@ class Deltas:
         named = keys.select(F.col(self.key).cast(self.schema[self.key].dataType).alias(self.key)).distinct()
         self._add(named.select(self.key, *none).select(*self.schema.names).withColumn("_erase", F.lit(True)), None)
 
+    def before(self, token: tuple[str, int]) -> Deltas:
+        """The changes as they were before a change set with this token was applied; for reading."""
+        for number in reversed(self.commits()):
+            manifest = json.loads(self.folder.read(f"{MANIFEST}{number:010d}.json"))
+            if manifest["tokens"].get(token[0], -1) < token[1]:
+                break
+        else:
+            manifest = {"number": 0, "buckets": self.buckets, "files": {}, "tokens": {}}
+        return _Past(self, manifest)
+
     def applied(self, token: tuple[str, int]) -> bool:
         return self.manifest()["tokens"].get(token[0], -1) >= token[1]
 
@@ -179,3 +189,20 @@ class Deltas:
 
     def drop(self) -> None:
         self.folder.remove()
+
+
+class _Past(Deltas):
+    """An earlier state; what is put is put into the current one (and so is a no-op for a token that was applied)."""
+
+    def __init__(self, now: Deltas, manifest: dict):
+        super().__init__(now.spark, now.path, now.schema, now.key, now.version, now.buckets)
+        self._now, self._then = now, manifest
+
+    def manifest(self) -> dict:
+        return self._then
+
+    def put(self, rows: DataFrame, token: tuple[str, int] | None = None) -> None:
+        self._now.put(rows, token)
+
+    def compact(self, most_sets: int = 4) -> list[int]:
+        return self._now.compact(most_sets)

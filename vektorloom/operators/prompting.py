@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vektorloom.operators.spread import over_all_cores
 from vektorloom.functions.text import CONTEXT_LAYOUT, format_context
 
 # Fixed value: the instruction text around the contexts and the question.
@@ -112,7 +113,8 @@ def generate(
     batch_size: int = 64,
     **sampling,
 ) -> DataFrame:
-    """Add a model answer per row. The model is loaded once per worker; answer counts are checked."""
+    """Add a model answer per row. Rows are dealt out over all cores, the model is loaded once per worker, answer
+    counts are checked."""
     settings = {**SAMPLING, **sampling}
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])
 
@@ -128,7 +130,7 @@ def generate(
                 answers += got
             yield batch.assign(**{name: pd.Series(answers, index=batch.index, dtype="object")})
 
-    return df.mapInPandas(run, schema)
+    return over_all_cores(df).mapInPandas(run, schema)
 
 
 def evaluation_rows(answered: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vektorloom.functions.text import words
 from vektorloom.operators.ranking import top_per_key
+from vektorloom.operators.spread import over_all_cores
 
 #: called once per Python worker, returns (queries, documents) -> scores
 ScorerFactory = Callable[[], Callable[[Sequence[str], Sequence[str]], Sequence[float]]]
@@ -45,8 +46,11 @@ def rerank(
 ) -> DataFrame:
     """Keep the ``top_n`` best scored candidates per query; equal scores stay in retrieval order.
 
-    ``candidates`` has one row per (query, candidate) with the retrieval ``rank``.
+    ``candidates`` has one row per (query, candidate) with the retrieval ``rank``; for a model they are dealt out over
+    all cores.
     """
+    if scorer is not None:
+        candidates = over_all_cores(candidates)
     score = (
         word_overlap(F.col(query), F.col(document))
         if scorer is None

@@ -12,26 +12,26 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vektorloom.functions.text import words
 from vektorloom.functions.vectors import cosine
 from vektorloom.operators.series import running_sums
-from vektorloom.operators.spread import spread_small
+from vektorloom.operators.spread import over_all_cores, spread_small
 
 JudgeFactory = Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
 
 
 def judge(rows: DataFrame, factory: JudgeFactory, schema: str) -> DataFrame:
-    """Verdict rows from a user judge over batches of evaluation rows."""
+    """Verdict rows from a user judge over batches of evaluation rows, dealt out over all cores."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         assess = factory()
         for batch in batches:
             yield assess(batch)
 
-    return rows.mapInPandas(run, schema)
+    return over_all_cores(rows).mapInPandas(run, schema)
 
 
 def verdict_share(verdicts: DataFrame, key: str, verdict: str, name: str) -> DataFrame:
@@ -101,6 +101,13 @@ def bleu(
     exploded n-grams instead would shuffle several times the volume of the texts.
     """
 
+    rows = spread_small(pairs.select(key, response, reference))
+    return rows.select(key, bleu_scores(F.col(response), F.col(reference), max_n).alias("bleu"))
+
+
+def bleu_scores(response: Column, reference: Column, max_n: int = 2) -> Column:
+    """BLEU of two texts; a NULL text has no words."""
+
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for responses, references in batches:
@@ -114,10 +121,8 @@ def bleu(
                 scores.append(math.exp(sum(map(math.log, shares)) / max_n) * penalty)
             yield pd.Series(scores, dtype="float64")
 
-    rows = spread_small(pairs.select(key, response, reference))
     empty = F.array().cast("array<string>")
-    made, given = (F.coalesce(words(F.col(c)), empty) for c in (response, reference))
-    return rows.select(key, score(made, given).alias("bleu"))
+    return score(*(F.coalesce(words(c), empty) for c in (response, reference)))
 
 
 def metric_means(scores: DataFrame, metrics: Sequence[str]) -> DataFrame:

@@ -20,6 +20,7 @@ def local_session(cpus: int = 8, app: str = "vektorloom") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
         .getOrCreate()
     )
 
@@ -34,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     if current:
         return current.rsplit("/", 1)[0]
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named and not sc.master.startswith("local["):
+    if not named and sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = named or tempfile.mkdtemp(prefix="vektorloom-")
     sc.setCheckpointDir(folder)

@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from vektorloom.collections.deltas import Deltas
 from vektorloom.collections.store import Collections
 from vektorloom.operators.ranking import latest_per_key
 from vektorloom.operators.telemetry import disk_rates
-from vektorloom.session import remove_folder
+from vektorloom.operators.spread import send_if_small
+
+#: Batches after which the state's change sets are folded.
+COMPACT_EVERY = 16
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int | None = None) -> DataFrame:
@@ -47,9 +51,11 @@ def windowed_usage(
 
 
 def run_sessions(stream: DataFrame, keys: Sequence[str], at: str, gap: str, late: str = "1 hour") -> DataFrame:
-    """Sessions of rows closer than ``gap``: start, last row time and count."""
-    # sessions are merged inside each task first, so a busy key does not travel row by row
-    stream.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Sessions of rows closer than ``gap``: start, last row time and count.
+
+    With ``spark.sql.sessionWindow.merge.sessions.in.local.partition`` (set by ``local_session``; a cluster's session
+    should set it too) sessions are merged inside each task first, so a busy key does not travel row by row.
+    """
     grouped = stream.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), *keys)
     spans = grouped.agg(F.min(at).alias("session_start"), F.max(at).alias("session_last"), F.count("*").alias("n_rows"))
     return spans.drop("w")
@@ -93,35 +99,51 @@ def rate_stream(
     progress: str,
     ticks_per_second: float,
     width: int,
+    idle: int | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Counter rate per device across micro-batches.
 
-    The state is the last sample of every device, one small table per batch. A batch reads the state
-    written by the batch before it, so a repeated batch gives the same rows, and the rates inside a
-    batch use the sliced windows: a device with most of the rows is still split over tasks.
+    The state is the last sample of every device, kept as change sets per bucket of devices: a batch reads the state of
+    its own devices and writes their new last samples, nothing of the others. The rates inside a batch use the sliced
+    windows: a device with most of the rows is still split over tasks, which a state function per device could not do.
+
+    A sample that is not newer than its device's last one is late: it gives no rate and is written to
+    ``{out}-late`` with its batch. A device without a sample for ``idle`` ticks of the first order column (measured from
+    the newest sample of all) loses its state; its next sample counts as a first one.
     """
     columns = [*keys, *order, *counters]
 
     def one_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows: DataFrame = batch.select(*columns).withColumn("_old", F.lit(False))
-        if number > 0:
-            before = spark.read.parquet(f"{state}/batch={number - 1}")
-            known = before.select(*[F.col(c).alias(f"_{c}") for c in keys], F.struct(*order).alias("_last"))
-            match = [F.col(k) == F.col(f"_{k}") for k in keys]
-            # a sample that is not newer than the device's last one came too late
-            fresh = rows.join(known, match, "left").where(
-                F.col("_last").isNull() | (F.struct(*order) > F.col("_last"))
-            )
-            rows = fresh.select(*columns, "_old").unionByName(before.withColumn("_old", F.lit(True)))
-        rows = rows.persist()
-        rates = disk_rates(rows, keys, order, counters, ticks_per_second, width)
+        rows = batch.select(*columns)
+        kinds = {f.name: f.dataType for f in rows.schema}
+        names = [T.StructField("id", T.StringType()), T.StructField("version", T.LongType())]
+        last = Deltas(spark, state, T.StructType([*names, *[T.StructField(c, kinds[c]) for c in columns]]), "id")
+        device = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+        if last.applied(("rates", number)):  # a repeated batch sees the state as it was before it
+            last = last.before(("rates", number))
+        rows = rows.withColumn("id", device).persist()
+        known = last.resolved().where("NOT _erase").join(send_if_small(rows.select("id").distinct()), "id", "left_semi")
+        if idle is not None:
+            newest = rows.agg(F.max(order[0])).first()[0]
+            known = known.where(F.col(order[0]) >= F.lit((newest or 0) - idle))
+        known = known.select("id", *columns).persist()
+        ends = known.select("id", F.struct(*order).alias("_last"))
+        marked = rows.join(send_if_small(ends), "id", "left")
+        in_time = F.col("_last").isNull() | (F.struct(*order) > F.col("_last"))
+        late = marked.where(~in_time).select(*columns)
+        late.write.mode("overwrite").parquet(f"{out}-late/batch={number}")
+        fresh = marked.where(in_time).select("id", *columns, F.lit(False).alias("_old"))
+        both = fresh.unionByName(known.withColumn("_old", F.lit(True)))
+        rates = disk_rates(both.drop("id"), keys, order, counters, ticks_per_second, width)
         rates.where(~F.col("_old")).drop("_old").write.mode("overwrite").parquet(f"{out}/batch={number}")
-        latest_per_key(rows.drop("_old"), keys, order).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        newest_rows = latest_per_key(fresh.drop("_old"), ["id"], order).withColumn("version", F.lit(number).cast("long"))
+        last.put(newest_rows, ("rates", number))
+        if number % COMPACT_EVERY == COMPACT_EVERY - 1:
+            last.compact()
         rows.unpersist()
-        # a repeated batch needs the state before it, nothing older
-        remove_folder(spark, f"{state}/batch={number - 2}")
+        known.unpersist()
 
     return (
         stream.writeStream.foreachBatch(one_batch)
