@@ -134,13 +134,31 @@ def test_exact_quantiles(spark):
         "e": np.append(draw.normal(size=300) * 1e-9, [1e12, -5.0]),
     }
     df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double")
-    for bins in (3, 64):
-        got = telemetry.exact_quantiles(df, "k", "v", [0.0, 0.25, 0.5, 0.95, 1.0], bins).collect()
+    for accuracy in (3, 64, 10_000):
+        got = telemetry.exact_quantiles(df, "k", "v", [0.0, 0.25, 0.5, 0.95, 1.0], accuracy).collect()
         assert len(got) == 25
         for r in got:
             assert r.value == pytest.approx(np.quantile(values[r.k], r.share), abs=1e-12)
 
 
+def test_quantiles_of_many_rows_in_two_scans(spark, tmp_path):
+    import numpy as np
+
+    rows = spark.range(0, 200_000, numPartitions=7).select((F.col("id") % 3).alias("k"), (F.hash("id") % 50_000).cast("double").alias("v"))
+    rows.write.parquet(str(tmp_path / "v"))
+    df = spark.read.parquet(str(tmp_path / "v"))
+    shares = [0.001, 0.01, 0.5, 0.501, 0.95, 0.999]
+    found = telemetry.exact_quantiles(df, "k", "v", shares, 500)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+    values = {}
+    for k, v in df.collect():
+        values.setdefault(k, []).append(v)
+    got = found.collect()
+    assert len(got) == 18 and all(r.value == pytest.approx(np.quantile(values[r.k], r.share), abs=1e-9) for r in got)
+    report = telemetry.latency_report(df, "k", "v").orderBy("k").collect()
+    assert [(r.n, r.mean) for r in report] == [(len(values[k]), pytest.approx(np.mean(values[k]))) for k in range(3)]
+
+
 def test_silent_series_are_left_out(spark):
     df = spark.createDataFrame([("a", 0), ("a", 0), ("b", 0), ("b", 3), ("c", None)], "dev string, x long")
     assert {r.dev for r in telemetry.moving_series(df, ["dev"], "x").collect()} == {"b"}

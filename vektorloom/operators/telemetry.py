@@ -8,13 +8,14 @@ of the order column.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vektorloom.functions.units import bytes_to_gib
 from vektorloom.operators.series import beside, centred_mean, last_known, running_sum, with_neighbour
-from vektorloom.operators.spread import kept_if_small, send_if_small
+from vektorloom.operators.spread import send_if_small
 
 # The ten CPU states of one core sample.
 CPU_STATES = (
@@ -193,65 +194,56 @@ def throughput(df: DataFrame, keys: Sequence[str], at: str, ticks_per_second: fl
     return spans.withColumn("per_second", F.try_divide(F.col("n").cast("double"), F.col("span_s")))
 
 
-def exact_quantiles(df: DataFrame, key: str, value: str, shares: Sequence[float], bins: int = 1024) -> DataFrame:
-    """Exact interpolated quantiles per key, also for very large groups.
+def exact_quantiles(df: DataFrame, key: str, value: str, shares: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """Exact interpolated quantiles per key in two passes, also for very large groups.
 
-    Two zoom levels count values per bin with partial aggregation and keep only the bins that hold
-    a wanted position: first on an inverse hyperbolic sine scale, which outliers do not stretch,
-    then evenly between the smallest and largest value of a kept bin. Only values of the last
-    bins are put in order, collapsed to distinct values. No group is gathered in one task, and
-    the rows are not shuffled: the kept bins, a few per key, are sent to them at every level.
+    The first pass makes a quantile sketch per key, whose ranks are off by at most ``rows / accuracy``; it gives an
+    interval around each quantile that must hold it. The second pass counts: values inside an interval one by one, all
+    others once per gap between the intervals, both with partial aggregation, so of a group only the distinct values
+    near its quantiles (about ``8 / accuracy`` of its rows each, or all of fewer than ``accuracy`` rows) are put in order.
+    A wrong interval would raise.
     """
-    rows = df.select(key, F.col(value).cast("double").alias("_v"), F.lit(0).cast("long").alias("_path")).where(
-        F.col("_v").isNotNull()
+    return _quantiles(df, key, value, shares, accuracy, {}).select(key, "share", "value")
+
+
+def _quantiles(
+    df: DataFrame, key: str, value: str, shares: Sequence[float], accuracy: int, extras: dict[str, Column]
+) -> DataFrame:
+    """``key, share, value`` and further aggregates of the first pass."""
+    shares = sorted(set(shares))
+    slack = 4.0 / accuracy  # the sketch's error, and up to two places of a group of at least ``accuracy`` rows
+    rows = df.select(key, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ends = [max(0.0, s - slack) for s in shares] + [min(1.0, s + slack) for s in shares]
+    sketch = rows.groupBy(key).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_p"), *[e.alias(n) for n, e in extras.items()]
     )
-    spans = rows.groupBy(key, "_path").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
-    spans = send_if_small(spans)
+    lows, highs = ([F.col("_p")[i + at] for i in range(len(shares))] for at in (0, len(shares)))
+    near = reduce(lambda a, b: a | b, [F.col("_v").between(low, high) for low, high in zip(lows, highs)])
+    inside = near | (F.col("_n") < accuracy)
+    beyond = reduce(lambda a, b: a + b, [F.when(F.col("_v") > high, 1).otherwise(0) for high in highs])
+    gap = F.when(F.col("_n") < accuracy, 0).otherwise(beyond)
+    carried = ["_n", *extras]
+    placed = rows.join(sketch, key).select(key, *carried, gap.alias("_gap"), F.when(inside, F.col("_v")).alias("_x"))
+    # values outside come before those inside the next interval, and NULL comes first
+    counts = placed.groupBy(key, *carried, "_gap", "_x").agg(F.count("*").alias("_c"))
+    lower = Window.partitionBy(key).orderBy("_gap", F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = counts.withColumn("_from", F.coalesce(F.sum("_c").over(lower), F.lit(0)))
     positions = F.array(*[F.struct(F.lit(s).alias("share"), (F.lit(s) * (F.col("_n") - 1)).alias("_pos")) for s in shares])
-    wanted = spans.select(key, F.explode(positions).alias("_w")).select(key, "_w.share", "_w._pos")
-    ends = F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))
-    targets = wanted.select(key, "share", "_pos", F.explode(ends).alias("_at"), F.lit(0).cast("long").alias("_path"))
-    kept = spans.withColumn("_start", F.lit(0).cast("long")).drop("_n")
-
-    for scale in (F.asinh, lambda column: column):
-        width = scale(F.col("_high")) - scale(F.col("_low"))
-        place = F.coalesce(F.try_divide(scale(F.col("_v")) - scale(F.col("_low")), width), F.lit(0.0))
-        bin_no = F.least(F.greatest(F.floor(place * bins), F.lit(0)), F.lit(bins - 1))
-        rows = rows.join(kept, [key, "_path"]).select(
-            key, "_v", "_start", (F.col("_path") * bins + bin_no).alias("_path"), F.col("_path").alias("_parent")
-        )
-        counts = rows.groupBy(key, "_parent", "_path", "_start").agg(
-            F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
-        )
-        before = Window.partitionBy(key, "_parent").orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
-        placed = counts.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_c").over(before), F.lit(0)))
-        inside = (F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + F.col("_c"))
-        located = targets.withColumnRenamed("_path", "_parent").join(placed, [key, "_parent"]).where(inside)
-        local = kept_if_small(located.select(key, "share", "_pos", "_at", "_path", "_start", "_low", "_high"))
-        located = located if local is None else local
-        targets = located.select(key, "share", "_pos", "_at", "_path")
-        kept = located.select(key, "_path", "_start", "_low", "_high").distinct()
-        kept = kept if local is None else F.broadcast(kept)
-        rows = rows.drop("_start", "_parent")
-
-    values = rows.join(kept, [key, "_path"]).groupBy(key, "_path", "_start", "_v").agg(F.count("*").alias("_c"))
-    lower = Window.partitionBy(key, "_path").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = values.withColumn("_from", F.col("_start") + F.coalesce(F.sum("_c").over(lower), F.lit(0)))
-    hit = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_from") + F.col("_c"))
-    found = targets.join(ordered, [key, "_path"]).where(hit)
-    between = found.groupBy(key, "share", "_pos").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    hit = lambda at: (at >= F.col("_from")) & (at < F.col("_from") + F.col("_c"))
+    here = F.filter(positions, lambda t: hit(F.floor(t._pos)) | hit(F.ceil(t._pos)))
+    found = ordered.select(key, *carried, "_x", F.explode(here).alias("_t"))
+    known = F.when(F.col("_x").isNotNull(), F.col("_x")).otherwise(F.raise_error(F.lit("a quantile lies outside its interval")).cast("double"))
+    between = found.groupBy(key, *carried, "_t.share", "_t._pos").agg(F.min(known).alias("_a"), F.max(known).alias("_b"))
     part = F.col("_pos") - F.floor("_pos")
-    return between.select(key, "share", (F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias("value"))
+    return between.withColumn("value", F.col("_a") + (F.col("_b") - F.col("_a")) * part)
 
 
 def latency_report(df: DataFrame, key: str, value: str, shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:
     """Count, mean and exact quantiles of a latency per key, one column per quantile."""
-    quantiles = exact_quantiles(df, key, value, shares)
-    wide = quantiles.groupBy(key).agg(
+    quantiles = _quantiles(df, key, value, shares, 10_000, {"mean": F.avg("_v")})
+    return quantiles.groupBy(key, F.col("_n").alias("n"), "mean").agg(
         *[F.max(F.when(F.col("share") == s, F.col("value"))).alias(f"p{round(s * 100)}") for s in shares]
     )
-    base = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    return base.join(wide, key)
 
 
 def value_histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vektorloom.operators import scoring
+from vektorloom.plans import evaluation
+from vektorloom.session import scratch_path
 from workload.registry import query, table
 from workload.search import prototypes
 from workload.texts import WORDS_SQL
@@ -108,3 +110,57 @@ def metric_means(spark, sf):
     scores = scoring.context_recall(rows, "source", "quality").join(scoring.faithfulness(rows, "source"), "source")
     means = scoring.metric_means(scores, ["context_recall", "faithfulness"])
     return means.select(*[F.round(c, 6).alias(c) for c in means.columns])
+
+
+def judged_pairs(spark, sf):
+    """Each turn as the reference of the turn after it, whose lines are the contexts."""
+    return turn_pairs(spark, sf).select(
+        "q_id",
+        F.col("reference").alias("user_input"),
+        "response",
+        F.split("response", "\n").alias("retrieved_contexts"),
+        "reference",
+    )
+
+
+def claims_sql(text: str) -> str:
+    pieces = f"string_split_regex(coalesce({text}, ''), '[.!?\\n]')"
+    return f"list_filter(list_transform({pieces}, lambda x: list_distinct({WORDS_SQL.format('x')})), lambda w: len(w) > 0)"
+
+
+HELD_SQL = "len(list_filter({0}, lambda x: NOT list_contains({1}, x))) = 0"
+SCORES_OF_PAIRS_SQL = f"""WITH p AS (SELECT a.conv_id || '-' || a.turn AS q_id, a.text AS t, b.text AS r,
+      list_distinct({WORDS_SQL.format('a.text')}) AS wanted, list_distinct({WORDS_SQL.format('b.text')}) AS said,
+      {claims_sql('a.text')} AS of_t, {claims_sql('b.text')} AS of_r,
+      list_transform(string_split(b.text, chr(10)), lambda c: list_distinct({WORDS_SQL.format('c')})) AS contexts
+    FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+    v AS (SELECT q_id, wanted, said,
+      list_transform(of_t, lambda c: CASE WHEN {HELD_SQL.format('c', 'said')} THEN 1 ELSE 0 END) AS supported,
+      list_transform(of_r, lambda c: CASE WHEN {HELD_SQL.format('c', 'said')} THEN 1 ELSE 0 END) AS faithful,
+      list_transform(contexts, lambda c: CASE WHEN len(wanted) > 0 AND 2 * len(list_intersect(c, wanted)) >= len(wanted)
+        THEN 1 ELSE 0 END) AS relevant,
+      len(list_filter(of_r, lambda c: {HELD_SQL.format('c', 'wanted')})) AS tp,
+      len(list_filter(of_r, lambda c: NOT ({HELD_SQL.format('c', 'wanted')}))) AS fp,
+      len(list_filter(of_t, lambda c: NOT ({HELD_SQL.format('c', 'said')}))) AS fn FROM p)
+    SELECT q_id, round(list_avg(supported), 6) AS context_recall, round(list_avg(faithful), 6) AS faithfulness,
+      round(CASE WHEN list_sum(relevant) = 0 THEN 0 ELSE list_sum(list_transform(range(1, len(relevant) + 1), lambda i:
+        CASE WHEN relevant[i] = 1 THEN list_sum(relevant[1:i])::DOUBLE / i ELSE 0 END)) / list_sum(relevant) END, 6) AS context_precision,
+      round(CASE WHEN tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) END, 6) AS factual_f1,
+      CASE WHEN list_sort(wanted) = list_sort(said) THEN 1.0 WHEN len(list_intersect(wanted, said)) > 0 THEN 0.5 ELSE 0.0 END
+        ::DOUBLE AS answer_accuracy FROM v"""
+JUDGED_METRICS = ["context_recall", "faithfulness", "context_precision", "factual_f1", "answer_accuracy"]
+
+
+@query(SCORES_OF_PAIRS_SQL)
+def evaluate_rows(spark, sf):
+    """Judged once, scored in the same plan, written as CSV and read back."""
+    found = evaluation.evaluate_rows(judged_pairs(spark, sf), csv=scratch_path(spark, "scores"))
+    return found.select("q_id", *[F.round(m, 6).alias(m) for m in JUDGED_METRICS])
+
+
+@query(f"SELECT * FROM ({SCORES_OF_PAIRS_SQL}) ORDER BY q_id LIMIT 1")
+def evaluate_one(spark, sf):
+    """The scores of a single answer (the first by id)."""
+    row = judged_pairs(spark, sf).orderBy("q_id").first()
+    scores = evaluation.evaluate_one(spark, row.user_input, row.response, row.retrieved_contexts, row.reference, metrics=JUDGED_METRICS)
+    return spark.createDataFrame([(row.q_id, *[scores[m] for m in JUDGED_METRICS])], ["q_id", *JUDGED_METRICS])

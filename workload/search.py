@@ -81,12 +81,12 @@ def knn_overfetch(spark, sf):
 
 
 @query(
-    """SELECT (rn - 1) // 64 AS batch, count(*) AS n FROM (
+    """SELECT (rn - 1) // 16 AS batch, count(*) AS n FROM (
       SELECT row_number() OVER (ORDER BY item_id) AS rn FROM benchmark) GROUP BY 1"""
 )
 def query_batches(spark, sf):
     questions = with_row_index(table(spark, sf, "benchmark").select("item_id"), ["item_id"])
-    batches = search_batches(questions, "row_idx", 64, questions.count())
+    batches = search_batches(questions, "row_idx", 16, questions.count())
     return batches.groupBy("batch").agg(F.count("*").alias("n"))
 
 

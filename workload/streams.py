@@ -34,11 +34,17 @@ DAYS_SQL = """SELECT event_type, epoch_us(date_trunc('day', ts)) AS day_us, roun
 
 @query(DAYS_SQL)
 def window_daily(spark, sf):
-    rows = table(spark, sf, "events").withColumn("day_us", epoch_us(F.date_trunc("day", "ts")))
-    totals = rows.groupBy("event_type", "day_us").agg(
-        F.sum("value").alias("total"), F.avg("value").alias("mean"), F.max("value").alias("peak"), F.count("*").alias("n")
+    """The stream's windows over a table."""
+    rows = table(spark, sf, "events").withColumn("at", F.timestamp_micros(epoch_us(F.col("ts"))))
+    totals = jobs.windowed_usage(rows, ["event_type"], "at", "value", "1 day")
+    return totals.select(
+        "event_type",
+        F.unix_micros("window_start").alias("day_us"),
+        F.round("total", 2).alias("total"),
+        F.round("mean", 8).alias("mean"),
+        "peak",
+        "n",
     )
-    return totals.withColumn("total", F.round("total", 2)).withColumn("mean", F.round("mean", 8))
 
 
 @query(

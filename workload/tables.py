@@ -119,15 +119,24 @@ def unpaired_rows(spark, sf):
     UNION ALL SELECT 'page', page_id, md5(html) FROM pages"""
 )
 def append_records(spark, sf):
-    parts = [
-        table(spark, sf, name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.md5(text).alias("text_md5"))
-        for name, kind, key, text in (
-            ("documents", "document", "doc_id", "text"),
-            ("benchmark", "question", "item_id", "text"),
-            ("pages", "page", "page_id", "html"),
+    """Three tables appended to one collection, one after another."""
+    store = Collections(spark, scratch_path(spark, "appended"), "appended")
+    store.create("records", 1)
+    for name, kind, key, text in (
+        ("documents", "document", "doc_id", "text"),
+        ("benchmark", "question", "item_id", "text"),
+        ("pages", "page", "page_id", "html"),
+    ):
+        rows = table(spark, sf, name).select(
+            F.col(key).cast("string").alias("id"),
+            F.col(text).alias("text"),
+            F.array(F.lit(1.0)).alias("vector"),
+            F.create_map(F.lit("kind"), F.lit(kind)).alias("payload"),
         )
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        store.insert_rows("records", rows)
+    return store.scan("records").select(
+        F.col("payload")["kind"].alias("kind"), F.col("id").cast("long").alias("id"), F.md5("text").alias("text_md5")
+    )
 
 
 @query(
@@ -162,10 +171,18 @@ def embedding_dim(spark, sf):
 
 @query("SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND n_chars BETWEEN 500 AND 5000")
 def filter_project(spark, sf):
-    return (
-        table(spark, sf, "documents")
-        .where("lang = 'en' AND n_chars BETWEEN 500 AND 5000")
-        .select("doc_id", "source", "n_chars")
+    store = Collections(spark, scratch_path(spark, "filtered"), "filtered")
+    store.create("corpus", 1)
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.array(F.lit(1.0)).alias("vector"),
+        F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("payload"),
+        F.col("n_chars").alias("version"),
+    )
+    store.insert_rows("corpus", rows)
+    found = store.query("corpus", "payload['lang'] = 'en' AND version BETWEEN 500 AND 5000", ["id", "payload", "version"])
+    return found.select(
+        F.col("id").cast("long").alias("doc_id"), F.col("payload")["source"].alias("source"), F.col("version").alias("n_chars")
     )
 
 
