@@ -344,3 +344,31 @@ def test_device_names(spark, tmp_path):
     (run / "DiskMeter_meta.pb.bin").write_bytes(len(meta).to_bytes(8, "little") + meta)
     found = framed.read_metadata(spark, str(tmp_path), "disk", "*_meta.pb.bin").first()
     assert [d.dev_name for d in found.disk_meta] == ["sda", "nvme0"] and found.run == run.name
+
+
+def test_all_meters_by_stage(spark, run_dir):
+    run = next(run_dir.iterdir())
+    proc = [{"timestamp": t * SECOND, "per_proc_metrics": [{"pid_stat_metrics": {"utime": 50 * t, "stime": 0}, "pid_statm_metrics": {"resident": 1 << 18}, "pid_io_metrics": {"read_bytes": t << 20, "write_bytes": 0}}]} for t in range(5)]
+    (run / "ProcMeter.pb.bin").write_bytes(frame("proc", proc))
+    mem = [{"timestamp": t * SECOND, "meminfo_metrics": {"basic_metrics": {"mem_free": (t + 1) << 20}}} for t in range(5)]
+    (run / "MemMeter.pb.bin").write_bytes(frame("mem", mem + [{"meminfo_metrics": {}}]))
+    got = {(r.stage, r.meter, r.device, r.measure): (r["mean"], r.peak, r.n_samples) for r in run_report.usage_by_stage(spark, str(run_dir)).collect()}
+    assert got[("embed", "disk", 0, "mb_s_sectors_read")] == (1.0, 1.0, 2)
+    assert got[("embed", "proc", 0, "cpu_percent")] == (50.0, 50.0, 2) and got[("start", "proc", 0, "cpu_percent")] == (None, None, 0)
+    assert got[("embed", "proc", 0, "resident_gib")] == (1.0, 1.0, 2) and got[("embed", "proc", 0, "mb_s_read")] == (1.0, 1.0, 2)
+    assert got[("embed", "mem", None, "free_gib")] == (2.5, 3.0, 2) and got[("done", "mem", None, "free_gib")] == (5.0, 5.0, 1)
+    assert got[("start", "gpu", 0, "gpm_1")] == (2.5, 2.5, 2) and ("start", "gpu", 1, "used_gib") in got
+
+
+def test_names_from_metadata(spark, tmp_path):
+    run = tmp_path / "2025-10-18T18:43:27-0500"
+    run.mkdir()
+    text = lambda no, value: field(no, 2, number(len(value)) + value)
+    proc = text(1, text(1, b"server") + field(2, 0, number(77)) + field(3, 0, number(1)))
+    gpu = text(1, b"GPU-0") + field(3, 2, number(2) + b"\x02\x63")
+    for name, body in (("ProcMeterMeta", proc), ("GPUMeterMeta", gpu)):
+        (run / f"{name}.pb.bin").write_bytes(len(body).to_bytes(8, "little") + body)
+    found = run_report.process_names(spark, str(tmp_path), "ProcMeterMeta*").collect()
+    assert [tuple(r) for r in found] == [(run.name, 0, 77, "server")]
+    metrics = run_report.gpu_metric_names(spark, str(tmp_path), "GPUMeterMeta*").orderBy("position").collect()
+    assert [(r.position, r.metric) for r in metrics] == [(0, "GPM_SM_UTIL"), (1, "GPM_99")]

@@ -225,3 +225,19 @@ def test_buckets_are_folded_apart(spark, tmp_path):
     deltas.clean()
     assert len(deltas.commits()) == 1 and {r.id: (r.v, r.version) for r in deltas.over(base, F.broadcast).collect()} == table
     assert len({p.split("/_bucket")[0] for p in files_below(tmp_path)}) == 1
+
+
+def test_rounds_are_timed(spark, tmp_path):
+    from vektorloom.plans.answering import answer_in_rounds
+
+    questions = spark.createDataFrame([(i, f"w{i}", "") for i in range(7)], "q_id long, question string, reference string")
+    collection = embed(spark.createDataFrame([(0, "w1 w2"), (1, "w5")], "id long, text string"))
+    answered, rounds = answer_in_rounds(questions, collection, 3, str(tmp_path / "run"), k=2, top_n=1)
+    assert sorted(map(str, answered.collect())) == sorted(map(str, answer(questions, collection, k=2, top_n=1).collect()))
+    rows = rounds.orderBy("round").collect()
+    assert [r.round for r in rows] == [0, 1, 2] and all(r.total == r.embedding + r.retrieval + r.rerank + r.prompt + r.generation > 0 for r in rows)
+    assert all(abs(sum(r[f"share_{c}"] for c in ("embedding", "retrieval", "rerank", "prompt", "generation")) - 100) < 1e-6 for r in rows)
+    lines = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "run" / "rounds")).collect()]
+    assert sorted(int(x[0]) for x in lines) == [0, 1, 2] and all(len(x) == 7 for x in lines)
+    none, no_rounds = answer_in_rounds(questions.where("q_id > 99"), collection, 3, str(tmp_path / "none"))
+    assert none.count() == 0 and no_rounds.count() == 0
