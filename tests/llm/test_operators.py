@@ -162,14 +162,69 @@ def test_fingerprints(docs, none):
     assert np.mean([r.near_edited for r in long_ones]) > np.mean([r.near_next for r in long_ones]) + 0.1
 
 
+def prints_of(spark, texts):
+    found = fingerprints.fingerprints(spark.createDataFrame(list(texts.items()), "k long, t string"), ["k"], "t").collect()
+    return {r.k: (r.n, r.lanes, r.counts) for r in found}
+
+
+def as_frame(spark, print_):
+    return spark.createDataFrame([(0, *print_)], "k long, n long, lanes array<bigint>, counts array<bigint>")
+
+
 def test_fingerprints_add_and_leave(spark):
     texts = {1: "first paragraph here\nsecond one there", 2: "second one there\nfirst paragraph here", 3: "first paragraph here", 4: "second one there"}
-    prints = fingerprints.fingerprints(spark.createDataFrame(list(texts.items()), "k long, t string"), ["k"], "t").collect()
-    of = {r.k: r for r in prints}
-    assert of[1][1:] == of[2][1:] != of[3][1:]
-    frame = lambda k: spark.createDataFrame([tuple([0, *of[k][1:]])], "k long, n long, " + ", ".join(f"w{j} long" for j in range(fingerprints.WORDS)))
-    assert fingerprints.insert(frame(3), frame(4), ["k"]).first()[1:] == of[1][1:]
-    assert fingerprints.delete(frame(1), frame(4), ["k"]).first()[1:] == of[3][1:]
+    of = prints_of(spark, {**texts, 5: "nothing like it"})
+    assert of[1] == of[2] != of[3]
+    plain = lambda df: tuple(df.first()[1:])
+    insert, delete = (lambda a, b, f=f: plain(f(as_frame(spark, a), as_frame(spark, b), ["k"])) for f in (fingerprints.insert, fingerprints.delete))
+    assert insert(of[3], of[4]) == of[1] and delete(of[1], of[4]) == of[3]
+    # taking away what is not there, and sums beyond the modulus, are undone exactly
+    assert insert(delete(of[3], of[5]), of[5]) == of[3] and all(0 <= x < 1 << 32 for x in delete(of[3], of[5])[1])
+    top = ((1 << 32) - 1, [(1 << 32) - 1] * 32, [(1 << 32) - 1] * 64)
+    assert delete(insert(top, top), top) == top and insert(of[3], top) == delete(of[3], (1, [1] * 32, [1] * 64))
+
+
+def test_fingerprints_are_of_paragraphs(spark):
+    """Only the order of paragraphs (and empty lines) does not matter."""
+    same = ["one two\nthree\nthree", "three\none two\nthree", "\n\nthree\nthree\n\none two\n"]
+    other = ["one two\nthree", "two one\nthree\nthree", "one  two\nthree\nthree", "one two three three", "one two\nthree\nthree ", "three one\ntwo\nthree", "", "one two\nthree\nThree"]
+    lanes = [tuple(lanes) for _, (_, lanes, _) in sorted(prints_of(spark, dict(enumerate([*same, *other]))).items())]
+    assert len(set(lanes[:3])) == 1 and len(set(lanes)) == 1 + len(other) and lanes[9] == (0,) * 32
+
+
+def test_fingerprints_by_hand(spark):
+    """Both parts of a fingerprint and the likeness against sums in Python."""
+    import re
+
+    texts = dict(enumerate([prose(i, 5 + 17 * i).replace(" ", "\n", i) for i in range(6)] + ["", "a b c\nd", prose(3, 40) + " " + prose(4, 20)]))
+    parts = sorted({p for t in texts.values() for p in [*t.split("\n"), *re.split(fingerprints.PHRASE_END, t)]})
+    hashed = spark.createDataFrame([(p,) for p in parts], "p string").select("p", F.xxhash64("p").alias("h"), F.array(*[F.xxhash64(F.lit(i), "p") for i in range(16)]).alias("s")).collect()
+    single, seeded = {r.p: r.h % (1 << 64) for r in hashed}, {r.p: [x % (1 << 64) for x in r.s] for r in hashed}
+    expected = {}
+    for k, t in texts.items():
+        paragraphs, phrases = [p for p in t.split("\n") if p], [p for p in re.split(fingerprints.PHRASE_END, t) if p]
+        lanes = [sum(seeded[p][i // 2] >> 32 * (i % 2) & 0xFFFFFFFF for p in paragraphs) % (1 << 32) for i in range(32)]
+        expected[k] = (len(phrases), lanes, [sum(single[p] >> j & 1 for p in phrases) for j in range(64)])
+    got = prints_of(spark, texts)
+    assert got == expected
+
+    def near(a, b):
+        if a[0] == b[0] and a[2] == b[2]:
+            return 1.0
+        x, y = (np.array(v[2]) * 2.0 - v[0] for v in (a, b))
+        length = np.sqrt((x @ x) * (y @ y))
+        return float(np.clip(x @ y / length, 0, 1)) if length else 0.0
+
+    pairs = spark.createDataFrame([(i, j, *expected[i][::2], *expected[j][::2]) for i in texts for j in texts], "i long, j long, n long, a array<bigint>, m long, b array<bigint>")
+    for r in pairs.select("i", "j", fingerprints.likeness(F.col("a"), F.col("n"), F.col("b"), F.col("m")).alias("near")).collect():
+        assert abs(r.near - near(expected[r.i], expected[r.j])) < 1e-9
+
+
+def test_fingerprint_of_a_very_long_text(spark):
+    """Eleven megabytes of short words: more phrases than any packed lane of a long could have held before."""
+    docs = spark.createDataFrame([(1, "wordy " * 1_900_000), (2, "ab\n" * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.fingerprinted_edits(docs).collect()}
+    assert got[1].n_chars == 11_400_000 and got[1].fingerprint.split(":")[1] == f"{1_900_000:x}" and 0 <= got[2].near_next <= 1
 
 
 def test_next_key(spark, monkeypatch):

@@ -1,4 +1,18 @@
-"""Multiset fingerprints of paragraphs: sums of wide vectors that paragraphs can join and leave."""
+"""Homomorphic fingerprints of texts as multisets of paragraphs, to which paragraphs can be added and taken away.
+
+A paragraph is a non-empty line. Its vector has two parts, and a text's fingerprint is the sum of its paragraphs'
+vectors, every component modulo ``2 ** 32``:
+
+* ``lanes``: 32 components of 32 bits from 16 independently seeded hashes of the whole paragraph. Two texts have equal
+  lanes if they have the same paragraphs equally often, in any order, and by accident with a chance of about
+  ``2 ** -1024``. Other words, other word order or other white space make another paragraph.
+* ``counts``: 64 components that count the paragraph's phrases by the bits of their hashes. They are a function of the
+  paragraphs too, so they change no equality; twice a count less the number of phrases is a sum of random signs, so the
+  cosine of two texts' counts estimates how much of their phrases they share. That is the likeness of texts whose
+  paragraphs were edited.
+
+The sums form a group: ``insert`` and ``delete`` are inverse to each other for all values.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +21,15 @@ from pyspark.sql import functions as F
 
 from vektorloom.llm.common import settled
 
-#: A phrase's 63 hash bits are spread over WORDS words of LANES lanes; a lane counts phrases with its bit, modulo 2**BITS.
-WORDS, LANES, BITS = 21, 3, 21
-_ONES = sum(1 << (BITS * lane) for lane in range(LANES))
+#: Every component counts modulo ``2 ** 32``.
+MASK = (1 << 32) - 1
+#: Independently seeded hashes of a paragraph; each gives two lanes.
+SEEDS = 16
+#: A phrase's hash has 64 bits; two of them are counted in one long (bit j and bit j + 32).
+WORDS = 32
+_ONES = 1 | 1 << 32
 
-#: A paragraph is a line; its phrases end with a word of four or more characters.
+#: A phrase ends with a word of four or more characters, or with its paragraph.
 PHRASE_END = r"(?<=\S{4})\s+|\n+"
 
 #: Documents whose ids differ in the last SPAN bits only are put in order together.
@@ -21,40 +39,52 @@ SPAN = 8
 ONE_SORT = 100_000
 
 
-def phrase_words(phrase: Column) -> list[Column]:
-    """The wide vector of one phrase, packed: word j holds the hash bits j, j+21 and j+42."""
-    h = F.xxhash64(phrase)
-    bits = F.lit(_ONES)
-    return [F.shiftrightunsigned(h, j).bitwiseAND(bits) for j in range(WORDS)]
+def paragraph_lanes(paragraph: Column) -> Column:
+    """The 32 lanes of one paragraph. The seed is hashed first, so that the hashes are independent."""
+    hashes = F.array(*[F.xxhash64(F.lit(seed), paragraph) for seed in range(SEEDS)])
+    return F.flatten(F.transform(hashes, lambda h: F.array(h.bitwiseAND(F.lit(MASK)), F.shiftrightunsigned(h, 32))))
+
+
+def added(a: Column, b: Column, sign: int = 1) -> Column:
+    """Component by component, modulo ``2 ** 32``."""
+    return F.zip_with(a, b, lambda x, y: (x + F.lit(sign) * y).bitwiseAND(F.lit(MASK)))
+
+
+def text_lanes(text: Column) -> Column:
+    """The sum of the lanes of a text's paragraphs. Every step stays below ``2 ** 33``."""
+    zero = F.array_repeat(F.lit(0).cast("bigint"), 2 * SEEDS)
+    paragraphs = F.filter(F.split(text, "\n"), lambda p: p != "")
+    return F.aggregate(paragraphs, zero, lambda total, p: added(total, paragraph_lanes(p)))
 
 
 def fingerprints(texts: DataFrame, key: list[str], text: str) -> DataFrame:
-    """``key`` columns, ``n`` phrases and the sums ``w0 ... w20`` of their vectors, one row per key.
+    """``key`` columns, ``n`` (phrases), ``lanes`` and ``counts`` of each key's text, one row per key and text.
 
-    The sum does not depend on the order of paragraphs, and the sums of two texts add up to that of both together:
-    ``insert`` and ``delete`` use this. Rows of one key meet as partial sums only. Empty texts have no phrases and
-    the zero vector; null texts count as empty.
+    Empty texts have no paragraphs and the zero vector; null texts count as empty. The phrases of a text are counted by
+    partial sums; with fewer than ``2 ** 31`` of them (a text of Spark has no more) no sum leaves a long.
     """
-    phrase = F.explode(F.split(F.coalesce(F.col(text), F.lit("")), PHRASE_END)).alias("phrase")
-    rows = texts.select(*key, phrase).select(*key, (F.col("phrase") != "").cast("long").alias("one"), "phrase")
-    # without a phrase nothing is added; a lane holds 2**21 phrases before it wraps, and sums stay below 2**63
-    parts = [(word * F.col("one")).alias(f"w{j}") for j, word in enumerate(phrase_words(F.col("phrase")))]
+    body = F.coalesce(F.col(text), F.lit(""))
+    # the lanes are a column before the text is cut up, else every phrase would compute them again
+    cut = texts.select(*key, text_lanes(body).alias("lanes"), F.split(body, PHRASE_END).alias("phrases"))
+    rows = cut.select(*key, "lanes", F.explode("phrases").alias("phrase"))
+    one = (F.col("phrase") != "").cast("long")
+    h = F.xxhash64("phrase")
+    parts = [(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_ONES)) * F.col("one")).alias(f"w{j}") for j in range(WORDS)]
     sums = [F.sum(f"w{j}").alias(f"w{j}") for j in range(WORDS)]
-    return _wrapped(rows.select(*key, "one", *parts).groupBy(*key).agg(F.sum("one").alias("n"), *sums))
-
-
-def _wrapped(sums: DataFrame) -> DataFrame:
-    """Every packed word modulo 2**63, the modulus of the group."""
-    return sums.withColumns({f"w{j}": F.col(f"w{j}").bitwiseAND(F.lit((1 << 63) - 1)) for j in range(WORDS)})
+    summed = rows.select(*key, "lanes", "phrase", one.alias("one")).select(*key, "lanes", "one", *parts)
+    summed = summed.groupBy(*key, "lanes").agg(F.sum("one").alias("n"), *sums)
+    low = [F.col(f"w{j}").bitwiseAND(F.lit(MASK)) for j in range(WORDS)]
+    high = [F.shiftrightunsigned(F.col(f"w{j}"), 32) for j in range(WORDS)]
+    return summed.select(*key, "n", "lanes", F.array(*low, *high).alias("counts"))
 
 
 def combine(left: DataFrame, right: DataFrame, key: list[str], sign: int = 1) -> DataFrame:
     """Fingerprints of the texts of ``left`` with those of ``right`` inserted (``sign`` 1) or deleted (-1), key by key."""
-    names = ["n", *(f"w{j}" for j in range(WORDS))]
-    other = right.select(*key, *(F.col(c).alias(f"{c}_other") for c in names))
+    other = right.select(*key, *(F.col(c).alias(f"{c}_other") for c in ("n", "lanes", "counts")))
     both = left.join(other, key, "left")
-    added = {c: F.col(c) + F.lit(sign) * F.coalesce(F.col(f"{c}_other"), F.lit(0)) for c in names}
-    return both.withColumns(added).select(*key, *names)
+    n = (F.col("n") + F.lit(sign) * F.col("n_other")).bitwiseAND(F.lit(MASK))
+    new = {"n": n, **{c: added(F.col(c), F.col(f"{c}_other"), sign) for c in ("lanes", "counts")}}
+    return both.select(*key, *[F.when(F.col("n_other").isNull(), F.col(c)).otherwise(e).alias(c) for c, e in new.items()])
 
 
 def insert(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
@@ -65,24 +95,20 @@ def delete(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return combine(left, right, key, -1)
 
 
-def as_text(n: str, words: str) -> Column:
-    """The fingerprint as a string: number of phrases and the packed words, in hexadecimal."""
-    return F.lower(F.concat_ws(":", F.hex(n), F.array_join(F.transform(words, F.hex), ":")))
+def as_text(n: str, lanes: str, counts: str) -> Column:
+    """The fingerprint as a string: lanes, number of phrases and counts, in hexadecimal."""
+    wide = F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+    return F.lower(F.concat_ws(":", wide, F.hex(n), F.array_join(F.transform(counts, F.hex), ":")))
 
 
 def likeness(a: Column, a_n: Column, b: Column, b_n: Column) -> Column:
-    """Likeness of two fingerprints (arrays of packed words and numbers of phrases), 0 to 1.
+    """Likeness of two fingerprints (counts and numbers of phrases), 0 to 1.
 
-    A lane counts how many phrases have its bit, so twice the lane less the number of phrases is a sum of random
-    signs, and the cosine of two such vectors estimates how much of their phrases the texts share. Equal fingerprints
-    have likeness 1, an empty text has likeness 0 with any other.
+    Equal counts have likeness 1, an empty text has likeness 0 with any other.
     """
 
-    def signed(words: Column, n: Column) -> Column:
-        lanes = F.flatten(
-            F.transform(words, lambda w: F.array(*(F.shiftright(w, BITS * lane).bitwiseAND(F.lit((1 << BITS) - 1)) for lane in range(LANES))))
-        )
-        return F.transform(lanes, lambda x: (x * 2 - n).cast("double"))
+    def signed(counts: Column, n: Column) -> Column:
+        return F.transform(counts, lambda x: (x * 2 - n).cast("double"))
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
@@ -151,8 +177,7 @@ def _both_prints(rows: DataFrame) -> DataFrame:
     prints = fingerprints(bodies, [*key, "side"], "body")
 
     def of_side(i: int, name: str) -> list[Column]:
-        one = lambda c: F.sum(F.when(F.col("side") == i, F.col(c)))
-        return [one("n").alias(f"{name}_n"), F.array(*(one(f"w{j}") for j in range(WORDS))).alias(f"{name}_words")]
+        return [F.max(F.when(F.col("side") == i, F.col(c))).alias(f"{name}_{c}") for c in ("n", "lanes", "counts")]
 
     return prints.groupBy(*key).agg(*of_side(0, "own"), *of_side(1, "edited"))
 
@@ -181,16 +206,16 @@ def fingerprinted_edits(docs: DataFrame) -> DataFrame:
         F.col("span").alias("next_span"),
         F.col("row_no").alias("next_row"),
         F.col("own_n").alias("next_n"),
-        F.col("own_words").alias("next_words"),
+        F.col("own_counts").alias("next_counts"),
     )
-    own = F.col("own_words"), F.col("own_n")
-    near_next = likeness(*own, F.col("next_words"), F.col("next_n"))
+    own = F.col("own_counts"), F.col("own_n")
+    near_next = likeness(*own, F.col("next_counts"), F.col("next_n"))
     return prints.join(following, ["next_span", "next_row"], "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text("own_n", "own_words").alias("fingerprint"),
-        as_text("edited_n", "edited_words").alias("edited_fingerprint"),
-        likeness(*own, F.col("edited_words"), F.col("edited_n")).alias("near_edited"),
+        as_text("own_n", "own_lanes", "own_counts").alias("fingerprint"),
+        as_text("edited_n", "edited_lanes", "edited_counts").alias("edited_fingerprint"),
+        likeness(*own, F.col("edited_counts"), F.col("edited_n")).alias("near_edited"),
         F.when(F.col("next_n").isNotNull(), near_next).alias("near_next"),
     )
