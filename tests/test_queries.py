@@ -20,6 +20,7 @@ def test_twins_belong_to_queries():
         "chunk_recursive",
         "html_blocks",
         "block_chunks",
+        "index_default",
         "pq_search",
         "ivf_probe",
     }
