@@ -18,6 +18,7 @@ import json
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +58,8 @@ from vektorloom.session import shared_dir
 
 #: Scores are rounded to so many places before they are ranked; bounds must not cut rows that tie after rounding.
 DIGITS = 6
-#: Rows of the collection that are asked for themselves to measure recall, and the recall the default probing must have.
-RECALL_ROWS, RECALL_AT, WANTED_RECALL = 200, 10, 0.95
+#: Rows of the collection that ask for their neighbours to measure recall, and the recall the default probing must have.
+RECALL_ROWS, RECALL_AT, WANTED_RECALL = 200, 10, 0.97
 MANIFEST = "manifest-"
 
 
@@ -282,7 +283,7 @@ class StoredIndexes:
 
         Models are fitted on bounded samples (see ``Cells``, ``ProductCodes``), every row with a vector is indexed (for
         cosine, with a length). Without ``nprobe`` the default number of probed cells is the least at which
-        ``RECALL_ROWS`` sampled rows find ``WANTED_RECALL`` of their ``RECALL_AT`` nearest rows; the measured recall of
+        ``RECALL_ROWS`` sampled rows find ``WANTED_RECALL`` of their ``RECALL_AT`` nearest other rows; the measured recall of
         each number is in the manifest.
         """
         metric, coding = check_metric(metric), coding_of(kind)
@@ -323,7 +324,9 @@ class StoredIndexes:
         asked = training_rows(index.rows().select(*made.item_keys, made.vector), RECALL_ROWS, seed).limit(2 * RECALL_ROWS)
         asked = asked.select(*[F.col(c).alias(k) for c, k in zip(made.item_keys, keys)], F.col(made.vector).alias("vector"))
         local = self.spark.createDataFrame(asked.toArrow(), asked.schema)  # at most 2 * RECALL_ROWS vectors
-        true = similarity_top_k(local, index.rows(), RECALL_AT, made.metric, keys, made.item_keys, "vector", made.vector)
+        true = similarity_top_k(local, index.rows(), RECALL_AT + 1, made.metric, keys, made.item_keys, "vector", made.vector)
+        # a row finds itself in its first cell, which says nothing about others
+        true = true.where(~reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(made.item_keys, keys)]))
         # a true neighbour is found once the number of probed cells reaches its cell
         near = true.join(index.rows().select(*made.item_keys, "cell"), made.item_keys).select(*keys, "cell").collect()
         _, matrix = arrow_matrix(local.select("vector").toArrow().column("vector"))
