@@ -29,6 +29,13 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled_in(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``settled``, and the folder, for a table that goes (``remove_folder``) when the next one is written."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Left join of ``rows`` to ``groups`` (one row per ``key``; ``size``: how many of the rows have it).
 

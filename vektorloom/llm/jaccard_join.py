@@ -9,10 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vektorloom.llm.common import join_groups, map_rows, settled
+from vektorloom.llm.common import join_groups, map_rows, settled, settled_in
 from vektorloom.llm.components import components
 from vektorloom.llm.words import WordHashes, mixed, shingles, signed
 from vektorloom.operators.spread import send_if_small
+from vektorloom.session import remove_folder
 
 #: Size classes grow by this factor, so that sets of one link lie in the same or in neighbouring classes.
 GROWTH = 1.4
@@ -341,20 +342,29 @@ def linked_sets(docs: DataFrame, documents: DataFrame, classes: DataFrame, rule:
     if pairs.isEmpty():
         return None
     names = settled(pairs.select("cls").union(pairs.select("lead")).distinct(), "names")
-    sets = settled(needed_sets(docs, names, classes, rule), "sets")
-    answers = settled(compared(pairs, sets, rule), "answers")
+    spark = docs.sparkSession
+    sets, at_sets = settled_in(needed_sets(docs, names, classes, rule), "sets")
+    answers, at_answers = settled_in(compared(pairs, sets, rule), "answers")
+    remove_folder(spark, at_sets)
     links, marks, rounds = [], None, 0
+    # of the tables with differences only the last one is kept; links are two numbers
     while True:
-        departures = settled(cores(settled(centred(answers, rule), "centred")), "departures")
-        links.append(answers.where("linked").select(F.col("cls").alias("a"), F.col("lead").alias("b")))
-        links.append(departures.where("step = 0 AND cls <> core").select(F.col("cls").alias("a"), F.col("core").alias("b")))
+        links.append(settled(answers.where("linked").select(F.col("cls").alias("a"), F.col("lead").alias("b")), "links"))
+        centre, at_centre = settled_in(centred(answers, rule), "centred")
+        remove_folder(spark, at_answers)
+        departures, at_departures = settled_in(cores(centre), "departures")
+        remove_folder(spark, at_centre)
+        near = departures.where("step = 0 AND cls <> core")
+        links.append(settled(near.select(F.col("cls").alias("a"), F.col("core").alias("b")), "links"))
         if rounds < 2:  # later on few links are new, and marks that are older only leave more lists
             marks = components(reduce(DataFrame.union, links))
         pairs = settled(leaders(derived_entries(departures, marks, rule), "comp", "via"), "pairs")
         rounds += 1
         if pairs.isEmpty():
+            remove_folder(spark, at_departures)
             return marks if rounds <= 2 else components(reduce(DataFrame.union, links))
-        answers = settled(derived(pairs, departures, rule), "answers")
+        answers, at_answers = settled_in(derived(pairs, departures, rule), "answers")
+        remove_folder(spark, at_departures)
 
 
 def grouped(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
