@@ -290,7 +290,7 @@ def test_metadata_messages():
     row = messages.decode_message(gpu, messages.METADATA["gpu"])
     assert (row["dev_id"], row["gpm_metrics"], row["properties"]["dev_name"]) == ("GPU-0", [2, 3, 10], "H1")
     assert messages.spark_fields(messages.METADATA["proc"]).simpleString() == "struct<proc_meta:array<struct<proc_name:string,pid:bigint,probes:array<bigint>>>>"
-    assert len(messages.GPM_NAMES) == 67 and messages.GPM_NAMES[97] == "GPM_NVLINK_L17_TX_PER_SEC"
+    assert len(messages.GPM_NAMES) == 71 and messages.GPM_NAMES[97] == "GPM_NVLINK_L17_TX_PER_SEC"
 
 
 def test_bytes_survive_the_line_reader(spark, tmp_path):
