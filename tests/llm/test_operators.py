@@ -104,6 +104,24 @@ def test_jaccard_join(docs, none, rule):
     assert jaccard_join.grouped(none, rule).count() == 0
 
 
+@pytest.mark.parametrize("rule", [jaccard_join.Rule(3, 9, 10), jaccard_join.Rule(5, 4, 5), jaccard_join.Rule(5, 1, 2)])
+def test_linked_sets_meet_in_a_list(rule):
+    random = np.random.default_rng(5)
+    linked = 0
+    for n in [*range(1, 60), *random.integers(60, 3000, 300).tolist()]:
+        core = random.integers(0, 1 << 64, n, np.uint64)
+        most = rule.per_element * n // rule.per_difference
+        for differ in {most, most + 1, 2 * most}:
+            gone = int(random.integers(0, min(differ, n - 1) + 1))
+            x = np.unique(core)
+            y = np.unique(np.concatenate([core[gone:], random.integers(0, 1 << 64, differ - gone, np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if both < len(x) + len(y) - both and rule.of * both >= rule.part * (len(x) + len(y) - both):
+                linked += 1
+                assert len(np.intersect1d(jaccard_join.block_keys(x, rule), jaccard_join.block_keys(y, rule)))
+    assert linked > 200
+
+
 def test_one_of_each_keeps_columns(docs):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns

@@ -16,7 +16,7 @@ from vektorloom.operators.spread import send_if_small
 from vektorloom.session import remove_folder
 
 #: Size classes grow by this factor, so that sets of one link lie in the same or in neighbouring classes.
-GROWTH = 1.4
+GROWTH = 1.25
 
 #: Factor between the steps of excess.
 STEP = 1.1
@@ -44,9 +44,14 @@ class Rule:
     def per_element(self) -> int:
         return self.of - self.part
 
+    def differences(self, size: int, largest: int) -> int:
+        """How many elements a set of this size and a linked one up to ``largest`` can differ in."""
+        return self.per_element * (size + largest) // self.per_difference
+
     def blocks(self, largest: int) -> int:
-        """One more block than linked sets up to this size can differ in: they agree in at least one."""
-        return self.per_element * 2 * largest // self.per_difference + 1
+        """A third more blocks than linked sets up to this size can differ in, so that small blocks need no list."""
+        most = self.differences(largest, largest)
+        return most + most // 3 + 2
 
 
 def size_edges() -> np.ndarray:
@@ -75,21 +80,29 @@ def block_keys(tokens: np.ndarray, rule: Rule) -> np.ndarray:
     """Keys of the index lists that a set belongs to.
 
     In the order of their hashes, the elements are cut at fixed places into blocks. A list holds the sets that agree
-    in one whole block of one size class. A set joins the lists of its own class and of the class of the largest set
-    it may link with; so two linked sets share a class and, differing in fewer elements than there are blocks, a list.
+    in one whole block of one size class. A set has part in its own class and in all up to the class of the largest
+    set it may link with; so two linked sets share the class of the larger one.
+
+    Of its blocks there, small ones are skipped: a set that can differ from linked ones in d elements joins the lists
+    of its d + 1 largest blocks and of all as large as these. Linked sets agree in one of the d + 1 of either set; of
+    the two, the set whose least block is the larger one has a block that the other has too, and does not skip.
+    Empty blocks and those of single frequent elements, in which unlike sets agree, thus seldom have a list.
     """
     n, out = len(tokens), [np.zeros(0, np.uint64)]
     if not n:
         return out[0]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens), dtype=np.uint64)])
     own, above = np.searchsorted(_EDGES, [n, n * rule.of // rule.part], "right") - 1
-    for size_class in {int(own), int(above)}:
-        blocks = rule.blocks(int(_EDGES[size_class + 1]) - 1)
-        if blocks > 1:  # with one block, linked sets are equal
+    for size_class in range(int(own), int(above) + 1):
+        largest = int(_EDGES[size_class + 1]) - 1
+        most, blocks = rule.differences(n, largest), rule.blocks(largest)
+        if most:  # without a difference, linked sets are equal
             first = np.arange(blocks, dtype=np.uint64) * np.uint64((1 << 64) // blocks)
             cuts = np.append(np.searchsorted(tokens, first), n)
-            place = np.arange(blocks, dtype=np.uint64) + np.uint64(size_class << 40)
-            out.append(mixed((sums[cuts[1:]] - sums[cuts[:-1]]) ^ mixed(place + np.uint64(1))))
+            sizes = np.diff(cuts)
+            listed = np.flatnonzero(sizes >= np.partition(sizes, blocks - 1 - most)[blocks - 1 - most])
+            place = listed.astype(np.uint64) + np.uint64(size_class << 40)
+            out.append(mixed((sums[cuts[listed + 1]] - sums[cuts[listed]]) ^ mixed(place + np.uint64(1))))
     return np.concatenate(out)
 
 
@@ -168,12 +181,12 @@ def with_followers(pairs: DataFrame) -> DataFrame:
 def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Each set against the leader of its list: ``cls, lead, n, linked, added, diff``.
 
-    ``diff`` has the elements in only one of the two: first ``added`` ones that the leader lacks, then those that only
-    the leader has. All later answers are derived from it.
+    ``pairs`` has ``cls, lead, many``. ``diff`` is left empty without ``many``; else it has the elements in only one of the two: first ``added`` ones that the leader lacks, then those that only
+    the leader has. All later answers of its list are derived from it.
     """
     own = sets.select("cls", F.col("tokens").alias("own"))
     theirs = sets.select(F.col("cls").alias("lead"), F.col("tokens").alias("theirs"))
-    met = with_followers(pairs).join(own, "cls").join(theirs, "lead").select("cls", "lead", "many", "own", "theirs")
+    met = pairs.join(own, "cls").join(theirs, "lead").select("cls", "lead", "many", "own", "theirs")
 
     def make():
         def work(rows):
@@ -331,22 +344,48 @@ def leaders(entries: DataFrame, comp: str, via: str) -> DataFrame:
     return met.where("cls <> lead").groupBy("cls", "lead").agg(F.min("via").alias("via"))
 
 
+def closest(met: DataFrame) -> DataFrame:
+    """``cls, lead, many``: each set with the leader that it shares most lists with."""
+    shares = met.where("cls <> lead").groupBy("cls", "lead").agg(F.count("*").alias("lists"))
+    best = shares.groupBy("cls").agg(F.max_by("lead", F.struct("lists", "lead")).alias("lead"))
+    return best.withColumn("many", F.lit(False))
+
+
+def list_members(documents: DataFrame) -> DataFrame:
+    """``key, cls, lead``, once each: the lists that different sets meet in, their members, and the smallest of these."""
+    entries = documents.select("cls", F.explode("keys").alias("key"))
+    lists = entries.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead <> last")
+    return entries.join(send_if_small(settled(lists.select("key", "lead"), "lists")), "key").select("key", "cls", "lead").distinct()
+
+
 def linked_sets(docs: DataFrame, documents: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | None:
     """``node, comp`` of all sets that link with another one, None if no lists meet.
 
-    Every list is answered by its leader; sets that this does not settle go into the lists derived from their diffs,
-    whose leaders come later in the order of names, until no list joins two components.
+    First each set is held against the one leader that it shares most lists with. This links most of what is to be
+    linked, and a list whose members are in one component needs no answers. Every other list is answered by its
+    leader; sets that this does not settle go into the lists derived from their diffs, whose leaders come later in the
+    order of names, until no list joins two components.
     """
-    entries = documents.select("cls", F.explode("keys").alias("key"))
-    pairs = settled(leaders(entries, "cls", "cls"), "pairs")
-    if pairs.isEmpty():
+    met = settled(list_members(documents), "members")
+    if met.isEmpty():
         return None
-    names = settled(pairs.select("cls").union(pairs.select("lead")).distinct(), "names")
-    spark = docs.sparkSession
+    names = settled(met.select("cls").distinct(), "names")
     sets, at_sets = settled_in(needed_sets(docs, names, classes, rule), "sets")
-    answers, at_answers = settled_in(compared(pairs, sets, rule), "answers")
+    links = [settled(compared(closest(met), sets, rule).where("linked").select(F.col("cls").alias("a"), F.col("lead").alias("b")), "links")]
+    marks = components(links[0])
+    members = met.select("key", "cls").join(marks.select(F.col("node").alias("cls"), "comp"), "cls", "left")
+    pairs = settled(leaders(members.withColumn("comp", F.coalesce("comp", "cls")), "comp", "cls"), "pairs")
+    if pairs.isEmpty():
+        remove_folder(docs.sparkSession, at_sets)
+        return marks
+    return joined_lists(pairs, sets, at_sets, links, marks, rule)
+
+
+def joined_lists(pairs: DataFrame, sets: DataFrame, at_sets: str, links: list[DataFrame], marks: DataFrame, rule: Rule) -> DataFrame:
+    """``node, comp`` when the lists that join components of ``links`` are answered too."""
+    spark, rounds = sets.sparkSession, 0
+    answers, at_answers = settled_in(compared(with_followers(pairs), sets, rule), "answers")
     remove_folder(spark, at_sets)
-    links, marks, rounds = [], None, 0
     # of the tables with differences only the last one is kept; links are two numbers
     while True:
         links.append(settled(answers.where("linked").select(F.col("cls").alias("a"), F.col("lead").alias("b")), "links"))
