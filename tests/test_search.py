@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from vektorloom.functions import vectors as vx
@@ -299,3 +300,20 @@ def test_collection_is_not_moved(data, monkeypatch):
     collection, queries, *_ = data
     plan = search.similarity_top_k(queries, collection, 3, strategy="grid")._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" not in plan and "vector" not in plan.split("MapInArrow")[0]
+
+
+def test_query_files_are_given_away_one_by_one(data, monkeypatch):
+    """A cluster refuses folders of a mounted disk (``addFile`` with ``recursive``)."""
+    collection, queries, *_ = data
+    add, given = SparkContext.addFile, []
+
+    def add_file(self, path, recursive=False):
+        assert not recursive
+        given.append(path)
+        add(self, path)
+
+    monkeypatch.setattr(SparkContext, "addFile", add_file)
+    monkeypatch.setattr(search, "QUERY_TILE_BYTES", 8 * DIM * 3)
+    scan = search.similarity_top_k(queries, collection, 3, strategy="scan")
+    assert rows_of(search.similarity_top_k(queries, collection, 3, strategy="grid")) == rows_of(scan)
+    assert len(given) > 1

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from vektorloom.collections.published import SharedFolder
 from vektorloom.functions.vectors import LARGER_FIRST, arrow_matrix, check_metric, score_matrix
 from vektorloom.functions.vectors import score as exact_score
 from vektorloom.operators.ranking import top_per_key
@@ -67,8 +67,8 @@ def bounded_queries(queries: DataFrame, keys: Sequence[str], vector: str) -> Que
 class SentQueries:
     """A query set as the tasks see it: one block sent by the driver, or files that Spark gives to every executor."""
 
-    def __init__(self, block=None, folder: str | None = None, vector: str = "vector"):
-        self.block, self.folder, self.vector = block, folder, vector
+    def __init__(self, block=None, files: Sequence[str] = (), vector: str = "vector"):
+        self.block, self.files, self.vector = block, tuple(files), vector
 
     @property
     def whole(self) -> bool:
@@ -80,8 +80,8 @@ class SentQueries:
             return
         import pyarrow.parquet as pq
 
-        for file in sorted(Path(SparkFiles.get(self.folder)).glob("*.parquet")):
-            table = pq.read_table(file)
+        for file in self.files:
+            table = pq.read_table(SparkFiles.get(file))
             kept, matrix = arrow_matrix(table.column(self.vector))
             if len(kept):
                 yield QueryBlock(table.drop_columns([self.vector]).take(pa.array(kept)), matrix)
@@ -102,8 +102,11 @@ def sent_queries(queries: DataFrame, keys: Sequence[str], vector: str = "vector"
     folder = scratch_path(queries.sparkSession, "queries")
     rows = tile_rows(QUERY_TILE_BYTES, widest.dim if widest else 1)
     queries.select(*keys, vector).write.option("maxRecordsPerFile", rows).parquet(folder)
-    sc.addFile(folder, recursive=True)
-    return SentQueries(folder=folder.rstrip("/").rsplit("/", 1)[-1], vector=vector)
+    # file by file: a folder of a mounted disk can only be given away by a single-machine session
+    files = [name for name in SharedFolder(queries.sparkSession, folder).names() if name.endswith(".parquet")]
+    for name in files:
+        sc.addFile(f"{folder}/{name}")
+    return SentQueries(files=files, vector=vector)
 
 
 def bounded_pieces(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[list[pa.RecordBatch]]:
