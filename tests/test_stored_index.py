@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vektorloom.operators import search, stored_index
+from vektorloom.operators import embedding, search, stored_index
 from vektorloom.operators.stored_index import StoredIndexes, open_index
 from vektorloom.plans.answering import answer
 from vektorloom.plans.ingest import ingest, ingest_pages, indexes_of
@@ -171,3 +171,30 @@ def test_recall_of_the_registered_queries(spark, name):
     sf = "/root/testdata/sf0.01"
     found, exact = ({(r.q_id, r.id) for r in QUERIES[q](spark, sf).collect()} for q in (name, "knn_l2"))
     assert len(found & exact) >= 0.9 * len(exact) == 90
+
+
+def test_a_build_runs_the_model_once_per_row(spark, tmp_path):
+    log = str(tmp_path / "rows")
+
+    def encoder():
+        def encode(texts):
+            with open(log, "a") as f:
+                f.write("x" * len(texts))
+            return np.array([[len(t), t.count("a") + 1] for t in texts], np.float32)
+
+        return encode
+
+    texts = spark.createDataFrame([(i, "a" * (i % 7) + "b" * (i % 5)) for i in range(400)], "id long, text string")
+    rows = embedding.embed(texts, encoder=encoder)
+    index = stored_index.StoredIndexes(spark, str(tmp_path / "indexes")).build(rows, "IVF_HNSW_SQ", "cosine", fields=("text",), cells=4, iterations=2, nprobe=4)
+    assert len(open(log).read()) == 400 and index.manifest.rows == 400
+
+
+def test_scores_of_pairs(spark):
+    queries = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "q_id long, vector array<double>")
+    items = spark.createDataFrame([(1, [4.0, 3.0]), (2, [0.0, 2.0])], "id long, vector array<float>")
+    every = queries.select("q_id").crossJoin(items.select("id"))
+    got = {m: {(r.q_id, r.id): r.score for r in search.rescored(every, queries, items, 5, m).collect()} for m in ("l2", "ip", "cosine")}
+    assert got["l2"] == {(1, 1): 2.0, (1, 2): 13.0, (2, 1): 25.0, (2, 2): 4.0}
+    assert got["ip"] == {(1, 1): 24.0, (1, 2): 8.0, (2, 1): 0.0, (2, 2): 0.0}
+    assert got["cosine"] == {(1, 1): 0.96, (1, 2): 0.8}

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from vektorloom.collections.published import SharedFolder
 from vektorloom.functions.vectors import LARGER_FIRST, arrow_matrix, check_metric, score_matrix
-from vektorloom.functions.vectors import score as exact_score
 from vektorloom.operators.ranking import top_per_key
 from vektorloom.operators.spread import send_if_small
 from vektorloom.session import scratch_path
@@ -325,12 +325,37 @@ def rescored(
         .join(wanted, list(item_keys))
         .join(queries.select(*query_keys, F.col(query_vector).alias("_query")), list(query_keys))
     )
-    hits = pairs.select(
-        *query_keys, *item_keys, F.round(exact_score(metric, "_query", "_item"), digits).alias("score")
-    ).where(F.col("score").isNotNull())
+    hits = pair_scores(pairs.select(*query_keys, *item_keys, "_query", "_item"), metric)
+    hits = hits.select(*query_keys, *item_keys, F.round("score", digits).alias("score")).where(F.col("score").isNotNull())
     return rank_hits(hits, query_keys, item_keys, k, LARGER_FIRST[metric])
 
 
+def pair_scores(pairs: DataFrame, metric: str) -> DataFrame:
+    """The rows with their ``score`` in place of the vectors ``_query`` and ``_item``; NULL without a score."""
+    kept = [f for f in pairs.schema.fields if f.name not in ("_query", "_item")]
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(schema)
+        for batch in batches:
+            both = batch.filter(pc.and_(pc.is_valid(batch.column("_query")), pc.is_valid(batch.column("_item"))))
+            _, asked = arrow_matrix(both.column("_query"))
+            _, items = arrow_matrix(both.column("_item"), asked.shape[1])
+            if metric == "l2":
+                scores = ((asked - items) ** 2).sum(axis=1)
+            else:
+                scores = (asked * items).sum(axis=1)
+            none = np.zeros(len(scores), bool)
+            if metric == "cosine":
+                lengths = np.sqrt((asked**2).sum(axis=1)) * np.sqrt((items**2).sum(axis=1))
+                none = lengths == 0
+                scores = scores / np.where(none, 1, lengths)
+            columns = [both.column(f.name) for f in kept] + [pa.array(scores, mask=none)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out)], schema=out)
+
+    return pairs.mapInArrow(run, schema)
+
+
 def hit_report(hits: DataFrame, text: str = "text", item_key: str = "id", query_key: str = "q_id") -> DataFrame:
     """One line per hit: query, 0-based position, item, score to 4 places, text length."""
     return hits.select(

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vektorloom.collections.published import SharedFolder
-from vektorloom.functions.vectors import LARGER_FIRST, arrow_matrix, check_metric, normalise, score_matrix
+from vektorloom.functions.vectors import LARGER_FIRST, arrow_matrix, check_metric, score_matrix
 from vektorloom.operators.index import (
     CODE_BITS,
     ITERATIONS,
@@ -54,7 +54,7 @@ from vektorloom.operators.search import (
     with_fields,
 )
 from vektorloom.operators.spread import send_if_small
-from vektorloom.session import shared_dir
+from vektorloom.session import remove_folder, scratch_path, shared_dir
 
 #: Scores are rounded to so many places before they are ranked; bounds must not cut rows that tie after rounding.
 DIGITS = 6
@@ -199,6 +199,22 @@ def coded_rows(collection: DataFrame, coder: Coder, vector: str) -> DataFrame:
     return collection.mapInArrow(run, schema)
 
 
+def unit_vectors(collection: DataFrame, vector: str) -> DataFrame:
+    """The vectors alone, of length one; those without a length are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, matrix = arrow_matrix(batch.column(vector))
+            if not len(matrix):
+                continue
+            matrix, has_length = unit_rows(matrix)
+            unit = matrix[has_length]
+            offsets = np.arange(0, unit.size + 1, unit.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()))], names=[vector])
+
+    return collection.select(vector).mapInArrow(run, T.StructType([T.StructField(vector, T.ArrayType(T.DoubleType()))]))
+
+
 def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of length one, and which rows have a length."""
     norms = np.sqrt((matrix**2).sum(axis=1))
@@ -291,8 +307,11 @@ class StoredIndexes:
         if not replace_existing and self.has(name):
             raise FileExistsError(f"index {name} exists")
         columns = list(dict.fromkeys([*item_keys, *fields, vector]))
-        rows = collection.select(*columns).where(F.col(vector).isNotNull())
-        trained = rows if metric != "cosine" else rows.withColumn(vector, normalise(vector)).where(F.col(vector).isNotNull())
+        # training, coding and writing read the rows several times: a model that makes their vectors runs once
+        copy = scratch_path(self.spark, "index-rows")
+        collection.select(*columns).where(F.col(vector).isNotNull()).write.parquet(copy)
+        rows = self.spark.read.parquet(copy)
+        trained = rows if metric != "cosine" else unit_vectors(rows, vector)
         first = trained.select(F.size(vector).alias("dim")).first()
         if first is None:
             raise ValueError("an index needs a row with a vector")
@@ -311,6 +330,7 @@ class StoredIndexes:
         coded.hint("rebalance", "cell").write.option("maxRecordsPerFile", 2_000_000).partitionBy("cell").parquet(f"{path}/rows")
         models = self.spark.createDataFrame(coder.table(), "part string, number int, numbers array<double>")
         models.coalesce(1).write.parquet(f"{path}/models")
+        remove_folder(self.spark, copy)
         total = self.spark.read.parquet(f"{path}/rows").count()
         made = Manifest(
             name, kind, metric, first.dim, len(coarse.centroids), coding or "flat", list(item_keys), list(fields), vector, total, snapshot, folder
