@@ -630,6 +630,18 @@ def test_toxicity(toxic, none):
     assert [(r.doc_id, r.score) for r in toxicity.scored(texts, flipped).collect()] == [(r.doc_id, r.score) for r in got]
 
 
+def test_clean_scores_short_slices(spark, monkeypatch):
+    class Checked(toxicity.Model):
+        def scores(self, rows):
+            assert len(rows) <= 256
+            return np.array([0.9 if row else 0.1 for row in rows])
+
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels: Checked(["=bad"], np.zeros((1, 1)), np.zeros(1), 0.1))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "so Bad").when(F.col("id") % 3 == 1, "fine").alias("text"), F.current_timestamp().alias("at"))
+    kept = toxicity.clean(docs.coalesce(1), docs)
+    assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {i for i in range(3000) if i % 3}
+
+
 def test_pipeline_stages(spark, toxic, tmp_path):
     texts, labels, bad = toxic
     labels.write.parquet(str(tmp_path / "labels.parquet"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vektorloom.llm.common import map_rows
+from vektorloom.llm.common import SLICE_ROWS, map_rows
 
 #: Rows that the classifiers are fitted on, in expectation: confirmed toxic texts and unlabelled texts, drawn by a hash
 #: of their id. Everything else (prior, scores) covers all rows.
@@ -242,10 +244,13 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs
     known = {f: i for i, f in enumerate(model.features)}
 
-    @F.pandas_udf("double")
-    def score(text):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(known)
-        return type(text)(model.scores([words.of(t or "") for t in text]))
-
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text").withColumn("_score", score(F.col("text")))
-    return whole.where("_score < 0.5").select("_row.*")
+        for batch in batches:
+            # the words of a short slice are held at once, not those of a whole batch
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                scores = model.scores([words.of(t or "") for t in part.column("text").to_pylist()])
+                yield part.filter(pa.array(scores < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
