@@ -436,6 +436,36 @@ def test_near_passages_are_found(spark):
     assert sum(got[trials + i] >= set(range(60, 110)) for i in range(trials)) >= 0.985 * trials
 
 
+def test_all_near_passages_are_candidates():
+    """One word of 50 changed: every pair has a signature in common, at the same place of the passage."""
+    draw = np.random.default_rng(12)
+    words = lambda n: draw.integers(0, 1 << 60, n).astype(np.uint64)
+    for i in range(4000):
+        passage, (begin, other_begin) = words(50), draw.integers(0, 80, 2)
+        changed = passage.copy()
+        changed[i % 50] += np.uint64(1)
+        places = []
+        for start, inner in ((begin, passage), (other_begin, changed)):
+            keys, at = substring_dedup.seeds(np.concatenate([words(start), inner, words(40)]))
+            places.append(set(zip(keys.tolist(), (at - start).tolist())))
+        assert places[0] & places[1]
+
+
+def test_matches_have_a_long_equal_run():
+    pick, seen = random.Random(8), 0
+    for _ in range(20000):
+        runs, i, j = [], 0, 0
+        for _ in range(pick.randrange(1, 6)):
+            n = pick.randrange(5, 40)
+            runs.append((i, j, n))
+            gap = pick.choice([(1, 0), (0, 1), (1, 1), (2, 1)])
+            i, j = i + n + gap[0], j + n + gap[1]
+        for begin, end, _, _ in substring_dedup.matched(runs):
+            seen += 1
+            assert max(n for b, _, n in runs if begin <= b < end) >= substring_dedup.ALIKE
+    assert seen > 100
+
+
 def test_longest_similar_stretch():
     pick = random.Random(6)
     for _ in range(300):
