@@ -372,3 +372,34 @@ def test_names_from_metadata(spark, tmp_path):
     assert [tuple(r) for r in found] == [(run.name, 0, 77, "server")]
     metrics = run_report.gpu_metric_names(spark, str(tmp_path), "GPUMeterMeta*").orderBy("position").collect()
     assert [(r.position, r.metric) for r in metrics] == [(0, "GPM_SM_UTIL"), (1, "GPM_99")]
+
+
+def test_blocks_of_few_documents_are_held_at_once(spark):
+    """What a parser has made of earlier documents goes before the next slice is parsed."""
+
+    def counting():
+        import weakref
+
+        class Blocks(list):
+            pass
+
+        made = []
+
+        def parse(content):
+            blocks = Blocks([{"kind": "text", "heading_path": [], "text": str(sum(r() is not None for r in made))}])
+            made.append(weakref.ref(blocks))
+            return blocks
+
+        return parse
+
+    df = spark.range(12).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1 << 20).alias("html")).coalesce(1)
+    got = documents.parse_documents(df, "doc_id", "html", counting).collect()
+    assert len(got) == 12 and max(int(r.text) for r in got) <= 8
+
+
+def test_documents_without_key_or_content(spark):
+    df = spark.createDataFrame([(1, "<p>a"), (None, "<p>b"), (3, None), (4, "")], "doc_id long, html string")
+    got = documents.parse_documents(df, "doc_id", "html").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "b"), (1, "a")]
+    raw = df.select("doc_id", F.col("html").cast("binary").alias("html"))
+    assert sorted((r.doc_id or 0, r.text) for r in documents.parse_documents(raw, "doc_id", "html").collect()) == [(0, "b"), (1, "a")]

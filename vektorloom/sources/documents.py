@@ -9,10 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vektorloom.functions.text import page_image_name
 from vektorloom.operators.spread import spread_small
@@ -24,6 +28,9 @@ BLOCK_TAGS = {"p": "paragraph", "li": "list_item", "td": "cell", "th": "cell", "
 HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 SKIPPED_TAGS = {"script", "style", "template", "noscript"}
 
+#: Bytes of documents whose blocks a parsing task holds at once; a larger document is held alone.
+PARSED_BYTES = 4 << 20
+
 
 class _Blocks(HTMLParser):
     def __init__(self):
@@ -82,6 +89,21 @@ def html_parser():
     return parse
 
 
+def bounded_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a slice has at most ``most_bytes`` in the column, or one row."""
+    for batch in batches:
+        values = batch.column(column)
+        if not pa.types.is_binary(values.type) and not pa.types.is_string(values.type):
+            values = values.cast(pa.large_binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def parse_documents(
     df: DataFrame, key: str, content: str, parser: ParserFactory = html_parser
 ) -> DataFrame:
@@ -97,13 +119,13 @@ def parse_documents(
     )
     schema = T.StructType([T.StructField("doc_id", df.schema[key].dataType), T.StructField("blocks", block)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parse = parser()
-        for batch in batches:
-            lists = [parse(c) if c is not None else [] for c in batch[content]]
-            yield pd.DataFrame({"doc_id": batch[key].tolist(), "blocks": lists})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parse, out = parser(), to_arrow_schema(schema)
+        for part in bounded_slices(batches, content, PARSED_BYTES):
+            lists = [parse(c) if c is not None else [] for c in part.column(content).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(key).cast(out[0].type), pa.array(lists, out[1].type)], schema=out)
 
-    parsed = spread_small(df.select(key, content)).mapInPandas(run, schema)
+    parsed = spread_small(df.select(key, content)).mapInArrow(run, schema)
     return parsed.select("doc_id", F.posexplode("blocks").alias("block_idx", "_b")).select(
         "doc_id", F.col("block_idx").cast("long").alias("block_idx"), "_b.kind", "_b.heading_path", "_b.text"
     )
