@@ -77,3 +77,12 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_codebooks_hold_few_distances(monkeypatch):
+    rows = np.random.default_rng(4).normal(size=(3000, 2))
+    whole = index.lloyd(rows, 16, 5, 7)
+    sizes, score = [], index.score_matrix
+    monkeypatch.setattr(index, "HELD_DISTANCES", 1600, raising=False)
+    monkeypatch.setattr(index, "score_matrix", lambda metric, a, b: sizes.append(len(a) * len(b)) or score(metric, a, b))
+    assert np.allclose(index.lloyd(rows, 16, 5, 7), whole) and max(sizes) <= 1600

@@ -29,6 +29,8 @@ SAMPLE_RATE = 256
 SUB_VECTORS = 96
 CODE_BITS = 8
 
+HELD_DISTANCES = 1 << 18  # to centres, held at once while rows are coded
+
 
 def index_label(kind: str, metric: str) -> str:
     """Default index name."""
@@ -283,7 +285,7 @@ class ProductCodes:
 
         def codes_of(matrix: np.ndarray) -> np.ndarray:
             pieces = np.split(matrix, len(books), axis=1)
-            nearest = [score_matrix("l2", p, b).argmin(axis=1) for p, b in zip(pieces, books)]
+            nearest = [nearest_centres(p, b) for p, b in zip(pieces, books)]
             return np.stack(nearest, axis=1).astype(np.int16)
 
         return _with_codes(df, vector, name, codes_of)
@@ -292,6 +294,13 @@ class ProductCodes:
         return np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1)
 
 
+def nearest_centres(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The closest centre of each row, a bounded number of distances at a time."""
+    step = max(1, HELD_DISTANCES // len(centres))
+    parts = [score_matrix("l2", rows[low : low + step], centres).argmin(axis=1) for low in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def lloyd(rows: np.ndarray, codes: int, iterations: int, seed: int) -> np.ndarray:
     """Plain k-means on a bounded sample; empty centres keep their place."""
     draw = np.random.default_rng(seed)
@@ -299,8 +308,9 @@ def lloyd(rows: np.ndarray, codes: int, iterations: int, seed: int) -> np.ndarra
     if len(distinct) <= codes:
         return distinct
     centres = distinct[draw.choice(len(distinct), codes, replace=False)]
+    del distinct
     for _ in range(iterations):
-        nearest = score_matrix("l2", rows, centres).argmin(axis=1)
+        nearest = nearest_centres(rows, centres)
         counts = np.bincount(nearest, minlength=codes)
         sums = np.stack([np.bincount(nearest, weights=rows[:, d], minlength=codes) for d in range(rows.shape[1])], 1)
         centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
