@@ -25,6 +25,7 @@ from vektorloom.llm import (
     token_counts,
     toxicity,
 )
+from vektorloom.llm.words import SliceHashes, WordHashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -451,6 +452,39 @@ def test_all_near_passages_are_candidates():
         assert places[0] & places[1]
 
 
+def test_texts_are_signed_together():
+    """Words are looked up and runs are hashed for many texts at once, as for each text alone."""
+    draw = np.random.default_rng(4)
+    texts = [None, "", " ", "A b\x0ba\x1cA \u00c9 \u00e9", *(prose(k, 40 * k) for k in range(9))]
+    texts += [" ".join(draw.choice(["a", "b", "C"], n)) for n in draw.integers(0, 200, 60)]
+    together, starts = SliceHashes().of(texts)
+    alone = [WordHashes().of(t) for t in texts]
+    assert [together[a:b].tolist() for a, b in zip(starts, starts[1:])] == [a.tolist() for a in alone]
+    for find in (substring_dedup.seeds, substring_dedup.picked):
+        got, want = find(together, starts), [find(a) for a in alone]
+        place = 1 if find is substring_dedup.seeds else 2
+        for k, column in enumerate(got):
+            moved = [(w[k].astype(np.int64) + (start if k >= place else 0)).tolist() for w, start in zip(want, starts)]
+            assert column.astype(np.int64).tolist() == [v for m in moved for v in m]
+
+
+def test_centres_are_those_of_compact_windows():
+    draw = np.random.default_rng(5)
+    for most in (1, 2, 3, 10, 1000):
+        for n in range(0, 60, 3):
+            values = draw.integers(1, most + 1, n).astype(np.uint64)
+            assert substring_dedup.centres(values, 7).tolist() == substring_dedup.compact_windows(values, 7)[1].tolist()
+
+
+def test_entries_move_once(spark):
+    """Signatures go through one shuffle and no join until they meet the first place of their list."""
+    entries = spark.createDataFrame([(k % 3, k, 0, 7) for k in range(9)], "key long, doc_id long, part long, at int")
+    met = substring_dedup.behind_first(entries, ["key"], "at")
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert sorted((r.key, r.doc_id, r.first.doc_id) for r in met.collect()) == sorted((k % 3, k, k % 3) for k in range(3, 9))
+
+
 def test_matches_have_a_long_equal_run():
     pick, seen = random.Random(8), 0
     for _ in range(20000):
