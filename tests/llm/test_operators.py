@@ -14,6 +14,7 @@ import corpus_pipeline
 from vektorloom.llm import (
     bpe,
     chat,
+    common,
     components,
     exact_dedup,
     fingerprints,
@@ -285,6 +286,43 @@ def test_transducer_forgets(monkeypatch):
         assert coder.encode(word.encode()) == [ranks[t] for t in merges.apply(word.encode())]
 
 
+def test_transducer_starts_anew_within_bounds(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_STATES", 40)
+    monkeypatch.setattr(bpe, "MOST_MOVES", 400)
+    ranks = bpe.read_ranks(RANKS)
+    coder, merges = bpe.Transducer(ranks), bpe.Merges(ranks)
+    known, begun = [], coder.states
+    for word in VOCABULARY * 3:
+        known += list(begun.values())[:1] if begun is not coder.states else []
+        begun = coder.states
+        assert coder.encode(word.encode()) == [ranks[t] for t in merges.apply(word.encode())]
+        # a word of n bytes makes n states and a move for each open token and byte
+        assert len(coder.states) <= 40 + 64 and len(coder.moves) <= 400 + 64 * 64
+    # states that were dropped hold no others, so they go without the garbage collector
+    gone = [state for state in known if state not in coder.states.values()]
+    assert not any(gone)
+
+
+def test_workers_free_what_other_operators_keep():
+    made = []
+    make = lambda: made.append(0) or made
+    assert common.kept("one", b"x", make) is common.kept("one", b"x", make) and len(made) == 1
+    common.keep_only("one")
+    assert common.kept("one", b"x", make) and len(made) == 1
+    common.keep_only(None)
+    assert not common._KEPT
+
+
+def test_coders_go_when_another_operator_runs(spark):
+    texts = spark.createDataFrame([(1, "a few words")], "doc_id long, text string").coalesce(1)
+
+    def names():
+        return lambda rows: {"n": [len(common._KEPT)] * len(rows["doc_id"])}
+
+    bpe.token_digests(texts, RANKS, public_tokenizers.PATTERN).collect()
+    assert common.map_rows(texts, names, "n int").first().n == 0
+
+
 def test_decoder_mends_broken_bytes():
     ranks = bpe.read_ranks(RANKS)
     single = {t: i for t, i in ranks.items() if len(t) == 1}

@@ -7,18 +7,22 @@ import gc
 import hashlib
 import struct
 from bisect import bisect_left
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from vektorloom.llm.common import map_rows
+from vektorloom.llm.common import kept, map_rows
 
-#: States of the transducer and chunks of text that a Python worker remembers; it starts anew beyond.
-MOST_STATES = 250_000
+#: States of the transducer, moves that they are made of (100 to 200 bytes each; a state takes 500), and chunks of text
+#: that a Python worker remembers; it starts anew beyond.
+MOST_STATES = 180_000
+MOST_MOVES = 700_000
 MOST_CHUNKS = 400_000
 
+#: The move of an open token that neither goes on nor ends with a byte.
+DEAD = (-1, -1, -1)
+
 #: Bytes after which the tokens that are certain are emitted.
 WINDOW = 1_024
 
@@ -124,15 +128,21 @@ class Transducer:
         self.merges = Merges(ranks)
         self.begins = {t[:i] for t in ranks for i in range(1, len(t))}
         self.lengths = {rank: len(t) for t, rank in ranks.items()}
+        self.states: dict[tuple, State] = {}
         self.reset()
 
     def reset(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.ways: list[tuple[bytes, tuple]] = []
         self.moves: dict[int, tuple[int, int, int]] = {}
-        self.apart: dict[tuple, bool] = {}
         self.borders: dict[bytes, tuple] = {}
-        self.states: dict[tuple, State] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the states; new ones are soon made of the moves. States are emptied, as they hold each other in rings."""
+        for state in self.states.values():
+            state.clear()
+        self.states = {}
         self.start = self.state((self.number(b"", ()),))
 
     def state(self, open_tokens: tuple[int, ...]) -> State:
@@ -155,15 +165,12 @@ class Transducer:
         grown = self.number(longer, border) if longer in self.begins else -1
         token, end = self.ranks.get(longer, -1), -1
         if token >= 0:
-            apart = self.apart.get((border, longer))
-            if apart is None:
-                apart = self.apart[border, longer] = self.merges.stay_apart(border, longer)
-            if apart:
+            if self.merges.stay_apart(border, longer):
                 after = self.borders.get(longer)
                 if after is None:
                     after = self.borders[longer] = self.merges.border(longer)
                 end = self.number(b"", after)
-        move = self.moves[way << 8 | byte] = grown, end, token
+        move = self.moves[way << 8 | byte] = (grown, end, token) if grown >= 0 or end >= 0 else DEAD
         return move
 
     def make_step(self, state: State, byte: int) -> tuple[State, int]:
@@ -200,8 +207,10 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MOST_STATES:
+        if len(self.moves) > MOST_MOVES:
             self.reset()
+        elif len(self.states) > MOST_STATES:
+            self.forget()
         state, out, last = self.start, [], []
         for start in range(0, len(piece), WINDOW):
             if start:
@@ -233,19 +242,28 @@ class Encoder:
             def __missing__(self, chunk: str) -> bytes:
                 if len(self) > MOST_CHUNKS:
                     self.clear()
-                packed = self[chunk] = outer.pieces(" " + chunk)
+                pieces = outer.split(" " + chunk)
+                # a chunk of one piece is remembered here only
+                one = len(pieces) == 1 and outer.packed.get(pieces[0])
+                packed = self[chunk] = one or (outer.fresh(pieces[0]) if len(pieces) == 1 else outer.joined(pieces))
                 return packed
 
         self.chunks = Chunks()
 
     def pieces(self, text: str) -> bytes:
-        return b"".join([self.packed.get(piece) or self.pack(piece) for piece in self.split(text)])
+        return self.joined(self.split(text))
+
+    def joined(self, pieces: list[str]) -> bytes:
+        return b"".join([self.packed.get(piece) or self.pack(piece) for piece in pieces])
+
+    def fresh(self, piece: str) -> bytes:
+        ids = self.transducer.encode(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def pack(self, piece: str) -> bytes:
         if len(self.packed) > MOST_CHUNKS:
             self.packed.clear()
-        ids = self.transducer.encode(piece.encode())
-        packed = self.packed[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.packed[piece] = self.fresh(piece)
         return packed
 
     def encode(self, text: str) -> bytes:
@@ -311,12 +329,16 @@ class Decoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def _coders(packed_ranks: bytes, pattern: str) -> tuple[Encoder, Decoder]:
-    """Kept by the worker process, so that later tasks find the states that earlier ones have made."""
+    """Kept by the worker process, so that later tasks find the states that earlier ones have made, until a task of another
+    operator comes."""
+
+    def make():
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, packed_ranks.splitlines())}
+        return Encoder(ranks, pattern), Decoder(ranks)
+
     gc.set_threshold(500_000)  # states live long; looking them through again and again takes a quarter of the time
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, packed_ranks.splitlines())}
-    return Encoder(ranks, pattern), Decoder(ranks)
+    return kept("bpe", (packed_ranks, pattern), make)
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -341,7 +363,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, ids binary, n_tokens long, decoded string")
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, ids binary, n_tokens long, decoded string", "bpe")
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -367,4 +389,4 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         return work
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_rows(docs.select("doc_id", "text"), make, schema)
+    return map_rows(docs.select("doc_id", "text"), make, schema, "bpe")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vektorloom.llm.common import SLICE_ROWS, map_rows
+from vektorloom.llm.common import SLICE_ROWS, keep_only, map_rows
 
 #: Rows that the classifiers are fitted on, in expectation: confirmed toxic texts and unlabelled texts, drawn by a hash
 #: of their id. Everything else (prior, scores) covers all rows.
@@ -20,7 +20,7 @@ MOST_TOXIC, MOST_UNLABELLED = 4000, 12000
 CLASSIFIERS, FEATURES, STEPS = 3, 4096, 250
 
 #: Words whose features one task remembers.
-MOST_WORDS = 300_000
+MOST_WORDS = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -245,6 +245,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = {f: i for i, f in enumerate(model.features)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(None)
         words = Words(known)
         for batch in batches:
             # the words of a short slice are held at once, not those of a whole batch
