@@ -124,6 +124,44 @@ def test_linked_sets_meet_in_a_list(rule):
     assert linked > 200
 
 
+def test_jaccard_join_ends_lists_of_unlinked_sets_in_few_rounds(spark, monkeypatch):
+    """Sets that changed too much to link share elements with one another; one leader a round would take a round each."""
+    pick, rule = random.Random(7), jaccard_join.Rule(1, 4, 5)
+    base, pool = [f"w{i}" for i in range(100)], [f"x{i}" for i in range(30)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for place in pick.sample(range(100), pick.choice([6, 12, 14, 16])):
+            words[place] = pick.choice(pool)
+        texts.append(" ".join(words))
+    sets, parent = [set(t.split()) for t in texts], list(range(len(texts)))
+    for _ in sets:  # the smallest id travels along the links
+        for x, y in itertools.combinations(range(len(sets)), 2):
+            if rule.of * len(sets[x] & sets[y]) >= rule.part * len(sets[x] | sets[y]):
+                parent[x] = parent[y] = min(parent[x], parent[y])
+    rounds, derived = [], jaccard_join.derived
+    monkeypatch.setattr(jaccard_join, "derived", lambda *a: (rounds.append(1), derived(*a))[1])
+    found = jaccard_join.grouped(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rule)
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(parent))
+    assert 1 < len(set(parent)) < len(parent)
+    assert 1 <= len(rounds) <= 3
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_jaccard_join_brings_no_table_into_the_driver(docs, monkeypatch, most):
+    def refused(*_):
+        raise AssertionError("a table is brought into the driver")
+
+    wanted = sorted(jaccard_join.grouped(docs).collect(), key=str)
+    monkeypatch.setattr(common, "MOST_SENT", most)
+    for name in ("toArrow", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(docs), name, refused)
+    assert jaccard_join.one_of_each(docs).columns == docs.columns
+    found = jaccard_join.grouped(docs)
+    monkeypatch.undo()
+    assert sorted(found.collect(), key=str) == wanted
+
+
 def test_one_of_each_keeps_columns(docs):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns

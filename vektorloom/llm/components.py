@@ -14,8 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     In each round a node takes the smallest mark of its neighbours and then the mark of that mark, so marks travel
     twice as far each time. Hubs meet their links as partial minima or in joins that split skewed keys.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    edges = settled(both, "edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = settled(links.where("a <> b").select(F.inline(ways)).distinct(), "edges")
     marks = settled(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "marks")
     while True:
         seen = edges.join(marks.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node"))

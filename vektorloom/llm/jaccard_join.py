@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vektorloom.llm.common import join_groups, map_rows, settled, settled_in
+from vektorloom.llm.common import join_groups, map_rows, sent_if_few, settled, settled_in
 from vektorloom.llm.components import components
 from vektorloom.llm.words import WordHashes, mixed, shingles, signed
-from vektorloom.operators.spread import send_if_small
 from vektorloom.session import remove_folder
 
 #: Size classes grow by this factor, so that sets of one link lie in the same or in neighbouring classes.
@@ -21,6 +19,9 @@ GROWTH = 1.25
 #: Factor between the steps of excess.
 STEP = 1.1
 
+#: Sets of a list whose pairs are all answered at once: in the first round, and at most (twice as many in each round).
+CLOSED, MOST_CLOSED = 8, 64
+
 #: What a set's entries are made from.
 ENTRY = ("cls", "comp", "lead", "excess", "step", "steps", "diff")
 
@@ -144,7 +145,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def needed_sets(docs: DataFrame, names: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """``cls, tokens`` (sorted, packed) of the named sets, from one document each."""
-    ids = send_if_small(names.join(classes, "cls").select("doc_id").distinct())
+    ids = sent_if_few(settled(names.join(classes, "cls").select("doc_id").distinct(), "ids"))
 
     def make():
         words = WordHashes()
@@ -159,12 +160,12 @@ def needed_sets(docs: DataFrame, names: DataFrame, classes: DataFrame, rule: Rul
     return found.join(names, "cls", "left_semi").dropDuplicates(["cls"])
 
 
-ANSWER = "cls long, lead long, n long, linked boolean, added long, diff binary"
+ANSWER = "cls long, lead long, n long, many boolean, linked boolean, added long, diff binary"
 
 
 def answer(rows: dict[str, list], differences, rule: Rule) -> dict[str, list]:
     """Answers from what sets and their leaders have alone."""
-    out = {"cls": rows["cls"], "lead": rows["lead"], "n": rows["n"], "linked": [], "added": [], "diff": []}
+    out = {c: rows[c] for c in ("cls", "lead", "n", "many")} | {"linked": [], "added": [], "diff": []}
     for n, lead_n, many, (added, missing) in zip(rows["n"], rows["lead_n"], rows["many"], differences):
         differ = rule.per_difference * (len(added) + len(missing))
         out["linked"].append(differ <= rule.per_element * (n + lead_n))
@@ -174,15 +175,18 @@ def answer(rows: dict[str, list], differences, rule: Rule) -> dict[str, list]:
 
 
 def with_followers(pairs: DataFrame) -> DataFrame:
-    """Pairs with ``many``: whether their leader has other followers; without any, no more is derived from them."""
-    return pairs.join(pairs.groupBy("lead").agg((F.count("*") > 1).alias("many")), "lead")
+    """Pairs with ``many``: whether they are ``open`` and their leader has other followers that are; if not, no more is
+    derived from them."""
+    followers = pairs.groupBy("lead").agg(F.count(F.when(F.col("open"), True)).alias("followers"))
+    return pairs.join(followers, "lead").withColumn("many", F.expr("open AND followers > 1"))
 
 
 def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Each set against the leader of its list: ``cls, lead, n, linked, added, diff``.
+    """Each set against the leader of its list: ``cls, lead, n, many, linked, added, diff``.
 
-    ``pairs`` has ``cls, lead, many``. ``diff`` is left empty without ``many``; else it has the elements in only one of the two: first ``added`` ones that the leader lacks, then those that only
-    the leader has. All later answers of its list are derived from it.
+    ``pairs`` has ``cls, lead, many``. ``diff`` is left empty without ``many``; else it has the elements in only one of
+    the two: first ``added`` ones that the leader lacks, then those that only the leader has. All later answers of its
+    list are derived from it.
     """
     own = sets.select("cls", F.col("tokens").alias("own"))
     theirs = sets.select(F.col("cls").alias("lead"), F.col("tokens").alias("theirs"))
@@ -236,13 +240,14 @@ def centred(answers: DataFrame, rule: Rule) -> DataFrame:
     |diff x| + |diff y| - 2 |both| elements, so they link exactly if their diffs share at least
     ``(excess x + excess y) / (2 * per_difference)`` elements.
     """
+    answers = answers.where("many")
     nearer = F.octet_length("diff") <= 4 * F.col("n")  # 8 bytes an element: differs in half as many as it has
     leads = answers.groupBy("lead").agg(
         F.count("*").alias("followers"), F.min("linked").alias("settled"), F.count(F.when(nearer, True)).alias("nearer")
     )
     few_near = F.col("nearer") * 2 < F.col("followers")
     voters = F.when(few_near, F.col("followers")).otherwise(F.col("nearer")).alias("voters")
-    unsettled = answers.join(leads.where("followers > 1 AND NOT settled").select("lead", "nearer", few_near.alias("all_vote"), voters), "lead")
+    unsettled = answers.join(leads.where("NOT settled").select("lead", "nearer", few_near.alias("all_vote"), voters), "lead")
 
     def elements():
         def work(rows):
@@ -333,15 +338,25 @@ def derived_entries(departures: DataFrame, marks: DataFrame, rule: Rule) -> Data
     return map_rows(met.select(*ENTRY), make, "key long, cls long, comp long, via long")
 
 
-def leaders(entries: DataFrame, comp: str, via: str) -> DataFrame:
-    """``cls, lead, via``: the sets of each list with its smallest set, for lists that join two components.
+def leaders(entries: DataFrame, comp: str, via: str, closed: int = 0) -> DataFrame:
+    """``cls, lead, via, open``: the pairs that answer the lists that join two components.
 
-    Few lists do, so they are sent to the entries if they are small enough; if not, the entries are shuffled.
+    Lists of up to ``closed`` sets give all their pairs of two components, so these answers end them. The sets of a
+    longer list meet its smallest set, and the list stays ``open``. Few lists join components, so they are sent to the
+    entries if they are few enough; if not, the entries are shuffled.
     """
-    lists = entries.groupBy("key").agg(F.min("cls").alias("lead"), F.min(comp).alias("low"), F.max(comp).alias("high"))
-    wanted = settled(lists.where("low <> high").select("key", "lead"), "lists")
-    met = entries.select("key", "cls", F.col(via).alias("via")).join(send_if_small(wanted), "key")
-    return met.where("cls <> lead").groupBy("cls", "lead").agg(F.min("via").alias("via"))
+    members = entries.select("key", "cls", F.col(comp).alias("comp"), F.col(via).alias("via"))
+    lists = members.groupBy("key").agg(F.min("cls").alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("sets"))
+    wanted = settled(lists.where("low <> high").select("key", "lead", (F.col("sets") > closed).alias("open")), "lists")
+    met = members.join(sent_if_few(wanted), "key")
+    if closed:
+        met = settled(met, "met")
+    pairs = met.where("open AND cls <> lead").select("cls", "lead", "via", "open")
+    if closed:
+        others = met.where("NOT open").select("key", F.col("cls").alias("lead"), F.col("comp").alias("other"))
+        short = met.where("NOT open").drop("lead").join(others, "key").where("cls > lead AND comp <> other")
+        pairs = pairs.union(short.select("cls", "lead", "via", "open"))
+    return pairs.groupBy("cls", "lead").agg(F.min("via").alias("via"), F.max("open").alias("open"))
 
 
 def closest(met: DataFrame) -> DataFrame:
@@ -355,7 +370,16 @@ def list_members(documents: DataFrame) -> DataFrame:
     """``key, cls, lead``, once each: the lists that different sets meet in, their members, and the smallest of these."""
     entries = documents.select("cls", F.explode("keys").alias("key"))
     lists = entries.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead <> last")
-    return entries.join(send_if_small(settled(lists.select("key", "lead"), "lists")), "key").select("key", "cls", "lead").distinct()
+    return entries.join(sent_if_few(settled(lists.select("key", "lead"), "lists")), "key").select("key", "cls", "lead").distinct()
+
+
+def linked_by(answers: DataFrame) -> DataFrame:
+    return answers.where("linked").select(F.col("cls").alias("a"), F.col("lead").alias("b"))
+
+
+def joined(marks: DataFrame, links: DataFrame) -> DataFrame:
+    """``marks`` when ``links`` are added to those that they are of."""
+    return components(marks.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links))
 
 
 def linked_sets(docs: DataFrame, documents: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | None:
@@ -363,47 +387,46 @@ def linked_sets(docs: DataFrame, documents: DataFrame, classes: DataFrame, rule:
 
     First each set is held against the one leader that it shares most lists with. This links most of what is to be
     linked, and a list whose members are in one component needs no answers. Every other list is answered by its
-    leader; sets that this does not settle go into the lists derived from their diffs, whose leaders come later in the
-    order of names, until no list joins two components.
+    leader; sets that this does not settle go into the lists derived from their diffs. Of these, short ones are answered
+    whole, and the leaders of long ones come later in the order of names, until no long list joins two components.
     """
     met = settled(list_members(documents), "members")
     if met.isEmpty():
         return None
     names = settled(met.select("cls").distinct(), "names")
     sets, at_sets = settled_in(needed_sets(docs, names, classes, rule), "sets")
-    links = [settled(compared(closest(met), sets, rule).where("linked").select(F.col("cls").alias("a"), F.col("lead").alias("b")), "links")]
-    marks = components(links[0])
+    marks = components(settled(linked_by(compared(closest(met), sets, rule)), "links"))
     members = met.select("key", "cls").join(marks.select(F.col("node").alias("cls"), "comp"), "cls", "left")
     pairs = settled(leaders(members.withColumn("comp", F.coalesce("comp", "cls")), "comp", "cls"), "pairs")
     if pairs.isEmpty():
         remove_folder(docs.sparkSession, at_sets)
         return marks
-    return joined_lists(pairs, sets, at_sets, links, marks, rule)
+    return joined_lists(pairs, sets, at_sets, marks, rule)
 
 
-def joined_lists(pairs: DataFrame, sets: DataFrame, at_sets: str, links: list[DataFrame], marks: DataFrame, rule: Rule) -> DataFrame:
-    """``node, comp`` when the lists that join components of ``links`` are answered too."""
-    spark, rounds = sets.sparkSession, 0
+def joined_lists(pairs: DataFrame, sets: DataFrame, at_sets: str, marks: DataFrame, rule: Rule) -> DataFrame:
+    """``marks`` when the lists that join components are answered too."""
+    spark, closed = sets.sparkSession, CLOSED
     answers, at_answers = settled_in(compared(with_followers(pairs), sets, rule), "answers")
     remove_folder(spark, at_sets)
     # of the tables with differences only the last one is kept; links are two numbers
     while True:
-        links.append(settled(answers.where("linked").select(F.col("cls").alias("a"), F.col("lead").alias("b")), "links"))
+        links = settled(linked_by(answers), "links")
         centre, at_centre = settled_in(centred(answers, rule), "centred")
         remove_folder(spark, at_answers)
         departures, at_departures = settled_in(cores(centre), "departures")
         remove_folder(spark, at_centre)
-        near = departures.where("step = 0 AND cls <> core")
-        links.append(settled(near.select(F.col("cls").alias("a"), F.col("core").alias("b")), "links"))
-        if rounds < 2:  # later on few links are new, and marks that are older only leave more lists
-            marks = components(reduce(DataFrame.union, links))
-        pairs = settled(leaders(derived_entries(departures, marks, rule), "comp", "via"), "pairs")
-        rounds += 1
-        if pairs.isEmpty():
+        near = departures.where("step = 0 AND cls <> core").select(F.col("cls").alias("a"), F.col("core").alias("b"))
+        marks = joined(marks, links.union(near))
+        pairs = settled(leaders(derived_entries(departures, marks, rule), "comp", "via", closed), "pairs")
+        stay_open = pairs.agg(F.max("open")).first()[0]  # null: there are no pairs
+        if not stay_open:
+            marks = marks if stay_open is None else joined(marks, linked_by(derived(pairs, departures, rule)))
             remove_folder(spark, at_departures)
-            return marks if rounds <= 2 else components(reduce(DataFrame.union, links))
+            return marks
         answers, at_answers = settled_in(derived(pairs, departures, rule), "answers")
         remove_folder(spark, at_departures)
+        closed = min(2 * closed, MOST_CLOSED)
 
 
 def grouped(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -438,7 +461,7 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """
     behind = grouped(docs, rule)
     stays = behind.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"))
-    gone = send_if_small(stays.where("stays = 0").select(F.col("doc_id").alias("_gone")))
+    gone = sent_if_few(settled(stays.where("stays = 0").select(F.col("doc_id").alias("_gone")), "gone"))
     whole = docs.select(F.col("doc_id").cast("long").alias("_gone"), F.struct(*docs.columns).alias("_row"))
     return whole.join(gone, "_gone", "left_anti").select("_row.*")
 
