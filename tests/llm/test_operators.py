@@ -513,6 +513,78 @@ def test_near_passages_are_found(spark):
     assert sum(got[trials + i] >= set(range(60, 110)) for i in range(trials)) >= 0.985 * trials
 
 
+def near_covered(texts):
+    """Places of each document that a match with any earlier document, or an earlier place, covers: all places of every
+    signature that two texts share are compared."""
+    known, out = [], defaultdict(set)
+    for doc_id, text in sorted(texts):
+        mine = substring_dedup.Text(substring_dedup.WordHashes().of(text))
+        places = defaultdict(list)
+        for key, at in zip(*substring_dedup.seeds(mine.words)):
+            places[key].append(at)
+        for other, other_places in [*known, (mine, places)]:
+            met = sorted((i, j) for k in places.keys() & other_places.keys() for i in places[k] for j in other_places[k] if other is not mine or j < i)
+            for begin, end, _, _ in substring_dedup.matches_at(substring_dedup.Pair(mine, other, int(other is mine)), met) if met else []:
+                out[doc_id].update(range(begin, end))
+        known.append((mine, places))
+    return out
+
+
+def test_passages_unlike_the_first_place_of_their_lists(spark):
+    """All signatures of the second and third passage stand in the first text too, which matches neither of them."""
+    texts = []
+    for i in range(0, 60, 6):
+        p = prose(20000 + i, 50).split(" ")
+        around = lambda k, words: " ".join([*prose(30000 + k, 60).split(" "), *words, *prose(40000 + k, 60).split(" ")])
+        versions = [p[:37], p, [*p[:37], "odd", *p[38:]], p[:37], [*p[:37], *p[38:], "even"], [*p[:37], "new", *p[38:]]]
+        texts += [(i + k, around(i + k, words)) for k, words in enumerate(versions)]
+    got, wanted = covered(spark, texts), near_covered(texts)
+    assert all(wanted[i + 2] >= set(range(60, 110)) and wanted[i + 5] >= set(range(60, 110)) for i in range(0, 60, 6))
+    assert all(places <= got[doc_id] for doc_id, places in wanted.items())
+    assert not any(got[i] or got[i + 1] or got[i + 3] for i in range(0, 60, 6))
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_all_near_passages_are_covered(spark, monkeypatch, block):
+    """Common lines, near copies of several families, families that share passages, repeats inside a text."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    pick, texts = random.Random(77), []
+    lines = [prose(50000 + i, n).split(" ") for i, n in enumerate((26, 30, 44, 48, 60, 90, 150))]
+    for i in range(150):
+        words = prose(51000 + i, pick.randrange(5, 30)).split(" ")
+        for _ in range(pick.randrange(1, 5)):
+            line = list(pick.choice(lines))
+            for _ in range(pick.choice((0, 1, 1, 2, 3))):
+                k = pick.randrange(len(line))
+                line[k : k + pick.randrange(2)] = [f"new{pick.randrange(40)}"] * pick.randrange(2)
+            words += [*line[pick.choice((0, 0, 5)) :], *prose(pick.randrange(10**6), pick.choice((0, 1, 4, 20))).split(" ")]
+        texts.append((i, " ".join(words)))
+    texts += [(200 + i, texts[i][1]) for i in range(0, 150, 10)]
+    got, wanted = covered(spark, texts), near_covered(texts)
+    assert sum(map(len, wanted.values())) > 10000
+    assert all(places <= got[doc_id] for doc_id, places in wanted.items())
+
+
+def test_filter_of_pairs_keeps_all_that_match():
+    """Whatever word of a match is not covered yet, the pair of texts is not left out."""
+    pick, seen = random.Random(9), 0
+    for i in range(300):
+        p = prose(60000 + i, pick.randrange(50, 130)).split(" ")
+        x, y = list(p), list(p)
+        for words in (x, y):
+            for _ in range(pick.randrange(3)):
+                k = pick.randrange(len(words))
+                words[k : k + pick.randrange(3)] = [f"new{pick.randrange(9)}"] * pick.randrange(3)
+        x, y = prose(61000 + i, 30).split(" ") + x + prose(62000 + i, 30).split(" "), prose(63000 + i, 9).split(" ") + y
+        mine, other = hashed(x), hashed(y)
+        at = np.flatnonzero(np.isin(mine.names, other.names))
+        for begin, end, _, _ in aligned_around(x, y) if i < 40 else substring_dedup.matched(substring_dedup.Pair(mine, other).aligned(int(at[len(at) // 2]), int(np.flatnonzero(other.names == mine.names[at[len(at) // 2]])[0]))):
+            for place in {begin, end - 1, pick.randrange(begin, end)}:
+                seen += 1
+                assert substring_dedup.may_add(at, np.concatenate([[0], np.cumsum(np.arange(len(x)) == place)]))
+    assert seen > 300
+
+
 def test_all_near_passages_are_candidates():
     """One word of 50 changed: every pair has a signature in common, at the same place of the passage."""
     draw = np.random.default_rng(12)
